@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import label_sharding, line_dedup, minhash_dedup, quality_rules
 from .shared import documents
 
 
@@ -15,9 +15,28 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_sharding.balanced_shards(documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that is left comes as its MD5, next to the counts of lines."""
+    out = line_dedup.remove_boilerplate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op3_label_sharding": op3_label_sharding,
+        "op4_line_dedup": op4_line_dedup,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
