@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import label_sharding, line_dedup, minhash_dedup, quality_rules
+from . import hyper_langid, label_sharding, line_dedup, metric_range_join, minhash_dedup, quality_rules
 from .shared import documents
 
 
@@ -25,6 +25,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_range_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_langid.identify(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -34,9 +42,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op3_label_sharding": op3_label_sharding,
         "op4_line_dedup": op4_line_dedup,
+        "op5_metric_range_join": op5_metric_range_join,
+        "op6_hyper_langid": op6_hyper_langid,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+    return {
+        "op4_line_dedup": line_dedup.ORACLE,
+        "op5_metric_range_join": metric_range_join.ORACLE,
+        "op10_quality_rules": quality_rules.ORACLE,
+    }
