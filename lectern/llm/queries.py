@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyper_langid, label_sharding, line_dedup, metric_range_join, minhash_dedup, quality_rules
+from . import hyper_langid, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
 from .shared import documents
 
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -33,6 +37,14 @@ def op6_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyper_langid.identify(documents(spark, sf_dir))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_report(documents(spark, sf_dir))
+
+
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(documents(spark, sf_dir), PIECE_MODEL)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -44,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_metric_range_join": op5_metric_range_join,
         "op6_hyper_langid": op6_hyper_langid,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_piece_bpe": op8_piece_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
 
