@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyper_langid, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
+from . import hyper_langid, importance_resampling, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
 from .shared import documents
 
 
@@ -19,6 +19,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return importance_resampling.resample(documents(spark, sf_dir), labels).drop("h")
+
+
 def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_sharding.balanced_shards(documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_importance_resampling": op2_importance_resampling,
         "op3_label_sharding": op3_label_sharding,
         "op4_line_dedup": op4_line_dedup,
         "op5_metric_range_join": op5_metric_range_join,
