@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyper_langid, importance_resampling, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
+from . import hyper_langid, importance_resampling, kneser_ney, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
 from .shared import documents
 
 
@@ -50,6 +50,10 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(documents(spark, sf_dir), PIECE_MODEL)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_hyper_langid": op6_hyper_langid,
         "op7_source_mixing": op7_source_mixing,
         "op8_piece_bpe": op8_piece_bpe,
+        "op9_kneser_ney": op9_kneser_ney,
         "op10_quality_rules": op10_quality_rules,
     }
 
