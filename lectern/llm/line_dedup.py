@@ -108,6 +108,22 @@ def remove_boilerplate(
     )
 
 
+def without_boilerplate(docs: DataFrame, **options) -> DataFrame:
+    """docs with boilerplate lines taken out and n_chars brought up to date.
+
+    A document whose words were all in lines that another document keeps holds
+    nothing of its own any more and goes; a text that had no words to begin with
+    stays as it is.
+    """
+    names = docs.columns
+    out = remove_boilerplate(docs, **options)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*names)
+
+
 #: The digest of op4_line_dedup for DuckDB.
 ORACLE = """
 with lines as (

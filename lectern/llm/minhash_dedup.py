@@ -286,3 +286,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
+    """One row of docs per component of near_duplicates, with its columns.
+
+    The row with the smallest doc_id stays.  Rows that repeat a doc_id are one
+    document, of which one row stays; rows without a doc_id all stay.
+    """
+    dropped = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    same = F.col("doc_id") == F.col("_id")
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hyper_langid, importance_resampling, kneser_ney, label_sharding, line_dedup, metric_range_join, minhash_dedup, piece_bpe, quality_rules, source_mixing
+from .models import PIECE_MODEL
 from .shared import documents
 
 
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -70,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_bpe": op8_piece_bpe,
         "op9_kneser_ney": op9_kneser_ney,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -32,6 +32,8 @@ BUCKET_ROWS = 2000
 FITS = 8
 #: Share of a source's target below which a gap is left alone.
 NEAR = 0.002
+#: Runs a shard's rows are dealt in.
+RUNS = 16
 MAX_SOURCES = 100_000
 #: Blocks the tree may have to split at most; blocks grow beyond that.
 MAX_BLOCKS = 1 << 28
@@ -240,7 +242,7 @@ def mix_report(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with its columns alone.
 
-    Rows are dealt to ``shards`` partitions and put in the shard's own order.
+    A shard's rows lie together in runs of its own random order.
     """
     names = docs.columns
     _, copies = mix(docs, shards, seed)
@@ -251,4 +253,5 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFra
         & F.col("source").cast("string").eqNullSafe(F.col("_m_source"))
         & (F.col("_copy") == F.col("_m_copy"))
     )
-    return key.join(taken, same).repartition(shards, "_m_shard").sortWithinPartitions("_m_shard", "_m_place").select(*names)
+    run = F.pmod(F.shiftright("_m_place", 32), F.lit(RUNS))
+    return key.join(taken, same).repartition("_m_shard", run).sortWithinPartitions("_m_shard", "_m_place").select(*names)
