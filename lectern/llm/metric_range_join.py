@@ -5,7 +5,9 @@ most r = sqrt(2 - 2c) on the unit sphere.  Pivots are vectors of the table.  A
 vector's home is the cell of its nearest pivot; by the triangle inequality a
 partner y of x at home in cell p has d(x, p) <= d(x, nearest pivot) + 2r and
 d(x, p) <= (radius of the cell) + r, so x is replicated to just the cells that
-meet both.  Cells then join independently, each pair in the home cell of its
+meet both, and whose half-space (against every other pivot) is no farther than
+r.  Vectors without structure meet all of this for most cells, whatever the
+pivots, so cells are few and large rather than many.  Cells then join independently, each pair in the home cell of its
 first member, and again by the triangle inequality only where the distances to
 the cell's pivot differ by r at most.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import Forest, connected_components, groups, table
 
 #: Vectors per pivot aimed at, the bound on pivots, and the rows of a block.
-CELL_ROWS, MAX_PIVOTS, BLOCK_ROWS = 600, 1024, 1500
+CELL_ROWS, MAX_PIVOTS, BLOCK_ROWS = 5000, 1024, 20_000
 #: Slack of distances in double precision; it can only add candidates.
 EPS = 1e-9
 
@@ -75,8 +77,9 @@ def _homes(by_size: dict[int, np.ndarray]):
     return run
 
 
-def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float], reach: float):
-    """Adds one row per cell that may hold a partner: cell, d to its pivot, and whether it is home."""
+def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float], reach: float, count: bool):
+    """One row per cell that may hold a partner: cell, d to its pivot, and whether it is home; or their number."""
+    apart = {k: _distances(p, p) for k, p in by_size.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,11 +88,17 @@ def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float],
                 radius = np.array([radii.get((dim, p), -10.0) for p in range(len(pivots))])
                 for lo in range(0, len(part), 2048):
                     own = part.iloc[lo : lo + 2048]
-                    d = _distances(_matrix(own["v"]), pivots)
+                    cos = _matrix(own["v"]) @ pivots.T
+                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
                     near = own["d"].to_numpy()[:, None]
                     home = own["home"].to_numpy()
                     inside = (d <= near + 2 * reach + EPS) & (d <= radius[None, :] + reach + EPS)
+                    for p in range(len(pivots)):
+                        inside[:, p] &= (cos - cos[:, [p]] <= reach * apart[dim][p] + EPS).all(axis=1)
                     inside[np.arange(len(home)), home] = True
+                    if count:
+                        yield pd.DataFrame({"dim": np.int32(dim), "cell": np.arange(len(pivots), dtype=np.int32), "n": inside.sum(axis=0)})
+                        continue
                     row, cell = np.nonzero(inside)
                     yield pd.DataFrame(
                         {
@@ -176,11 +185,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     homes = table(classes.mapInPandas(_homes(by_size), "id long, n long, v binary, dim int, home int, d double"), "homes")
     cells = homes.groupBy("dim", "home").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()  # a row per pivot
     radii = {(r["dim"], r["home"]): r["r"] for r in cells}
-    placed = table(
-        homes.mapInPandas(_places(by_size, radii, reach), "id long, n long, v binary, dim int, cell int, pd double, home boolean"),
-        "placed",
+    counted = homes.mapInPandas(_places(by_size, radii, reach, True), "dim int, cell int, n long")
+    blocks = table(
+        counted.groupBy("dim", "cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "blocks"
+    )  # a row per pivot
+    placed = homes.mapInPandas(
+        _places(by_size, radii, reach, False), "id long, n long, v binary, dim int, cell int, pd double, home boolean"
     )
-    blocks = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     blocked = placed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = blocked.where("home").select("*", F.col("b").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"))
