@@ -36,7 +36,7 @@ from .wordhash import mix64, words_of
 
 BEGIN, END = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
 #: Tokens of a counting chunk, and bytes of text per slice.
-CHUNK_TOKENS, SLICE_BYTES = 2_000_000, 24_000_000
+CHUNK_TOKENS, SLICE_BYTES = 1_000_000, 12_000_000
 _FACTS = ("cnt", "cont", "ctx", "n1", "n2", "n3")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,10 +134,13 @@ def _merge_pairs(folder: str, slices: int):
             h = np.repeat(_joined(g["h"], np.uint64), _joined(g["f"], np.uint32))
             w, c = _joined(g["w"], np.uint64), _joined(g["c"], np.uint32).astype(np.int64)
             key = pair_key(h, w)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, begin = _runs(key[order])
             count = np.add.reduceat(c[order], begin)
-            h, w = h[order][begin], w[order][begin]
+            first = order[begin]  # one row of every pair
+            del order, c
+            h, w = h[first], w[first]
+            del first
             _write(f"{folder}/keys-{s}", key)
             _write(f"{folder}/counts-{s}", np.minimum(count, 2**32 - 1).astype(np.uint32))
             heads, at = np.unique(h, return_inverse=True)
