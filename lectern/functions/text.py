@@ -1,10 +1,12 @@
-"""Scalar text functions as Column expressions (no Python runs per row)."""
+"""Scalar text functions as Column expressions; only letter_tokens needs Python (Arrow batches)."""
 
 from __future__ import annotations
 
 import functools
 import unicodedata
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,25 +64,31 @@ def query_tokens(text: Column) -> Column:
 
 
 def letter_tokens(text: Column) -> Column:
-    """array<struct<token, start, end>> of the folded text's letter runs, 0-based half-open offsets."""
-    folded = fold(text)
-    parts = F.regexp_extract_all(folded, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    empty = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    run = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.when(
-                p.rlike(r"^\p{L}"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(p.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return F.coalesce(run["out"], empty)
+    """array<struct<token, start, end, surface, before>> of the letter runs of the folded text.
+
+    Offsets are 0-based and half-open; surface is the run in the original text
+    (the fold is one to one in precomposed text), before the last character that
+    is no blank in front of it ('' at the beginning).  Spark has no expression
+    for the places of matches; an Arrow batch at a time goes through one compiled
+    pattern, linear in the text.
+    """
+
+    @F.pandas_udf("array<struct<token:string,start:int,end:int,surface:string,before:string>>")
+    def runs(original: pd.Series, folded: pd.Series) -> pd.Series:
+        letters = regex.compile(r"\p{L}+")
+
+        def of(o: str | None, f: str | None) -> list[dict]:
+            out, at, before = [], 0, ""
+            for m in letters.finditer(f or ""):
+                between = o[at : m.start()].rstrip()
+                before = between[-1] if between else before
+                out.append({"token": m[0], "start": m.start(), "end": m.end(), "surface": o[m.start() : m.end()], "before": before})
+                at, before = m.end(), o[m.end() - 1 : m.end()]
+            return out
+
+        return pd.Series([of(o, f) for o, f in zip(original, folded, strict=True)])
+
+    return runs(text, fold(text))
 
 
 def words_with_letters(text: Column) -> Column:
@@ -196,7 +204,12 @@ def match_form(label: Column) -> Column:
 def sentence_initial(text: Column, offset: Column) -> Column:
     """Whether what stands before the 0-based offset ends a sentence, or nothing does."""
     before = F.regexp_replace(F.substring(text, F.lit(1), offset), r"\s+$", "")
-    return (F.length(before) == 0) | F.substring(before, -1, 1).isin(".", "!", "?", ";", "—")
+    return ends_sentence(F.substring(before, -1, 1))
+
+
+def ends_sentence(char: Column) -> Column:
+    """Whether a character ('' for none) ends a sentence."""
+    return char.isin("", ".", "!", "?", ";", "—")
 
 
 def edit_distance(a: Column, b: Column, most: int = 2) -> Column:

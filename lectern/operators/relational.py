@@ -181,7 +181,7 @@ def patched(rows: DataFrame, patches: DataFrame, key: str, columns: list[str]) -
     idle = both.join(p.select(key), key, "left_semi").where(~changes).select(F.col(key).alias("key"))
     problems = violations(unknown_row=dangling(patches, key, rows, key), changes_nothing=idle)
     out = both.select(*[F.coalesce(f"_p_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
-    return out.join(F.broadcast(require_none(problems)), how="cross").drop("ok")
+    return out.join(F.broadcast(require_none(problems)), how="cross").where("ok is null").drop("ok")
 
 
 def claim_answers(claims: DataFrame, asked: DataFrame) -> DataFrame:

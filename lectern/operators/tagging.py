@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ def scan(sections: DataFrame, entries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         longest = sorted(known, key=lambda s: (-len(s), s))
-        pattern = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, longest)) + r")(?![^\W\d_])") if longest else None
+        pattern = regex.compile(r"(?<!\p{L})(?:" + "|".join(map(regex.escape, longest)) + r")(?!\p{L})") if longest else None
         for batch in batches:
             out = []
             for key, owner, text in zip(batch["id"], batch["owner"], batch["text"], strict=True):
@@ -59,9 +59,7 @@ def tag_terms(sections: DataFrame, terms: DataFrame, endings: tuple[str, ...], n
     forms = terms.select("entity", "name", F.explode(F.when(F.col("stem").isNull(), F.array("form")).otherwise(
         F.array_union(F.array("form"), F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat("stem", e)))
     )).alias("token"))
-    tokens = sections.select("id", "text", F.explode(T.letter_tokens(F.col("text"))).alias("t")).select(
-        "id", "t.token", "t.start", "t.end", F.substring("text", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")).alias("surface")
-    )
+    tokens = sections.select("id", F.explode(T.letter_tokens(F.col("text"))).alias("t")).select("id", "t.token", "t.start", "t.end", "t.surface")
     hits = tokens.join(F.broadcast(forms), "token")
     if names_need_capital:
         hits = hits.where(~F.col("name") | F.col("surface").rlike(r"^\p{Lu}"))
@@ -83,11 +81,9 @@ def entity_index(spans: DataFrame) -> DataFrame:
 
 def proper_noun_audit(sections: DataFrame, spans: DataFrame, blocklist: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """(token, state, n) of capitalised words that begin no sentence: tagged, heuristic, blocklisted, ambiguous or untagged."""
-    parts = sections.select("id", "text", F.explode(T.letter_tokens(F.col("text"))).alias("t"))
+    parts = sections.select("id", F.explode(T.letter_tokens(F.col("text"))).alias("t"))
     words = parts.select(
-        "id", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-        F.substring("text", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")).alias("token"),
-        T.sentence_initial(F.col("text"), F.col("t.start")).alias("initial"),
+        "id", "t.start", "t.end", F.col("t.surface").alias("token"), T.ends_sentence(F.col("t.before")).alias("initial")
     ).where(F.col("token").rlike(r"^\p{Lu}\p{Ll}") & ~F.col("initial"))
     s = spans.select("id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("heuristic").cast("int").alias("h"))
     hit = words.join(s, (words["id"] == s["id"]) & (s["_s"] < words["end"]) & (s["_e"] > words["start"]), "left").select(words["*"], "h")
