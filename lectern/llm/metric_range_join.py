@@ -186,16 +186,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     cells = homes.groupBy("dim", "home").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()  # a row per pivot
     radii = {(r["dim"], r["home"]): r["r"] for r in cells}
     counted = homes.mapInPandas(_places(by_size, radii, reach, True), "dim int, cell int, n long")
+    size = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    at_home = homes.groupBy("dim", F.col("home").alias("cell")).agg(size(F.count("*")).alias("lefts"))
     blocks = table(
-        counted.groupBy("dim", "cell").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "blocks"
-    )  # a row per pivot
+        counted.groupBy("dim", "cell").agg(size(F.sum("n")).alias("rights")).join(at_home, ["dim", "cell"]), "blocks"
+    )  # a row per pivot with a home row
     placed = homes.mapInPandas(
         _places(by_size, radii, reach, False), "id long, n long, v binary, dim int, cell int, pd double, home boolean"
     )
-    blocked = placed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = blocked.where("home").select("*", F.col("b").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"))
-    right = blocked.select("*", F.explode(every).alias("i"), F.col("b").alias("j"), F.lit(False).alias("left"))
+    blocked = placed.join(F.broadcast(blocks), ["dim", "cell"])
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = blocked.where("home").select("*", block("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("left"))
+    right = blocked.select("*", every("lefts").alias("i"), block("rights").alias("j"), F.lit(False).alias("left"))
     met = table(
         left.unionByName(right)
         .select("dim", "cell", "i", "j", "left", "id", "n", "v", "pd")
