@@ -138,7 +138,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
     )
     body = seen.alias("n").join(full.alias("f"), null_safe("n", "f", "bucket"), "left_semi").select("n.doc_id", "n.source", "n.copy", "n.w")
     edge = (
-        seen.alias("n").join(last.alias("l"), null_safe("n", "l", "bucket"))
+        seen.alias("n").join(F.broadcast(last).alias("l"), null_safe("n", "l", "bucket"))  # a row per source
         .select("n.*", "l.off").withColumn("end", F.col("off") + F.sum("w").over(inside))
         .where("end <= rest").select("doc_id", "source", "copy", "w")
     )
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
         off = F.abs(F.col("w") - F.col("gap"))
         may = (off < F.col("gap")) if k == FITS - 1 else (F.col("w") <= F.col("gap")) & (F.col("w") > 0)
         best = (
-            pool.alias("n").join(left.alias("g"), null_safe("n", "g")).select("n.*", "g.gap").where(may)
+            pool.alias("n").join(F.broadcast(left).alias("g"), null_safe("n", "g")).select("n.*", "g.gap").where(may)
             .groupBy("source").agg(F.min(F.struct(off.alias("off"), _hash(seed, 2).alias("h"), "doc_id", "copy", "w")).alias("best"))
             .select("source", F.col("best.doc_id").alias("doc_id"), F.col("best.copy").alias("copy"), F.col("best.w").alias("w"))
         )
