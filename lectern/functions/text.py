@@ -42,8 +42,11 @@ def _fold_table() -> tuple[str, str]:
 
 
 def strip_marks(text: Column) -> Column:
-    """Letters without accents; case is kept and final sigma becomes sigma."""
-    return F.translate(text, *_fold_table())
+    """Letters without accents; case is kept and final sigma becomes sigma.
+
+    translate() looks up every character; texts that are all ASCII skip it.
+    """
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *_fold_table()))
 
 
 def fold(text: Column) -> Column:

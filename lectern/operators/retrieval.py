@@ -6,8 +6,11 @@ reading order; it decides ties), queries ``query``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,20 +107,39 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = POOL, **options) ->
     return top(bm25_scores(docs, queries, **options).where("score > 0"), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
-
-
 def dense_rank(vectors: DataFrame, queries: DataFrame, k: int = POOL, normalise: bool = True) -> DataFrame:
     """Exact ranking by dot product over the query's norm; vectors count as normalised.
 
-    vectors: doc, v; queries: query, q (a small, stated set).  Vectors of another
-    length than the query's rank nowhere.
+    vectors: doc, v; queries: query, q, a small, stated set that is sent to the
+    workers as one matrix per vector length.  Vectors of another length than a
+    query's rank nowhere for it.  A batch of vectors meets all queries in one
+    matrix product and hands on its k best per query only.
     """
-    pairs = vectors.join(F.broadcast(queries), F.size("v") == F.size("q"))
-    norm = F.sqrt(dot(F.col("q"), F.col("q"))) if normalise else F.lit(1.0)
-    return top(pairs.select("query", "doc", (dot(F.col("v"), F.col("q")) / norm).alias("score")), k)
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    rows = [(r["query"], np.asarray(r["q"], dtype=np.float64)) for r in queries.select("query", "q").collect() if r["q"] is not None]
+    for size in {len(q) for _, q in rows}:
+        own = [(n, q) for n, q in rows if len(q) == size]
+        m = np.stack([q for _, q in own])
+        norm = np.linalg.norm(m, axis=1, keepdims=True) if normalise else 1.0
+        by_size[size] = [n for n, _ in own], m / np.where(norm == 0, 1.0, norm)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["v"].notna()]
+            for size, part in batch.groupby(batch["v"].map(len)):
+                if size not in by_size:
+                    continue
+                names, m = by_size[size]
+                docs = part["doc"].to_numpy()
+                score = np.stack(part["v"].to_numpy()).astype(np.float64) @ m.T
+                for j, name in enumerate(names):
+                    s = np.round(score[:, j], 9)
+                    at = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
+                    at = at[np.lexsort((docs[at], -s[at]))][:k]
+                    yield pd.DataFrame({"query": name, "doc": docs[at], "score": score[at, j]})
+
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]
+    return top(vectors.select("doc", "v").mapInPandas(run, f"query {kinds[0]}, doc {kinds[1]}, score double"), k)
 
 
 def fuse(
