@@ -2,11 +2,12 @@
 sorted hash arrays, memory-mapped by the workers that score.
 
 Counting: a task turns chunks of text into distinct word pairs with counts and
-sends them as packed arrays to the slice of the first word's hash.  A slice
-merges its arrays, knows all followers of its words, and writes one sorted
-array of pair hashes with counts.  What it learnt about words (counts, distinct
-predecessors) goes on to the slice of the word, which writes the sorted array
-of word hashes with their facts.  Slices follow the amount of text, so memory
+sends them as packed arrays to the slice of the pair (by the first word's hash
+and three bits of the second's, so a frequent word is no hot slice).  A slice
+merges its arrays and writes one sorted array of pair hashes with counts.  What
+it learnt about words (counts, distinct predecessors and followers) adds up in
+the slice of the word, which writes the sorted array of word hashes with their
+facts.  Slices follow the amount of text, so memory
 per task is bounded and files grow with the corpus; only sums go to the driver.
 
 Scoring: workers map the files read-only (page cache, not heap) and look up the
@@ -67,6 +68,11 @@ def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
+def slice_of_pair(first: np.ndarray, second: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of a pair; a frequent first word's followers are spread over eight."""
+    return slice_of(mix64(first ^ (second >> np.uint64(61)) * _SPREAD), slices)
+
+
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * _SPREAD ^ second)
 
@@ -87,7 +93,9 @@ def _count(slices: int):
         code = rank[:-1][real].astype(np.uint64) * np.uint64(len(names)) + rank[1:][real].astype(np.uint64)
         pairs, counts = np.unique(code, return_counts=True)
         first, second = pairs // np.uint64(len(names)), pairs % np.uint64(len(names))
-        own = slice_of(names, slices)[first]
+        own = slice_of_pair(names[first], names[second], slices)
+        order = np.argsort(own, kind="stable")
+        own, first, second, counts = own[order], first[order], second[order], counts[order]
         cut = np.searchsorted(own, np.arange(slices + 1))
         rows = []
         for s in range(slices):
@@ -154,12 +162,13 @@ def _merge_pairs(folder: str, slices: int):
             names, at = np.unique(w, return_inverse=True)
             seen = np.zeros((len(names), len(_FACTS)), dtype=np.int64)
             seen[:, 0], seen[:, 1] = np.bincount(at, count), np.bincount(at)
-            rows = [(s, heads.tobytes(), context.tobytes(), [int((count == k).sum()) for k in (1, 2, 3, 4)])]
-            cut = np.searchsorted(slice_of(names, slices), np.arange(slices + 1))
-            for t in range(slices):
-                if cut[t] < cut[t + 1]:
-                    part = slice(cut[t], cut[t + 1])
-                    rows.append((t, names[part].tobytes(), seen[part].tobytes(), [0, 0, 0, 0]))
+            rows = [(s, b"", b"", [int((count == k).sum()) for k in (1, 2, 3, 4)])]
+            for words, facts in ((heads, context), (names, seen)):
+                cut = np.searchsorted(slice_of(words, slices), np.arange(slices + 1))
+                for t in range(slices):
+                    if cut[t] < cut[t + 1]:
+                        part = slice(cut[t], cut[t + 1])
+                        rows.append((t, words[part].tobytes(), facts[part].tobytes(), [0, 0, 0, 0]))
             yield pd.DataFrame(rows, columns=["slice", "names", "facts", "stats"])
 
     return run
@@ -246,12 +255,14 @@ class Model:
         return out
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of pairs that are sorted by the first word's hash."""
+        """Counts of pairs, 0 for unknown ones."""
         out = np.zeros(len(first), dtype=np.int64)
-        cut = np.searchsorted(slice_of(first, self.slices), np.arange(self.slices + 1))
+        own = slice_of_pair(first, second, self.slices)
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(self.slices + 1))
         key = pair_key(first, second)
         for s in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[s], cut[s + 1])
+            part = order[cut[s] : cut[s + 1]]
             at, found = self._find("keys", s, key[part])
             counts = self._map(f"counts-{s}", np.uint32)
             if len(counts):
@@ -286,12 +297,12 @@ def train(texts: DataFrame) -> Model:
     slices = max(1, -(-int(size) // SLICE_BYTES))
     packed = texts.select("text").mapInPandas(_count(slices), "slice int, h binary, f binary, w binary, c binary")
     learnt = table(
-        packed.repartition(slices, "slice").sortWithinPartitions("slice")
+        packed.repartitionById(slices, "slice").sortWithinPartitions("slice")
         .mapInPandas(_merge_pairs(folder, slices), "slice int, names binary, facts binary, stats array<long>"),
         "learnt",
     )
     merged = table(
-        learnt.select("slice", "names", "facts").repartition(slices, "slice").sortWithinPartitions("slice")
+        learnt.select("slice", "names", "facts").repartitionById(slices, "slice").sortWithinPartitions("slice")
         .mapInPandas(_merge_words(folder), "sums array<long>"),
         "sums",
     )
