@@ -265,7 +265,11 @@ def turtle_escape(text: Column) -> Column:
     return text
 
 
-def guarded_citations(text: Column, allowed: Column, pattern: str = r"\[D\.L\. ([^\]]+)\]") -> Column:
+# Fixed value: how an answer cites a section.
+CITATION = r"\[\s*D\.?L\.?\s+([0-9]+(?:\.[0-9a-zA-Z-]+)+)\s*\]"
+
+
+def guarded_citations(text: Column, allowed: Column, pattern: str = CITATION) -> Column:
     """struct<text, cited, dropped>: citations whose id is not allowed are taken out of the text.
 
     cited holds the allowed ids in order of first use; blanks before punctuation and double blanks go.

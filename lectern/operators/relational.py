@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How sure a statement is, best first.
-CERTAINTY = ("asserted", "reported", "disputed", "inferred")
+CERTAINTY = ("asserted", "reported", "disputed", "conjectured")
 
 
 def certainty_rank(value: Column) -> Column:

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_FAMILIES = ("text", "retrieval", "relational", "evaluation", "graph", "documents", "streams")
+_FAMILIES = ("text", "retrieval", "relational", "evaluation", "graph", "documents", "views", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
