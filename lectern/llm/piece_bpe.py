@@ -7,9 +7,10 @@ token.  Whether two tokens may stand side by side is a test on the pair alone:
 merging their joined text must give just these two.  The ids are then read off
 backwards.  Work is linear in the text, also for a text without a blank.
 
-Pieces never hold a blank mark after another character, so a text falls into
-segments (blank marks, then other characters) that are encoded independently;
-this is checked when the model is loaded.  Segments repeat, so a worker keeps a
+Pieces never hold a blank mark after another character, nor a line's end, so a
+text falls into segments (blank marks, then other characters; or a line's end and
+what follows) that are encoded independently; this is checked when the model is
+loaded.  Segments repeat, so a worker keeps a
 bounded table of those it has seen.  Only the model (its size is fixed) is sent
 to the workers.
 """
@@ -57,6 +58,7 @@ class PieceModel:
         self.silent = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
         self.end = next(i for i, p in enumerate(proto.pieces) if p.piece == "</s>")
         self.end_text = str(self.end)
+        self.lines = not any("\n" in p for p in self.ids)  # then nothing merges across a line's end
         if any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece holds a blank after another character")
         # scores order the merges; where several pieces share one, order also depends on the place
@@ -66,8 +68,11 @@ class PieceModel:
         self.tied = {p for p, s in self.score.items() if seen[s] > 1 and len(p) > 1}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
+        self.id_texts = [str(i) for i in range(len(self.pieces))]
+        spoken = set(self.ids.values())
+        self.texts = [p.replace(MARK, " ") if i in spoken else None for i, p in enumerate(self.pieces)]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
@@ -108,18 +113,17 @@ class PieceModel:
         pairs, fits = self.pairs, self.fits
         last: list[str] = [""] * len(segment)  # last[i]: the last token of segment[:i + 1]; '' so far
         # matches with one end come longest first
-        for at, piece in self.automaton.iter(segment):
+        for at, (piece, size) in self.automaton.iter(segment):
             if last[at]:
                 continue
-            before = at - len(piece)
-            left = ""
-            if before >= 0:
-                # a character without a piece is a token of its own
-                left = last[before] = last[before] or segment[before]
+            if at < size:
+                left = ""
+            else:
+                left = last[at - size]
+                if not left:  # a character without a piece is a token of its own
+                    left = last[at - size] = segment[at - size]
             ok = pairs.get((left, piece))
-            if ok is None:
-                ok = fits(left, piece)
-            if ok:
+            if ok or (ok is None and fits(left, piece)):
                 last[at] = piece
         out, i = [], len(segment) - 1
         while i >= 0:
@@ -134,24 +138,28 @@ class PieceModel:
         if found is None:
             ids: list[int] = []
             known = self.ids
-            for t in self.tokens(segment):
+            for t in self.tokens(segment if segment[0] in "\n" + MARK else MARK + segment):
                 i = known.get(t)
                 if i is None:
                     ids.extend([self.bytes[b] for b in t.encode()])
                 else:
                     ids.append(i)
-            found = (" ".join(map(str, ids)), len(ids), self.text_of(ids))
+            names = self.id_texts
+            found = (" ".join([names[i] for i in ids]), len(ids), self.text_of(ids))
         if len(segment) <= 64:
             if len(self.young) >= SEGMENTS // 2:
-                self.old = dict(self.young)
-                self.young.clear()  # the same dict: encode holds its get
+                self.old, self.young = self.young, {}
             self.young[segment] = found
         return found
 
     def text_of(self, ids: list[int]) -> str:
         """Text of ids before the leading blank is taken off: pieces, and runs of byte tokens as UTF-8."""
+        texts = self.texts
+        plain = [texts[i] for i in ids]
+        if None not in plain:
+            return "".join(plain)
         out, run = [], bytearray()
-        for i in ids:
+        for i, piece in zip(ids, plain, strict=True):
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
@@ -159,7 +167,7 @@ class PieceModel:
                 out.append(run.decode(errors="replace"))
                 run = bytearray()
             if i not in self.silent:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(piece or "")
         if run:
             out.append(run.decode(errors="replace"))
         return "".join(out)
@@ -167,18 +175,16 @@ class PieceModel:
     def encode(self, text: str) -> tuple[str, int, str]:
         """Ids of the whole text with the end id, their number, and the decoded text."""
         if not text:
-            return str(self.end), 1, ""
-        get, own = self.young.get, self.segment
-        ids: list[str] = []
-        decoded: list[str] = []
-        n = 1
-        for s in _SEGMENT.findall(MARK + text.replace(" ", MARK)):
-            a, b, c = get(s) or own(s)
-            ids.append(a)
-            n += b
-            decoded.append(c)
-        ids.append(self.end_text)
-        return " ".join(ids), n, "".join(decoded)[1:]
+            return self.end_text, 1, ""
+        # a word's key is the word, that of a word after a line's end begins with it
+        parts = text.replace("\n", " \n").split(" ") if self.lines and MARK not in text else [""]
+        if "" in parts:  # runs of blanks belong to one segment
+            parts = _SEGMENT.findall(MARK + text.replace(" ", MARK))
+        found = list(map(self.young.get, parts))
+        for at in [i for i, f in enumerate(found) if f is None] if None in found else ():
+            found[at] = self.segment(parts[at])
+        ids, counts, decoded = zip(*found, strict=True)
+        return f"{' '.join(ids)} {self.end}", sum(counts) + 1, "".join(decoded)[1:]
 
 
 _LOADED: dict[str, PieceModel] = {}
