@@ -3,7 +3,9 @@
 Words and word pairs are hashed into BUCKETS buckets.  Two multinomial models
 are fitted: the target's (documents labelled good) and the raw text's (all
 documents).  A document's log weight is the sum over its n-grams of the log
-ratio of the two; Gumbel noise is added and the documents with the k largest
+ratio of the two, scaled down to PASSAGE n-grams where it has more, so that
+every document counts as one passage of at most that length (all of its n-grams
+take part; a long text does not pile up the models' common error).  Gumbel noise is added and the documents with the k largest
 keys are the sample, which is sampling without replacement by those weights.
 
 k is not a share fixed in advance: it is the number of documents, counted over
@@ -34,7 +36,9 @@ SHRINK = 0.1
 #: One labelled document in so many is kept from the fit, to place the cut.
 HELD = 3
 #: Weight of a good document lost against a bad one kept, in placing the cut.
-GOOD_WEIGHT = 4.0
+GOOD_WEIGHT = 2.0
+#: n-grams to which a longer document's weight is scaled.
+PASSAGE = 200
 _BINS = 2000
 
 
@@ -87,7 +91,8 @@ def _weigh(ratio: np.ndarray):
                 for i in range(len(offsets) - 1):
                     own = words[offsets[i] : offsets[i + 1]]
                     if len(own):
-                        out[first + i] = np.bincount(_buckets(own), minlength=BUCKETS) @ ratio if len(own) > BUCKETS else ratio[_buckets(own)].sum()
+                        grams = _buckets(own)
+                        out[first + i] = ratio[grams].sum() * min(1.0, PASSAGE / len(grams))
             yield batch.drop(columns="text").assign(log_weight=out)
 
     return run
