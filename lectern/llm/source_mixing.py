@@ -32,8 +32,8 @@ BUCKET_ROWS = 2000
 FITS = 8
 #: Share of a source's target below which a gap is left alone.
 NEAR = 0.002
-#: Runs a shard's rows are dealt in.
-RUNS = 16
+#: Copies per run in which a shard's rows are dealt.
+RUN_ROWS = 2000
 MAX_SOURCES = 100_000
 #: Blocks the tree may have to split at most; blocks grow beyond that.
 MAX_BLOCKS = 1 << 28
@@ -245,7 +245,7 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFra
     A shard's rows lie together in runs of its own random order.
     """
     names = docs.columns
-    _, copies = mix(docs, shards, seed)
+    copies = table(mix(docs, shards, seed)[1], "copies")
     key = docs.withColumn("_copy", F.xxhash64(F.col("text").cast("string")))
     taken = copies.select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "copy", "shard", "place")])
     same = (
@@ -253,5 +253,5 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFra
         & F.col("source").cast("string").eqNullSafe(F.col("_m_source"))
         & (F.col("_copy") == F.col("_m_copy"))
     )
-    run = F.pmod(F.shiftright("_m_place", 32), F.lit(RUNS))
+    run = F.pmod(F.shiftright("_m_place", 32), F.lit(max(1, round(copies.count() / shards / RUN_ROWS))))
     return key.join(taken, same).repartition("_m_shard", run).sortWithinPartitions("_m_shard", "_m_place").select(*names)
