@@ -36,7 +36,7 @@ SHRINK = 0.1
 #: One labelled document in so many is kept from the fit, to place the cut.
 HELD = 3
 #: Weight of a good document lost against a bad one kept, in placing the cut.
-GOOD_WEIGHT = 2.0
+GOOD_WEIGHT = 4.0
 #: n-grams to which a longer document's weight is scaled.
 PASSAGE = 200
 _BINS = 2000
