@@ -59,6 +59,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, without making them; 0 for null."""
+    return F.coalesce(F.regexp_count(fold(text), F.lit(r"[\p{L}\p{N}_]+")), F.lit(0))
+
+
 def query_tokens(text: Column) -> Column:
     """Tokens of a query: a bag without stopwords, or all tokens if nothing else is left."""
     every = tokens(text)

@@ -36,18 +36,30 @@ class Fusion:
 PLAIN_FUSION = Fusion(60, 1.0, 1.0, 0.0, 0.0)
 
 
+def _postings(docs: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl), of the asked terms or of all; dl is the document's number of tokens.
+
+    The outer explode keeps the planner from evaluating the tokens a second time
+    for a filter of its own; the null it makes of an empty text goes with the
+    terms.
+    """
+    counted = docs.select("doc", T.tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    rows = counted.where("term is not null") if asked is None else counted.join(F.broadcast(asked), "term", "left_semi")
+    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+
+
+def _stats(docs: DataFrame, text: str) -> DataFrame:
+    """One row: n documents and their average length."""
+    n = F.count("*")
+    return docs.select(T.token_count(F.col(text)).alias("dl")).agg(n.alias("n"), (F.sum("dl") / F.greatest(F.lit(1), n)).alias("avgdl"))
+
+
 def bm25_index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(postings, stats): postings(doc, term, tf, dl), stats one row (n, avgdl).
 
     Postings can be written bucketed by term and reused.
     """
-    counted = docs.select("doc", T.tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("dl"), "t")
-    postings = counted.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "term").agg(
-        F.count("*").alias("tf"), F.max("dl").alias("dl")
-    )
-    n = F.count("*")
-    stats = counted.agg(n.alias("n"), (F.sum("dl") / F.greatest(F.lit(1), n)).alias("avgdl"))
-    return postings, stats
+    return _postings(docs, text), _stats(docs, text)
 
 
 def query_bag(queries: DataFrame, stopwords: bool = True) -> DataFrame:
@@ -59,23 +71,17 @@ def query_bag(queries: DataFrame, stopwords: bool = True) -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame, text: str = "text", stopwords: bool = True) -> DataFrame:
     """(query, doc, score) of documents that hold a query term.
 
-    One scan of the documents: tokens that no query asks for are dropped before
-    anything is shuffled; document frequencies come from what is left.
+    Tokens that no query asks for are dropped before anything is shuffled (the
+    terms of the stated queries are a small set); document frequencies reuse the
+    exchange of the postings.
     """
     bag = query_bag(queries, stopwords)
-    asked = bag.select("term").distinct()
-    counted = docs.select("doc", T.tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("dl"), "t")
-    n = F.count("*")
-    stats = counted.agg(n.alias("n"), (F.sum("dl") / F.greatest(F.lit(1), n)).alias("avgdl"))
-    postings = (
-        counted.select("doc", "dl", F.explode("t").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    )
-    return _scored(postings, stats, bag)
+    return _scored(_postings(docs, text, bag.select("term").distinct()), _stats(docs, text), bag)
 
 
 def _scored(postings: DataFrame, stats: DataFrame, bag: DataFrame) -> DataFrame:
+    # the same columns on both sides, so that the postings are made once
+    postings = postings.where("tf > 0 and dl > 0")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     one = F.broadcast(stats)  # a single row
     weights = bag.join(df, "term").join(one, how="cross").select(
