@@ -174,9 +174,8 @@ def fuse(
     if subjects is not None:
         fused = fused.join(subjects, "doc", "left")
         flag = lambda df, keys, name: (
-            fused.withColumn(name, F.lit(False)) if df is None
-            else fused.join(F.broadcast(df.distinct().withColumn(name, F.lit(True))), keys, "left")
-        )
+            fused.withColumn(name, F.lit(False)) if df is None else fused.join(df.distinct().withColumn(name, F.lit(True)), keys, "left")
+        )
         fused = flag(matched, ["query", "subject"], "_m")
         fused = flag(related, ["query", "subject"], "_r")
         fused = flag(relation_docs, ["query", "doc"], "_d")

@@ -362,3 +362,37 @@ def test_merged_stream_keeps_the_latest(spark, tmp_path):
     job = source.writeStream.foreachBatch(S.merge_latest(str(tmp_path / "out"), ["k"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     job.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "1")).collect())) == [("j", 5, "x"), ("k", 2, "new")]
+
+
+def test_compaction_and_subjects(spark):
+    line = '<http://x/a> <http://x/deep/p> "<http://x/b>" .'
+    assert one(spark, writers.compacted(F.lit(line), {"x": "http://x/", "d": "http://x/deep/"})) == 'x:a d:p "x:b" .'
+    g = spark.createDataFrame([("s", "p", 'q"\n', "literal", None, None), ("s", "p", "o", "iri", None, None)], "s string, p string, o string, o_kind string, lang string, datatype string")
+    import json
+
+    doc = json.loads(writers.json_ld(g).first().json)
+    assert doc["@id"] == "s" and sorted(map(str, doc["p"])) == ["{'@id': 'o'}", "{'@value': 'q\"\\n'}"]
+    with pytest.raises(Exception, match="qualified name"):
+        writers.rdf_xml(g, {"x": "http://x/"}).collect()
+
+
+def test_triples_survive_both_ways_of_writing(spark):
+    rows = [(f"n/{i}", "type", "N", "iri", None, None) for i in range(5)] + [("n/1", "doubted", "n/2", "iri", None, None), ("n/1", "link", "n/2", "iri", None, None), ("n/3", "link", "x", "iri", None, None)]
+    g = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, lang string, datatype string")
+    assert [tuple(r) for r in G.derive_edges(g, ["link"], "N").collect()] == [("n/1", "link", "n/2", False)]
+    assert {r.node for r in G.shape_violations(g, "N", ["link"]).collect()} == {"n/0", "n/2", "n/4"}
+
+
+def test_rendering_skips_stale_spans(spark):
+    from lectern.operators import views as V
+
+    s = spark.createDataFrame([(1, "Zeno met Crates"), (2, "none")], "id long, text string")
+    spans = spark.createDataFrame([(1, 0, 4, "Zeno", "z"), (1, 2, 6, "no m", "x"), (1, 9, 15, "Kratos", "k"), (1, 9, 15, "Crates", "c"), (1, 12, 99, "tes", "y")], "id long, start int, end int, surface string, entity string")
+    out = {r.id: [tuple(p) for p in r.pieces] for r in V.rendered(s, spans).collect()}
+    assert out == {1: [("Zeno", "z"), (" met ", None), ("Crates", "c")], 2: [("none", None)]}
+
+
+def test_unique_links(spark):
+    e = spark.createDataFrame([("a", "k1", "L"), ("a", "k2", "L"), ("b", "k1", "M"), ("c", "k1", "N")], "entity string, category string, label string")
+    o = spark.createDataFrame([("k1", "L", "o1"), ("k2", "L", "o2"), ("k1", "M", "o3"), ("k1", "N", "o4"), ("k1", "N", "o5")], "category string, label string, object string")
+    assert {r.entity: r.object for r in A.unique_link(e, o).collect()} == {"a": None, "b": "o3", "c": None}
