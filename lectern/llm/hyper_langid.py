@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 DIM = 1024
 #: Trigram vectors a worker keeps (bounded memory: CACHE x DIM bytes).
 CACHE = 40_000
@@ -132,7 +134,7 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def prototypes(train: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and their unit prototypes; train: text, lang."""
-    partial = train.where("lang is not null and text is not null").select("text", "lang").mapInPandas(_train, "lang string, sum array<long>")
+    partial = train.where("lang is not null and text is not null").select("text", "lang").mapInPandas(trimmed(_train), "lang string, sum array<long>")
     summed = (
         partial.select("lang", F.posexplode("sum").alias("i", "x"))
         .groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -189,5 +191,5 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     )
     langs, unit = prototypes(own.where("not held_out"))
     return own.select("doc_id", "text", "held_out").mapInPandas(
-        _predict(langs, unit), "doc_id long, held_out boolean, lang_pred string, score double"
+        trimmed(_predict(langs, unit)), "doc_id long, held_out boolean, lang_pred string, score double"
     )

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, trimmed
 from .wordhash import shingle_ids, words_of
 
 BUCKETS = 10_000
@@ -66,7 +66,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _model(texts: DataFrame) -> np.ndarray:
-    rows = texts.select("text").mapInPandas(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select("text").mapInPandas(trimmed(_count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS)  # BUCKETS rows at most
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -162,7 +162,7 @@ def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed:
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(HELD)) == 0
     ratio = log_ratio(_model(labelled.where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held)), _model(own))
     weighed = table(
-        own.withColumn("h", F.xxhash64("text")).mapInPandas(_weigh(ratio), "doc_id long, h long, log_weight double"), "weights"
+        own.withColumn("h", F.xxhash64("text")).mapInPandas(trimmed(_weigh(ratio)), "doc_id long, h long, log_weight double"), "weights"
     )
     known = weighed.join(F.broadcast(marks), "doc_id").where(held).select("quality", "log_weight").toPandas()
     cut = best_cut(known.log_weight[known.quality == 1].to_numpy(), known.log_weight[known.quality != 1].to_numpy())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hyper_langid import held_out
-from .shared import groups, shared_dir, table
+from .shared import groups, shared_dir, table, trimmed
 from .wordhash import mix64, words_of
 
 BEGIN, END = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
@@ -295,15 +295,15 @@ def train(texts: DataFrame) -> Model:
     os.makedirs(folder)
     size = texts.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     slices = max(1, -(-int(size) // SLICE_BYTES))
-    packed = texts.select("text").mapInPandas(_count(slices), "slice int, h binary, f binary, w binary, c binary")
+    packed = texts.select("text").mapInPandas(trimmed(_count(slices)), "slice int, h binary, f binary, w binary, c binary")
     learnt = table(
         packed.repartitionById(slices, "slice").sortWithinPartitions("slice")
-        .mapInPandas(_merge_pairs(folder, slices), "slice int, names binary, facts binary, stats array<long>"),
+        .mapInPandas(trimmed(_merge_pairs(folder, slices)), "slice int, names binary, facts binary, stats array<long>"),
         "learnt",
     )
     merged = table(
         learnt.select("slice", "names", "facts").repartitionById(slices, "slice").sortWithinPartitions("slice")
-        .mapInPandas(_merge_words(folder), "sums array<long>"),
+        .mapInPandas(trimmed(_merge_words(folder)), "sums array<long>"),
         "sums",
     )
     add = lambda df, c, n: [int(x or 0) for x in df.agg(*[F.sum(F.get(c, F.lit(i))).alias(f"s{i}") for i in range(n)]).first()]
@@ -349,4 +349,4 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     )
     model = train(own.where("not held_out"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.mapInPandas(_score(model), schema)
+    return own.mapInPandas(trimmed(_score(model)), schema)

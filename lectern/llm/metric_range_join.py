@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, connected_components, groups, table
+from .shared import Forest, connected_components, groups, table, trimmed
 
 #: Vectors per pivot aimed at, the bound on pivots, and the rows of a block.
 CELL_ROWS, MAX_PIVOTS, BLOCK_ROWS = 5000, 1024, 20_000
@@ -169,7 +169,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * cosine)
     units = table(
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_unit, "vec_id long, v binary"),
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(trimmed(_unit), "vec_id long, v binary"),
         "units",
     )
     classes = table(
@@ -182,17 +182,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         want = min(MAX_PIVOTS, max(1, round(rows / CELL_ROWS)))
         found = classes.where(F.length("v") == 8 * dim).orderBy(F.xxhash64("id"), "id").limit(want).select("v").collect()
         by_size[dim] = np.stack([np.frombuffer(r[0], dtype=np.float64) for r in found])
-    homes = table(classes.mapInPandas(_homes(by_size), "id long, n long, v binary, dim int, home int, d double"), "homes")
+    homes = table(classes.mapInPandas(trimmed(_homes(by_size)), "id long, n long, v binary, dim int, home int, d double"), "homes")
     cells = homes.groupBy("dim", "home").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()  # a row per pivot
     radii = {(r["dim"], r["home"]): r["r"] for r in cells}
-    counted = homes.mapInPandas(_places(by_size, radii, reach, True), "dim int, cell int, n long")
+    counted = homes.mapInPandas(trimmed(_places(by_size, radii, reach, True)), "dim int, cell int, n long")
     size = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
     at_home = homes.groupBy("dim", F.col("home").alias("cell")).agg(size(F.count("*")).alias("lefts"))
     blocks = table(
         counted.groupBy("dim", "cell").agg(size(F.sum("n")).alias("rights")).join(at_home, ["dim", "cell"]), "blocks"
     )  # a row per pivot with a home row
     placed = homes.mapInPandas(
-        _places(by_size, radii, reach, False), "id long, n long, v binary, dim int, cell int, pd double, home boolean"
+        trimmed(_places(by_size, radii, reach, False)), "id long, n long, v binary, dim int, cell int, pd double, home boolean"
     )
     blocked = placed.join(F.broadcast(blocks), ["dim", "cell"])
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -204,7 +204,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         .select("dim", "cell", "i", "j", "left", "id", "n", "v", "pd")
         .repartition("dim", "cell", "i", "j")
         .sortWithinPartitions("dim", "cell", "i", "j")
-        .mapInPandas(_join_tiles(cosine, reach), "id long, links long, to long"),
+        .mapInPandas(trimmed(_join_tiles(cosine, reach)), "id long, links long, to long"),
         "met",
     )
     counts = met.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))

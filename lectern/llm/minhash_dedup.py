@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, connected_components, drop_table, groups, table
+from .shared import Forest, connected_components, drop_table, groups, table, trimmed
 from .wordhash import mix64, shingle_ids, shingles, words_of
 
 BANDS, ROWS = 20, 4
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
     least = int(AGREE * coordinates) if percent >= 85 else int((AGREE - 0.05) * coordinates)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = table(
-        plain.mapInPandas(_describe(n, coordinates), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"),
+        plain.mapInPandas(trimmed(_describe(n, coordinates)), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"),
         "minhash",
     )
     useful = described.where("doc_id is not null and sig is not null")
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
         .select("bucket", "i", "j", "id", "sig")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "id")
-        .mapInPandas(_agreeing(coordinates, least), "a long, b long")
+        .mapInPandas(trimmed(_agreeing(coordinates, least)), "a long, b long")
     )
     families = table(
         connected_components(coarse).select("id", F.col("component").alias("family")), "families"
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
     sets = (
         plain.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("id"), "text")
-        .mapInPandas(_sets(n), "id long, f1 long, set binary")
+        .mapInPandas(trimmed(_sets(n)), "id long, f1 long, set binary")
     )
     body = table(
         families.join(known, "id").join(sets.where("length(set) > 0").dropDuplicates(["id", "f1"]), ["id", "f1"]), "sets"
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
         _tiles(body.select("family", "id", "sig", "set"), "family", blocks)
         .repartition("family", "i", "j")
         .sortWithinPartitions("family", "i", "j", "id")
-        .mapInPandas(_verified(coordinates, least, percent), "a long, b long")
+        .mapInPandas(trimmed(_verified(coordinates, least, percent)), "a long, b long")
     )
     # a document's other texts and its copies join the component of its class
     same = useful.join(classes.drop("sig"), ["f1", "f2", "n_shingles"]).where("doc_id <> id")

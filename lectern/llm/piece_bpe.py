@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 MARK = "▁"
 #: Entries of the segment and pair tables of a worker.
 SEGMENTS, PAIRS = 400_000, 300_000
@@ -229,4 +231,4 @@ def encode_documents(docs: DataFrame, model_path: str, full: bool = False) -> Da
             yield out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(trimmed(run), schema)

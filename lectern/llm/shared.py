@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,31 @@ def groups(
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+Batches = Iterator[pd.DataFrame]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function over batches; its worker gives memory back at the end of the task."""
+
+    @functools.wraps(run)
+    def out(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return out
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
