@@ -299,3 +299,32 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
     repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
     same = F.col("doc_id") == F.col("_id")
     return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+#: near_duplicates on all pairs that share a shingle, for DuckDB.
+ORACLE = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as sh
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (sh) where a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), ends as (
+  select a, b from links union all select b, a from links
+), reach(id, c) as (
+  select doc_id, doc_id from documents
+  union
+  select p.b, r.c from reach r join ends p on p.a = r.id
+), comp as (
+  select id, min(c) as c from reach group by id
+)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept
+from documents join comp on id = doc_id left join n using (doc_id)
+"""

@@ -74,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": minhash_dedup.ORACLE,
         "op4_line_dedup": line_dedup.ORACLE,
         "op5_metric_range_join": metric_range_join.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
