@@ -3,7 +3,7 @@ sorted hash arrays, memory-mapped by the workers that score.
 
 Counting: a task turns chunks of text into distinct word pairs with counts and
 sends them as packed arrays to the slice of the pair (by the first word's hash
-and three bits of the second's, so a frequent word is no hot slice).  A slice
+and two bits of the second's, so a frequent word is no hot slice).  A slice
 merges its arrays and writes one sorted array of pair hashes with counts.  What
 it learnt about words (counts, distinct predecessors and followers) adds up in
 the slice of the word, which writes the sorted array of word hashes with their
@@ -69,8 +69,8 @@ def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
 
 
 def slice_of_pair(first: np.ndarray, second: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of a pair; a frequent first word's followers are spread over eight."""
-    return slice_of(mix64(first ^ (second >> np.uint64(61)) * _SPREAD), slices)
+    """The slice of a pair; a frequent first word's followers are spread over four."""
+    return slice_of(mix64(first ^ (second >> np.uint64(62)) * _SPREAD), slices)
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -150,7 +150,10 @@ def _merge_pairs(folder: str, slices: int):
             h, w = h[first], w[first]
             del first
             _write(f"{folder}/keys-{s}", key)
-            _write(f"{folder}/counts-{s}", np.minimum(count, 2**32 - 1).astype(np.uint32))
+            # nearly all counts fit a byte; the others stand in a list of their own
+            large = np.flatnonzero(count >= 255)
+            _write(f"{folder}/counts-{s}", np.minimum(count, 255).astype(np.uint8))
+            _write(f"{folder}/large-{s}", np.stack((large, count[large]), axis=1).astype(np.int64))
             heads, at = np.unique(h, return_inverse=True)
             size = len(heads)
             context = np.stack(
@@ -175,7 +178,7 @@ def _merge_pairs(folder: str, slices: int):
 
 
 def _merge_words(folder: str):
-    """Facts of a slice's words -> its files, and sums over its words."""
+    """Facts of a slice's words -> its files; sums over its words, then those over its pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["slice"]):
@@ -189,6 +192,7 @@ def _merge_words(folder: str):
             _write(f"{folder}/facts-{s}", facts)
             cnt, cont = facts[:, 0], facts[:, 1]
             sums = [int((cnt > 0).sum()), int(cnt.sum()), int(cont.sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4)), int((cont > 2).sum())]
+            sums += [int(x) for x in np.stack(g["stats"].to_list()).sum(axis=0)]
             yield pd.DataFrame({"sums": [sums]})
 
     return run
@@ -264,9 +268,15 @@ class Model:
         for s in np.flatnonzero(np.diff(cut)):
             part = order[cut[s] : cut[s + 1]]
             at, found = self._find("keys", s, key[part])
-            counts = self._map(f"counts-{s}", np.uint32)
-            if len(counts):
-                out[part] = counts[at] * found
+            counts = self._map(f"counts-{s}", np.uint8)
+            if not len(counts):
+                continue
+            got = counts[at].astype(np.int64)
+            over = np.flatnonzero(got == 255)
+            if len(over):
+                large = self._map(f"large-{s}", np.int64).reshape(-1, 2)
+                got[over] = large[np.searchsorted(large[:, 0], at[over]), 1]
+            out[part] = got * found
         return out
 
     def probabilities(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,18 +306,17 @@ def train(texts: DataFrame) -> Model:
     size = texts.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     slices = max(1, -(-int(size) // SLICE_BYTES))
     packed = texts.select("text").mapInPandas(trimmed(_count(slices)), "slice int, h binary, f binary, w binary, c binary")
-    learnt = table(
-        packed.repartitionById(slices, "slice").sortWithinPartitions("slice")
-        .mapInPandas(trimmed(_merge_pairs(folder, slices)), "slice int, names binary, facts binary, stats array<long>"),
-        "learnt",
-    )
-    merged = table(
-        learnt.select("slice", "names", "facts").repartitionById(slices, "slice").sortWithinPartitions("slice")
-        .mapInPandas(trimmed(_merge_words(folder)), "sums array<long>"),
-        "sums",
-    )
-    add = lambda df, c, n: [int(x or 0) for x in df.agg(*[F.sum(F.get(c, F.lit(i))).alias(f"s{i}") for i in range(n)]).first()]
-    return Model(folder, slices, add(learnt, "stats", 4), add(merged, "sums", 8))
+    by_slice = lambda df: df.repartitionById(slices, "slice").sortWithinPartitions("slice")
+    learnt = by_slice(packed).mapInPandas(trimmed(_merge_pairs(folder, slices)), "slice int, names binary, facts binary, stats array<long>")
+    merged = table(by_slice(learnt).mapInPandas(trimmed(_merge_words(folder)), "sums array<long>"), "sums")
+    sums = _sums(merged, 12)
+    return Model(folder, slices, sums[8:], sums[:8])
+
+
+def _sums(rows: DataFrame, n: int) -> list[int]:
+    """Sums of the places of the array in the column sums."""
+    found = rows.agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
+    return [int(x or 0) for x in found]
 
 
 def _score(model: Model):

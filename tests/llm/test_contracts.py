@@ -356,3 +356,27 @@ def test_quality_rules(docs, rows, empty, spark):
     out = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(site, DOC_SCHEMA)).collect()}
     assert all(out[i] == (i % 2 == 0) for i in range(40))
     assert quality_rules.quality_rules(docs).count() == len(rows) and quality_rules.quality_rules(empty).count() == 0
+
+
+def test_frequent_pairs_keep_their_counts(spark):
+    """Counts above a byte stand apart in the model's files."""
+    rows = [(1, "xx yy " * 300, "aa", "s", 0), (4, "xx zz", "aa", "s", 0)]
+    got = {r.doc_id: r for r in kneser_ney.score_documents(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    b = Counter()
+    for _, text, *_ in rows:
+        t = [*text.split(), "</s>"]
+        b.update(zip(["<s>", *t], t, strict=False))
+    cont, db = Counter(w for _, w in b), kneser_ney.discounts([sum(k == j for k in b.values()) for j in (1, 2, 3, 4)])
+    dw = kneser_ney.discounts([sum(k == j for k in cont.values()) for j in (1, 2, 3, 4)])
+    floor = sum(dw[min(k, 3)] for k in cont.values()) / len(b) / (len(cont) + 1)
+
+    def p(h, w):
+        low = max(cont[w] - dw[min(cont[w], 3)], 0) / len(b) + floor
+        ctx = sum(k for (x, _), k in b.items() if x == h)
+        back = sum(db[min(k, 3)] for (x, _), k in b.items() if x == h)
+        return (max(b[h, w] - db[min(b[h, w], 3)], 0) + back * low) / ctx
+
+    assert b["xx", "yy"] == 300
+    for i, text, *_ in rows:
+        t = [*text.split(), "</s>"]
+        assert got[i].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False)))
