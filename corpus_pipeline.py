@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts."""
-    return line_dedup.without_boilerplate(docs)
+    """Takes cross-site boilerplate lines of any length out of the texts."""
+    return line_dedup.without_boilerplate(docs, min_words=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

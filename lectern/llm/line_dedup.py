@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-#: Words a line needs before it can be boilerplate.
+#: Words a line needs before it can be boilerplate, as in ORACLE; 1 takes every line that is not empty.
 MIN_WORDS = 5
 
 
@@ -28,11 +28,9 @@ def _normal_lines(text: Column) -> Column:
 
 
 def line_hashes(text: Column, min_words: int = MIN_WORDS) -> Column:
-    """One hash per line of the text, null for lines of fewer words."""
-    return F.transform(
-        _normal_lines(text),
-        lambda x: F.when(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= min_words - 1, F.xxhash64(x)),
-    )
+    """One hash per line of the text, null for empty lines and lines of fewer words."""
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.transform(_normal_lines(text), lambda x: F.when((x != "") & (blanks(x) >= min_words - 1), F.xxhash64(x)))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:

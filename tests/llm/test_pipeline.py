@@ -39,6 +39,13 @@ def test_stages_on_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
+def test_lines_of_any_length_go(spark):
+    text = lambda i: f"own {i}\n\nAll rights  reserved.\n版权所有侵权必究\n"
+    rows = [(i, text(i), "aa", f"s{i}", len(text(i))) for i in range(6)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOC_SCHEMA), "").collect()}
+    assert got == {0: text(0)} | {i: f"own {i}\n\n" for i in range(1, 6)}
+
+
 def test_one_query_per_operator():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
