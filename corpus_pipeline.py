@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of every group of near copies."""
-    return minhash_dedup.deduplicated(docs)
+    """Keeps one document of every group of near copies: similarity 0.8 or more."""
+    return minhash_dedup.deduplicated(docs, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

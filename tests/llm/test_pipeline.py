@@ -46,6 +46,16 @@ def test_lines_of_any_length_go(spark):
     assert got == {0: text(0)} | {i: f"own {i}\n\n" for i in range(1, 6)}
 
 
+def test_near_copies_from_four_fifths(spark):
+    a = [f"w{i}" for i in range(100)]
+    b = [f"v{i}" if i in (30, 70) else w for i, w in enumerate(a)]
+    p, q = ({tuple(x[i : i + 5]) for i in range(96)} for x in (a, b))
+    assert 0.80 <= len(p & q) / len(p | q) < 0.85
+    rows = [(i, " ".join(x), "aa", "s", 0) for i, x in enumerate((a, b))]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOC_SCHEMA), "").collect()
+    assert [r.doc_id for r in got] == [0]
+
+
 def test_one_query_per_operator():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
