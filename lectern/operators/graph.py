@@ -7,6 +7,7 @@ orders them.
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import reduce
 
@@ -112,17 +113,17 @@ def select_capped(solutions: DataFrame, cap: int = 1000) -> DataFrame:
     return solutions.limit(cap).join(F.broadcast(total), how="cross")
 
 
-def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(a, b, depth) of all pairs with a path a -> ... -> b of one edge or more, least depth; cycles are harmless.
 
-    Frontier by frontier: each round joins only the pairs found last and drops
-    those known.  Edges need columns a and b.
+    Frontier by frontier, until one is empty: each round joins only the pairs
+    found last and drops those known.  Edges need columns a and b.
     """
     spark = edges.sparkSession
     edges = edges.select("a", "b").distinct()
     every = edges.withColumn("depth", F.lit(1))
     front = every
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):
         step = front.select("a", F.col("b").alias("m")).join(edges.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
         front = step.join(every, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth))
         if spark.conf.get("spark.checkpoint.dir", None):
@@ -132,7 +133,6 @@ def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
         if front.isEmpty():
             return every
         every = every.unionByName(front)
-    return every
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

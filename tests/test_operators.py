@@ -236,6 +236,12 @@ def test_closure_of_a_cycle(spark):
     assert got["a", "a"] == 3 and got["a", "d"] == 3 and got["b", "d"] == 2 and len(got) == 12
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "a int, b int")
+    got = {(r.a, r.b): r.depth for r in G.closure(chain).collect()}
+    assert got == {(a, b): b - a for a in range(53) for b in range(a + 1, 54)}
+
+
 def test_query_forms():
     assert G.query_form("PREFIX a: <http://x#y> # SELECT\n ASK { ?s a:p 'DELETE # x' }") == "ask"
     assert G.query_form("BASE <http://b/> select * {}") == "select"
