@@ -156,13 +156,21 @@ def test_line_dedup(docs, rows, empty, spark):
     table = rows + extra
     for doc_id, text, _, source, _ in table:
         for line in (text or "").split("\n"):
-            if len(words(line)) >= 5:
+            if words(line):
                 sites[norm(line)].add(source)
                 old = first.get(norm(line), doc_id)
                 first[norm(line)] = doc_id if old is None else old if doc_id is None else min(old, doc_id)
     common = {x for x, s in sites.items() if len(s) >= 5}
-    assert common == {"this line is on every site"}
-    got = line_dedup.remove_boilerplate(spark.createDataFrame(table, DOC_SCHEMA)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert common == {"this line is on every site", "short one"}
+    df = spark.createDataFrame(table, DOC_SCHEMA)
+    got = line_dedup.remove_boilerplate(df).select("doc_id", "text", "n_lines", "n_removed").collect()
+    old = line_dedup.FEW_LINES
+    line_dedup.FEW_LINES = 0  # the way of lines too many to broadcast
+    try:
+        again = line_dedup.remove_boilerplate(df).select("doc_id", "text", "n_lines", "n_removed").collect()
+    finally:
+        line_dedup.FEW_LINES = old
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     want = []
     for doc_id, text, *_ in table:
         lines = text.split("\n") if text else []
@@ -173,6 +181,27 @@ def test_line_dedup(docs, rows, empty, spark):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+CLASHING = ("_id", "_h", "_kept", "_gone", "gone", "gone_id", "left_over", "n_lines", "n_removed", "copy", "_copy", "Shard", "place", "m", "id", "h")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """What the operators that hand rows on use inside must not touch a caller's columns."""
+    from pyspark.sql import functions as F
+
+    line = "all rights reserved"
+    rows = [(i, f"{line}\n" + " ".join(f"v{i}x{k}" for k in range(60)), "aa", f"s{i % 8}", 300) for i in range(24)]
+    rows += [(100, rows[0][1], "aa", "s0", 300), (101, rows[1][1], "bb", "s1", 300)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    for out in (
+        line_dedup.without_boilerplate(docs), minhash_dedup.deduplicated(docs),
+        importance_resampling.selected(docs, labels), source_mixing.mixed_documents(docs),
+    ):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHING)
+
+
 def test_emptied_documents_go(spark):
     line = "the very same line of words"
     rows = [(i, line, "aa", f"s{i}", len(line)) for i in range(6)] + [(9, "", "aa", "s9", 0), (10, None, "aa", "s9", None)]
