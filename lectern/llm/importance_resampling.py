@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, trimmed
+from .shared import fresh, table, trimmed
 from .wordhash import shingle_ids, words_of
 
 BUCKETS = 10_000
@@ -174,6 +174,7 @@ def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed:
 
 def selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the sample holds, with their columns."""
-    gone = resample(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    own, digest = fresh(docs.columns, "own_id", "digest")
+    gone = resample(docs, labels, **options).where("not kept").select(F.col("doc_id").alias(own), F.col("h").alias(digest)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(digest))
     return docs.join(gone, same, "left_anti")

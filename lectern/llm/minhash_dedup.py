@@ -8,10 +8,15 @@ signatures are compared, and every pair that can reach the threshold ends up in
 one coarse family.  Families are then verified on the full sets.
 
 Scale.  Documents with equal sets are one class from the start, so copies cost
-one row.  Buckets and families of any size are cut into tiles of two blocks of
-bounded rows and bytes; a tile returns a spanning forest of its links, never
-all pairs.  The text is read twice and never shuffled; the sets of documents
-that have no candidate are never kept.
+one row.  Buckets and families of any size are cut into blocks of bounded rows
+and bytes.  Every block first meets itself and a few representatives of its
+group, which costs one row per member; members that come together with most of
+their group that way need no further comparison, as only a spanning forest of
+links is wanted.  Those left apart are then compared with the whole group in
+tiles of two blocks, so no link is lost; that step alone can grow faster than
+the group, with the number of members left apart.  A tile returns a spanning
+forest, never all pairs.  The text is read twice and never shuffled; the sets of
+documents that have no candidate are never kept.
 
 Misses.  At similarity 0.85 a pair shares no band with probability
 (1 - 0.85**4)**20 < 4e-7 and falls below the agreement asked for with
@@ -28,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Forest, connected_components, drop_table, groups, table, trimmed
+from .shared import Forest, connected_components, drop_table, fresh, groups, table, trimmed
 from .wordhash import mix64, shingle_ids, shingles, words_of
 
 BANDS, ROWS = 20, 4
@@ -36,6 +41,8 @@ BANDS, ROWS = 20, 4
 AGREE = 0.6
 #: Rows and shingles of a block; a tile holds two blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+#: Members of a large group that every block of it is compared with first.
+REPRESENTATIVES = 8
 _STEP = np.uint32(0x9E3779B1)
 
 
@@ -105,8 +112,16 @@ def _describe(n: int, coordinates: int):
     return run
 
 
+def _joined(components: pd.Series) -> Forest:
+    """A forest in which rows of one component already stand together."""
+    forest, first = Forest(len(components)), {}
+    for k, c in enumerate(components.tolist()):
+        forest.join(first.setdefault(c, k), k)
+    return forest
+
+
 def _agreeing(coordinates: int, least: int):
-    """Sorted (bucket, i, j, side, id, sig) rows -> spanning edges of agreeing signatures."""
+    """Sorted (bucket, i, j, id, component, sig) rows -> spanning edges of agreeing signatures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a_out: list[int] = []
@@ -114,7 +129,7 @@ def _agreeing(coordinates: int, least: int):
         for g in groups(batches, ["bucket", "i", "j"]):
             ids = g["id"].to_numpy()
             sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint32).reshape(len(ids), coordinates)
-            forest = Forest(len(ids))
+            forest = _joined(g["component"])
             for x, y in _close_pairs(sig, least):
                 if forest.join(x, y):
                     a_out.append(ids[x])
@@ -172,7 +187,7 @@ def _verified(coordinates: int, least: int, percent: int):
             ids = g["id"].to_numpy()
             sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint32).reshape(len(ids), coordinates)
             sets = [np.frombuffer(s, dtype=np.uint64) for s in g["set"]]
-            forest = Forest(len(ids))
+            forest = _joined(g["component"])
             for x, y in _close_pairs(sig, least):
                 p, q = sets[x], sets[y]
                 small, large = sorted((len(p), len(q)))
@@ -194,17 +209,45 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _tiles(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows of a key in all tiles (i, j), i <= j, that hold their block; sizes: key, blocks."""
-    placed = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = F.transform(
-        F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")),
-        lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")),
-    )
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    return placed.withColumn("t", F.explode(F.when(F.col("blocks") == 1, one).otherwise(spread))).select(
-        key, F.col("t.i").alias("i"), F.col("t.j").alias("j"), *[c for c in rows.columns if c != key]
-    )
+def _beside_representatives(placed: DataFrame, key: str) -> DataFrame:
+    """Tiles (i, 0) of groups: a block of members and, in groups of several blocks, the representatives.
+
+    placed: key, id, blocks (of the group) and further columns.
+    """
+    own = placed.withColumn("i", F.pmod(F.xxhash64("id", key), F.col("blocks")).cast("int"))
+    slot = F.pmod(F.xxhash64("id", F.lit("representative")), F.lit(REPRESENTATIVES))
+    large = placed.where("blocks > 1")
+    chosen = large.groupBy(key, slot.alias("slot")).agg(F.min("id").alias("id")).select(key, "id")
+    beside = large.join(chosen, [key, "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.unionByName(beside).select("*", F.lit(0).alias("j"), F.col("id").alias("component")).drop("blocks")
+
+
+def _rest_beside_all(placed: DataFrame, key: str, found: DataFrame) -> DataFrame | None:
+    """Tiles (i, j) of large groups: a block of members apart from the group's main component, and a block of all.
+
+    found: id, component so far.  None if no member was left apart.
+    """
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return None
+    marked = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counted = marked.groupBy(key, "component").agg(F.count("*").alias("c"))
+    # one row per large group
+    main = counted.groupBy(key).agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c"))
+    main = table(main.select(key, F.col("m.component").alias("main"), (1 - F.col("m.c") / F.col("all")).alias("share")), "apart")
+    if main.isEmpty():
+        return None
+    marked = marked.join(main, key).withColumn("rests", F.ceil(F.col("share") * F.col("blocks")).cast("int"))
+    block = lambda n: F.pmod(F.xxhash64("id", key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = marked.where("component <> main").withColumn("i", block("rests")).withColumn("j", every("blocks"))
+    whole = marked.withColumn("i", every("rests")).withColumn("j", block("blocks"))
+    return rest.unionByName(whole).drop("blocks", "rests", "main", "share")
+
+
+def _met(tiles: DataFrame, key: str, payload: list[str], run) -> DataFrame:
+    rows = tiles.select(key, "i", "j", "id", "component", *payload).repartition(key, "i", "j")
+    return rows.sortWithinPartitions(key, "i", "j", "id").mapInPandas(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
@@ -244,17 +287,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
     )
     members = table(banded.join(crowded, "bucket"), "members")
     known = classes.select("id", "f1", "sig")
-    tiles = _tiles(members.select("bucket", "id"), "bucket", members.select("bucket", "blocks").distinct())
-    coarse = (
-        tiles.join(known, "id")
-        .select("bucket", "i", "j", "id", "sig")
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j", "id")
-        .mapInPandas(trimmed(_agreeing(coordinates, least)), "a long, b long")
-    )
-    families = table(
-        connected_components(coarse).select("id", F.col("component").alias("family")), "families"
-    )
+    sig = classes.select("id", "sig")
+    agree = lambda tiles: _met(tiles.join(sig, "id"), "bucket", ["sig"], _agreeing(coordinates, least))
+    families = table(connected_components(agree(_beside_representatives(members, "bucket"))), "families")
+    rest = _rest_beside_all(members, "bucket", families)
+    if rest is not None:
+        edges = families.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(agree(rest))
+        families = table(connected_components(edges), "families")
+    families = families.withColumnRenamed("component", "family")
     sets = (
         plain.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("id"), "text")
@@ -268,15 +308,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame
             F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum(F.length("set")) / F.lit(8 * BLOCK_SHINGLES))
         ).cast("int").alias("blocks")
     )
-    links = (
-        _tiles(body.select("family", "id", "sig", "set"), "family", blocks)
-        .repartition("family", "i", "j")
-        .sortWithinPartitions("family", "i", "j", "id")
-        .mapInPandas(trimmed(_verified(coordinates, least, percent)), "a long, b long")
-    )
+    placed = body.select("family", "id", "sig", "set").join(blocks, "family")
+    verify = lambda tiles: _met(tiles, "family", ["sig", "set"], _verified(coordinates, least, percent))
+    links = table(verify(_beside_representatives(placed, "family")), "links")
+    if not blocks.where("blocks > 1").isEmpty():
+        rest = _rest_beside_all(placed, "family", connected_components(links))
+        if rest is not None:
+            links = links.unionByName(table(verify(rest), "links"))
     # a document's other texts and its copies join the component of its class
     same = useful.join(classes.drop("sig"), ["f1", "f2", "n_shingles"]).where("doc_id <> id")
-    linked = connected_components(table(links, "links").unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
+    linked = connected_components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     out = described.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     for done in (members, body):
         drop_table(done)
@@ -293,13 +334,21 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 85) -> DataFrame:
     """One row of docs per component of near_duplicates, with its columns.
 
     The row with the smallest doc_id stays.  Rows that repeat a doc_id are one
-    document, of which one row stays; rows without a doc_id all stay.
+    document, of which the row with the least hash of all its columns stays, so
+    reruns agree; rows without a doc_id all stay.  Columns of any name pass
+    through.
     """
-    dropped = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    same = F.col("doc_id") == F.col("_id")
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    own, row, least = fresh(docs.columns, "own_id", "row", "least")
+    dropped = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own)
+    same = F.col("doc_id") == F.col(own)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = (
+        left.join(repeated, same, "left_semi").select("doc_id", whole.alias(row), F.xxhash64(F.to_json(whole)).alias(least))
+        .groupBy("doc_id").agg(F.min_by(row, least).alias(row)).select(f"{row}.*")
+    )
+    return left.join(repeated, same, "left_anti").unionByName(one)
 
 
 #: near_duplicates on all pairs that share a shingle, for DuckDB.

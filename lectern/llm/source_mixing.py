@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -245,13 +245,16 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFra
     A shard's rows lie together in runs of its own random order.
     """
     names = docs.columns
+    parts = ("doc_id", "source", "copy", "shard", "place")
+    digest, *own = fresh(names, "digest", *[f"taken_{p}" for p in parts])
+    doc_id, source, copy, shard, place = own
     copies = table(mix(docs, shards, seed)[1], "copies")
-    key = docs.withColumn("_copy", F.xxhash64(F.col("text").cast("string")))
-    taken = copies.select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "copy", "shard", "place")])
+    key = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
+    taken = copies.select(*[F.col(c).alias(o) for c, o in zip(parts, own, strict=True)])
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_m_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_m_source"))
-        & (F.col("_copy") == F.col("_m_copy"))
+        F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id))
+        & F.col("source").cast("string").eqNullSafe(F.col(source))
+        & (F.col(digest) == F.col(copy))
     )
-    run = F.pmod(F.shiftright("_m_place", 32), F.lit(max(1, round(copies.count() / shards / RUN_ROWS))))
-    return key.join(taken, same).repartition("_m_shard", run).sortWithinPartitions("_m_shard", "_m_place").select(*names)
+    run = F.pmod(F.shiftright(place, 32), F.lit(max(1, round(copies.count() / shards / RUN_ROWS))))
+    return key.join(taken, same).repartition(shard, run).sortWithinPartitions(shard, place).select(*names)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import (
     hyper_langid,
@@ -37,8 +38,6 @@ def rows():
 def docs(spark, rows):
     # extra columns whose names clash with what operators use inside
     df = spark.createDataFrame(rows, DOC_SCHEMA)
-    from pyspark.sql import functions as F
-
     return df.withColumns({c: F.lit(7) for c in ("row", "size", "shard", "line", "id", "family", "kept", "h", "v", "n")})
 
 
@@ -87,11 +86,37 @@ def test_near_duplicates_of_one_large_family(spark):
         got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     finally:
         minhash_dedup.BLOCK_ROWS = old
+    again = minhash_dedup.near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in again} == got
     sets = [shingle_set(t) for _, t in rows]
     links = [(j, i) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     assert [got[i] for i in range(150)] == components(150, links)
 
 
+def test_rows_of_a_large_group_follow_its_size(spark):
+    """A group that hangs together needs a row per member and the representatives, no tiles of all blocks."""
+    old = minhash_dedup.BLOCK_ROWS
+    for n in (2_000, 8_000):
+        blocks = n // 100
+        placed = spark.range(n).select(F.lit(1).alias("family"), "id", F.lit(blocks).alias("blocks"))
+        first = minhash_dedup._beside_representatives(placed, "family")
+        assert first.count() == n + blocks * minhash_dedup.REPRESENTATIVES
+        assert first.groupBy("family", "i", "j").count().agg(F.max("count")).first()[0] < 200
+        together = placed.select("id", F.lit(0).cast("long").alias("component"))
+        assert minhash_dedup._rest_beside_all(placed, "family", together) is None
+        apart = placed.select("id", F.when(F.col("id") % 1000 == 7, F.col("id")).otherwise(0).alias("component"))
+        rest = minhash_dedup._rest_beside_all(placed, "family", apart)
+        pairs = rest.where("component <> 0").select("family", "i", "j", F.col("id").alias("x")).join(rest, ["family", "i", "j"]).select("x", "id").distinct()
+        assert pairs.count() == n // 1000 * n  # every member left apart meets every member
+    assert minhash_dedup.BLOCK_ROWS == old
+
+
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(1, f"text {i} of one document", "aa", "s", i) for i in range(20)] + [(2, None, None, None, None)] * 3
+    pick = lambda r: sorted(map(repr, minhash_dedup.deduplicated(spark.createDataFrame(r, DOC_SCHEMA).repartition(3)).collect()))
+    assert pick(rows) == pick(rows[::-1]) and len(pick(rows)) == 2
+
+
 def test_one_row_per_component(docs, rows):
     left = minhash_dedup.deduplicated(docs)
     ids = [r.doc_id for r in left.select("doc_id").collect()]
@@ -118,8 +143,6 @@ def test_importance_resampling(spark, empty):
 
 
 def test_gumbel_top_k_is_exact(spark):
-    from pyspark.sql import functions as F
-
     values = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 10.0).alias("x"))
     want = sorted((r.x for r in values.collect()), reverse=True)
     for k in (1, 17, 2500, 5000):
@@ -186,8 +209,6 @@ CLASHING = ("_id", "_h", "_kept", "_gone", "gone", "gone_id", "left_over", "n_li
 
 def test_columns_of_any_name_pass_through(spark):
     """What the operators that hand rows on use inside must not touch a caller's columns."""
-    from pyspark.sql import functions as F
-
     line = "all rights reserved"
     rows = [(i, f"{line}\n" + " ".join(f"v{i}x{k}" for k in range(60)), "aa", f"s{i % 8}", 300) for i in range(24)]
     rows += [(100, rows[0][1], "aa", "s0", 300), (101, rows[1][1], "bb", "s1", 300)]
