@@ -77,8 +77,12 @@ def _homes(by_size: dict[int, np.ndarray]):
     return run
 
 
-def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float], reach: float, count: bool):
-    """One row per cell that may hold a partner: cell, d to its pivot, and whether it is home; or their number."""
+def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float], reach: float):
+    """One row per cell that may hold a partner: id, dim, cell, d to its pivot, and whether it is home.
+
+    Distances and radii prune first; only what they leave is held against the
+    half-spaces of all pivots.
+    """
     apart = {k: _distances(p, p) for k, p in by_size.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,6 +90,7 @@ def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float],
             for dim, part in batch.groupby("dim"):
                 pivots = by_size[dim]
                 radius = np.array([radii.get((dim, p), -10.0) for p in range(len(pivots))])
+                step = max(1, 2_000_000 // len(pivots))
                 for lo in range(0, len(part), 2048):
                     own = part.iloc[lo : lo + 2048]
                     cos = _matrix(own["v"]) @ pivots.T
@@ -93,23 +98,16 @@ def _places(by_size: dict[int, np.ndarray], radii: dict[tuple[int, int], float],
                     near = own["d"].to_numpy()[:, None]
                     home = own["home"].to_numpy()
                     inside = (d <= near + 2 * reach + EPS) & (d <= radius[None, :] + reach + EPS)
-                    for p in range(len(pivots)):
-                        inside[:, p] &= (cos - cos[:, [p]] <= reach * apart[dim][p] + EPS).all(axis=1)
                     inside[np.arange(len(home)), home] = True
-                    if count:
-                        yield pd.DataFrame({"dim": np.int32(dim), "cell": np.arange(len(pivots), dtype=np.int32), "n": inside.sum(axis=0)})
-                        continue
                     row, cell = np.nonzero(inside)
+                    stays = np.ones(len(row), dtype=bool)
+                    for f in range(0, len(row), step):
+                        r, c = row[f : f + step], cell[f : f + step]
+                        stays[f : f + step] = (cos[r] - cos[r, c][:, None] <= reach * apart[dim][c] + EPS).all(axis=1)
+                    stays |= home[row] == cell
+                    row, cell = row[stays], cell[stays]
                     yield pd.DataFrame(
-                        {
-                            "id": own["id"].to_numpy()[row],
-                            "n": own["n"].to_numpy()[row],
-                            "v": own["v"].to_numpy()[row],
-                            "dim": np.int32(dim),
-                            "cell": cell.astype(np.int32),
-                            "pd": d[row, cell],
-                            "home": home[row] == cell,
-                        }
+                        {"id": own["id"].to_numpy()[row], "dim": np.int32(dim), "cell": cell.astype(np.int32), "pd": d[row, cell], "home": home[row] == cell}
                     )
 
     return run
@@ -162,39 +160,37 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     copies included; component_id is the smallest vec_id reachable over links;
     kept marks vec_id = component_id.  Vectors that are null, empty or zero or
     hold a null or non-finite component link with nothing, as do vectors of
-    different lengths among each other.  Rows without a vec_id link with
+    different lengths among each other.  Rows that repeat a vec_id are vectors of
+    their own, which only their cosine links.  Rows without a vec_id link with
     nothing: component_id is null, kept is true.  An empty table gives an empty
     result; further columns are ignored.
     """
-    spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * cosine)
     units = table(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(trimmed(_unit), "vec_id long, v binary"),
         "units",
     )
     classes = table(
-        units.where("vec_id is not null and v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")),
+        units.where("vec_id is not null and v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "classes",
-    )
+    )
     sizes = {r[0]: r[1] for r in classes.groupBy((F.length("v") / 8).cast("int")).count().collect()}
     by_size = {}
     for dim, rows in sizes.items():
         want = min(MAX_PIVOTS, max(1, round(rows / CELL_ROWS)))
-        found = classes.where(F.length("v") == 8 * dim).orderBy(F.xxhash64("id"), "id").limit(want).select("v").collect()
+        found = classes.where(F.length("v") == 8 * dim).orderBy(F.xxhash64("v"), "v").limit(want).select("v").collect()
         by_size[dim] = np.stack([np.frombuffer(r[0], dtype=np.float64) for r in found])
     homes = table(classes.mapInPandas(trimmed(_homes(by_size)), "id long, n long, v binary, dim int, home int, d double"), "homes")
-    cells = homes.groupBy("dim", "home").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()  # a row per pivot
+    cells = homes.groupBy("dim", "home").agg(F.max("d").alias("r")).collect()  # a row per pivot
     radii = {(r["dim"], r["home"]): r["r"] for r in cells}
-    counted = homes.mapInPandas(trimmed(_places(by_size, radii, reach, True)), "dim int, cell int, n long")
+    # placed once and without the vectors, to be counted before they are dealt
+    placed = table(homes.mapInPandas(trimmed(_places(by_size, radii, reach)), "id long, dim int, cell int, pd double, home boolean"), "placed")
     size = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
-    at_home = homes.groupBy("dim", F.col("home").alias("cell")).agg(size(F.count("*")).alias("lefts"))
     blocks = table(
-        counted.groupBy("dim", "cell").agg(size(F.sum("n")).alias("rights")).join(at_home, ["dim", "cell"]), "blocks"
+        placed.groupBy("dim", "cell").agg(size(F.count("*")).alias("rights"), size(F.count_if("home")).alias("lefts")).where("lefts > 0"), "blocks"
     )  # a row per pivot with a home row
-    placed = homes.mapInPandas(
-        trimmed(_places(by_size, radii, reach, False)), "id long, n long, v binary, dim int, cell int, pd double, home boolean"
-    )
-    blocked = placed.join(F.broadcast(blocks), ["dim", "cell"])
+    blocked = placed.join(F.broadcast(blocks), ["dim", "cell"]).join(homes.select("id", "n", "v"), "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = blocked.where("home").select("*", block("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("left"))
@@ -208,9 +204,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         "met",
     )
     counts = met.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
-    component = connected_components(met.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    found = classes.join(counts, "id", "left").join(component, "id", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    component = table(connected_components(met.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))), "components")
+    smallest = component.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = component.join(smallest, "component").select("id", "component_id")
+    found = classes.join(counts, "id", "left").join(named, "id", "left").select(
+        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")
     )
     linked = units.where("vec_id is not null").join(found, "v", "left")
     out = linked.unionByName(units.where("vec_id is null"), allowMissingColumns=True)
