@@ -25,8 +25,8 @@ from .shared import trimmed
 DIM = 1024
 #: Trigram vectors a worker keeps (bounded memory: CACHE x DIM bytes).
 CACHE = 40_000
-#: Texts are worked through in pieces of so many characters.
-PIECE = 1 << 20
+#: Texts are worked through in pieces of so many characters, so memory does not follow a text's length.
+PIECE = 1 << 18
 
 
 class _Space:
@@ -89,21 +89,34 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return _IS_LETTER[codes]
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams and sums of their counts."""
+    names, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return names, np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of letters within words, with one blank before and after, and their counts."""
-    raw = (" " + text.lower() + " ").encode("utf-32-le", "surrogatepass")
-    codes = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-    letter = _letters(codes)
-    codes = np.where(letter, codes, 32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the blank after a word; runs of others vanish
-    keep[0] = True
-    codes = codes[keep]
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-    grams = grams[codes[1:-1] != 32]
-    return np.unique(grams, return_counts=True)
+    """Distinct trigrams of letters within words, with one blank before and after, and their counts.
+
+    Pieces overlap by the last two signs, and letters are lower-cased without
+    regard to their neighbours (a final sigma too), so cuts change nothing.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    last = np.array([32], dtype=np.int64)
+    for lo in range(0, len(text), PIECE):
+        raw = text[lo : lo + PIECE].replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
+        codes[~_letters(codes)] = 32
+        codes = np.concatenate((last, codes, [32] if lo + PIECE >= len(text) else []), dtype=np.int64, casting="unsafe")
+        keep = np.ones(len(codes), dtype=bool)
+        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
+        codes = codes[keep]
+        grams = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+        found.append(np.unique(grams[codes[1:-1] != 32], return_counts=True))
+        if len(found) > 8:
+            found = [_merged(found)]
+        last = codes[-2:]
+    return _merged(found)
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -241,27 +241,27 @@ def vectors():
 
 @pytest.mark.parametrize("block,cell", [(20_000, 5000), (7, 10)])
 def test_near_vectors(spark, block, cell):
-    rows = vectors()
+    rows = vectors() + [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0), (3, [0.01, 1.0], 0)]
     old = metric_range_join.BLOCK_ROWS, metric_range_join.CELL_ROWS
     metric_range_join.BLOCK_ROWS, metric_range_join.CELL_ROWS = block, cell
     try:
-        got = {r.vec_id: r for r in metric_range_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+        # columns named like those inside pass by
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as id", "2 as n", "3 as v", "4 as home", "5 as cell")
+        got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in metric_range_join.near_vectors(table).collect()), key=repr)
     finally:
         metric_range_join.BLOCK_ROWS, metric_range_join.CELL_ROWS = old
-    assert len(got) == len(rows)
-    unit = {}
+    unit = []
     for i, v, _ in rows:
-        if i is not None and v and None not in v and np.isfinite(v).all() and any(v):
-            x = np.array(v, dtype=np.float64)
-            unit[i] = x / np.linalg.norm(x)
-    ids = sorted(i for i in got if i is not None)
-    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+        good = i is not None and v and None not in v and np.isfinite(v).all() and any(v)
+        x = np.array(v, dtype=np.float64) if good else None
+        unit.append(x / np.linalg.norm(x) if good else None)
+    k = range(len(rows))
+    links = [(a, b) for a in k for b in k if a < b and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
     n = Counter(x for e in links for x in e)
-    at = {i: k for k, i in enumerate(ids)}
-    comp = components(len(ids), [(at[a], at[b]) for a, b in links])
-    for i in ids:
-        assert (got[i].n_links, got[i].component_id) == (n[i], ids[comp[at[i]]])
-    assert got[None].component_id is None and got[None].n_links == 0
+    comp = components(len(rows), links)
+    least = {c: min(rows[i][0] for i in k if comp[i] == c and rows[i][0] is not None) for c in comp if rows[c][0] is not None}
+    want = [(rows[i][0], n[i], least.get(comp[i]), rows[i][0] is None or least[comp[i]] == rows[i][0]) for i in k]
+    assert got == sorted(want, key=repr)
     assert metric_range_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -278,6 +278,58 @@ def test_language_profiles(spark, sf, docs, rows, empty):
     assert hyper_langid.identify(empty).count() == 0
 
 
+def plain_trigrams(text):
+    out, word = Counter(), ""
+    for c in text.replace("\u03a3", "\u03c3").lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            out.update(f" {word} "[i : i + 3] for i in range(len(word)))
+            word = ""
+    return out
+
+
+def test_trigrams_of_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", " ", "a", "\u039f\u0394\u03a5\u03a3\u03a3\u0395\u03a5\u03a3 \u0130x", *["".join(rng.choice("abC  1.\u03a3\u03c2\u65e5") for _ in range(n)) for n in range(1, 60)]]
+    for piece in (1, 2, 3, 7, 1 << 18):
+        monkeypatch.setattr(hyper_langid, "PIECE", piece)
+        for text in texts:
+            grams, counts = hyper_langid.trigrams(text)
+            got = {"".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)): c for g, c in zip(grams.tolist(), counts.tolist(), strict=True)}
+            assert got == plain_trigrams(text), (piece, text)
+
+
+def test_predictions_by_a_plain_loop(spark, rows):
+    """Sums, prototypes and cosines worked out word by word give the same languages and scores."""
+    more = [(500 + i, t, lang, "s", 0) for i, (t, lang) in enumerate([("tie tie", "bb"), ("tie tie", "aa"), ("xyz", "cc"), ("xyz", "aa"), (None, "dd"), ("12 34", "dd")] * 2)]
+    table = rows + more
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in hyper_langid.identify(spark.createDataFrame(table, DOC_SCHEMA)).collect()), key=repr)
+    space = hyper_langid._Space()
+
+    def profile(text):
+        v = np.zeros(hyper_langid.DIM)
+        for g, c in plain_trigrams(text or "").items():
+            a, b, z = (space.letter(ord(x)).astype(float) for x in g)
+            v += c * np.roll(a, 2) * np.roll(b, 1) * z
+        return v
+
+    sums = {}
+    for i, text, lang, *_ in table:
+        if lang is not None and plain_trigrams(text or "") and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            sums[lang] = sums.get(lang, 0) + profile(text)
+    want = []
+    for i, text, *_ in table:
+        v = profile(text)
+        if not v.any():
+            want.append((i, "und", 0.0))
+            continue
+        cos = {x: float(v @ p) / (np.linalg.norm(v) * np.linalg.norm(p)) for x, p in sums.items()}
+        best = min(cos, key=lambda x: (-cos[x], x))
+        want.append((i, best, round(min(1.0, max(0.0, cos[best])), 9)))
+    assert [(i, p, pytest.approx(s, abs=1e-8)) for i, p, s in sorted(want, key=repr)] == got
+
+
 def test_bundle_is_the_sum_of_bound_vectors():
     grams, counts = hyper_langid.trigrams("Ab, ab")
     space = hyper_langid._Space()
