@@ -5,7 +5,8 @@ three times a source's size).  A source's target is taken in whole passes over
 its documents plus a partial pass: a prefix, in a hashed order, that fits the
 rest, and the one further document whose size is nearest to what is then left.
 
-The copies taken are cut into blocks, the sources' block counts are quotas, and
+The copies taken are cut into blocks (so many that a shard gets about
+SHARD_BLOCKS of them, at every size), the sources' block counts are quotas, and
 a binary tree splits them among the output shards: every node draws its left
 half's counts from the multivariate hypergeometric distribution, so the shards'
 quotas are exact, random and add up.  Blocks are disjoint runs of a source's
@@ -35,8 +36,8 @@ NEAR = 0.002
 #: Copies per run in which a shard's rows are dealt.
 RUN_ROWS = 2000
 MAX_SOURCES = 100_000
-#: Blocks the tree may have to split at most; blocks grow beyond that.
-MAX_BLOCKS = 1 << 28
+#: Blocks per shard aimed at.
+SHARD_BLOCKS = 1024
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> dict[str | None, float]:
@@ -206,7 +207,7 @@ def _dealt(plan: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
         ((r["source"], int(r["c"])) for r in sums.groupBy("source").agg(F.sum("c").alias("c")).collect()),
         key=lambda x: (x[0] is None, x[0] or ""),
     )  # a row per source
-    block = max(1, math.ceil(sum(c for _, c in totals) / MAX_BLOCKS))
+    block = max(1, sum(c for _, c in totals) // (shards * SHARD_BLOCKS))
     tree = split_quotas([math.ceil(c / block) for _, c in totals], shards, seed)
     ends = np.cumsum(tree, axis=0) * block
     bounds = spark.createDataFrame(
