@@ -2,11 +2,15 @@
 
 Words and word pairs are hashed into BUCKETS buckets.  Two multinomial models
 are fitted: the target's (documents labelled good) and the raw text's (all
-documents).  A document's log weight is the sum over its n-grams of the log
-ratio of the two, scaled down to PASSAGE n-grams where it has more, so that
-every document counts as one passage of at most that length (all of its n-grams
-take part; a long text does not pile up the models' common error).  Gumbel noise is added and the documents with the k largest
-keys are the sample, which is sampling without replacement by those weights.
+documents).  A document's log ratio is the sum over its n-grams of the log ratio
+of the two.  The n-grams of one document are not independent draws, as the
+product of the models would have it: a document's topic and language shift all
+of them together, and in a long text the sum piles that up.  The sum is therefore
+divided by the design effect 1 + (n - 1) r, where r, the correlation of n-grams
+within a document, is estimated from the documents the target is fitted on; the
+rule is the same for every length and size.  Gumbel noise is added to this log
+weight and the documents with the k largest keys are the sample, which is
+sampling without replacement by those weights.
 
 k is not a share fixed in advance: it is the number of documents, counted over
 all of them, whose log weight reaches the cut that best separates the labelled
@@ -37,8 +41,6 @@ SHRINK = 0.1
 HELD = 3
 #: Weight of a good document lost against a bad one kept, in placing the cut.
 GOOD_WEIGHT = 4.0
-#: n-grams to which a longer document's weight is scaled.
-PASSAGE = 200
 _BINS = 2000
 
 
@@ -84,20 +86,36 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _weigh(ratio: np.ndarray):
+    """text -> n (of n-grams), log_ratio and the sum of the squared log ratios."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.zeros(len(batch))
+            n, total, squares = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))
             for first, offsets, words in words_of(batch["text"].tolist()):
                 for i in range(len(offsets) - 1):
                     own = words[offsets[i] : offsets[i + 1]]
                     if len(own):
-                        grams = _buckets(own)
-                        out[first + i] = ratio[grams].sum() * min(1.0, PASSAGE / len(grams))
-            yield batch.drop(columns="text").assign(log_weight=out)
+                        found = ratio[_buckets(own)]
+                        n[first + i], total[first + i], squares[first + i] = len(found), found.sum(), found @ found
+            yield batch.drop(columns="text").assign(n=n, log_ratio=total, squares=squares)
 
     return run
 
 
+def correlation(weighed: DataFrame) -> float:
+    """Correlation within documents (analysis of variance) of the log ratios; 0 without two documents of n-grams."""
+    n, s = F.col("n"), F.col("log_ratio")
+    sums = [F.count("*"), F.sum(n), F.sum(n * n), F.sum(s), F.sum("squares"), F.sum(s * s / n)]
+    k, grams, n2, total, squares, between = (float(x or 0) for x in weighed.where("n > 0").agg(*sums).first())
+    if k < 2 or grams <= k:
+        return 0.0
+    size = (grams - n2 / grams) / (k - 1)
+    among = (between - total * total / grams) / (k - 1)
+    within = (squares - between) / (grams - k)
+    whole = among + (size - 1) * within
+    return max(0.0, (among - within) / whole) if whole > 0 else 0.0
+
+
 def gumbel(*parts: Column, seed: int) -> Column:
     """Standard Gumbel noise from a hash of the columns."""
     u = (F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
@@ -140,11 +158,11 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed: int = 11) -> DataFrame:
-    """One row per row of docs: doc_id, log_weight, gumbel_key, kept.
+    """One row per row of docs: doc_id, log_ratio, log_weight, gumbel_key, kept.
 
     labels: doc_id, quality (1 is good) and toxic (1 is never target).  Without
     both good and bad labelled documents nothing can be told apart and all rows
-    are kept.  A null or empty text has log weight 0, as the empty product.
+    are kept.  A null or empty text has log ratio and weight 0, as the empty product.
     Rows that repeat doc_id and text share one key and are kept or dropped
     together; rows without a doc_id draw by their text.  Labels of unknown
     documents and null labels are ignored, of repeated labels the lowest quality
@@ -160,16 +178,23 @@ def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed:
     marks = table(marks, "labels")
     labelled = table(own.join(F.broadcast(marks), "doc_id"), "labelled")
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(HELD)) == 0
-    ratio = log_ratio(_model(labelled.where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held)), _model(own))
-    weighed = table(
-        own.withColumn("h", F.xxhash64("text")).mapInPandas(trimmed(_weigh(ratio)), "doc_id long, h long, log_weight double"), "weights"
+    fitted = (F.col("quality") == 1) & (F.col("toxic") == 0) & ~held
+    ratio = log_ratio(_model(labelled.where(fitted)), _model(own))
+    measured = table(
+        own.withColumn("h", F.xxhash64("text")).mapInPandas(
+            trimmed(_weigh(ratio)), "doc_id long, h long, n long, log_ratio double, squares double"
+        ),
+        "weights",
     )
+    share = correlation(measured.join(F.broadcast(marks), "doc_id").where(fitted))
+    effect = 1 + F.greatest(F.col("n") - 1, F.lit(0)) * F.lit(share)
+    weighed = measured.select("doc_id", "h", "log_ratio", (F.col("log_ratio") / effect).alias("log_weight"))
     known = weighed.join(F.broadcast(marks), "doc_id").where(held).select("quality", "log_weight").toPandas()
     cut = best_cut(known.log_weight[known.quality == 1].to_numpy(), known.log_weight[known.quality != 1].to_numpy())
     k = weighed.where(F.col("log_weight") >= cut).count()
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), F.col("h"), seed=seed))
     threshold = kth_largest(keyed, "gumbel_key", k)
-    return keyed.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= threshold).alias("kept"), "h")
+    return keyed.select("doc_id", "log_ratio", "log_weight", "gumbel_key", (F.col("gumbel_key") >= threshold).alias("kept"), "h")
 
 
 def selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

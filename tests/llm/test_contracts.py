@@ -23,6 +23,7 @@ from lectern.llm import (
     piece_bpe,
     quality_rules,
     source_mixing,
+    wordhash,
 )
 from lectern.llm.models import PIECE_MODEL
 
@@ -142,6 +143,73 @@ def test_importance_resampling(spark, empty):
     assert importance_resampling.resample(empty, labels).count() == 0
 
 
+def test_resampling_by_a_plain_loop(spark, rows):
+    """Models, correlation, weights, noise, cut and sample worked out document by document."""
+    import xxhash
+
+    rng = random.Random(12)
+    table = [r for r in rows if r[0] is not None] + [(600 + i, prose(rng, 30 + i, 90).replace("w", "j"), "aa", "s", 0) for i in range(40)]
+    table += [table[4], table[4], (None, prose(rng, 40), "aa", "s", 0)]
+    marks = {i: (1, 0) for i in range(40)} | {600 + i: (0, 0) for i in range(40)} | {3: (1, 1), 300: (1, 0)}
+    # columns named like those inside pass by
+    docs = spark.createDataFrame(table, DOC_SCHEMA).selectExpr("*", "1 as h", "2 as n", "3 as log_weight", "4 as quality", "'x' as toxic")
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in marks.items()] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    marks[5] = (0, 0)
+    seed, size = 11, importance_resampling.BUCKETS
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def xx(*parts):
+        out = 42
+        for p in parts:
+            if p is not None:
+                data = p.encode() if isinstance(p, str) else (p[0] & 0xFFFFFFFF).to_bytes(4, "little") if isinstance(p, tuple) else (p & (1 << 64) - 1).to_bytes(8, "little")
+                out = xxhash.xxh64_intdigest(data, out)
+        return signed(out)
+
+    def grams(text):
+        out = Counter()
+        for _, offsets, hashes in wordhash.words_of([text]):
+            own = hashes.tolist()
+            assert len(own) == len(words(text)) == offsets[1]
+            out.update(h % size for h in own)
+            for a, b in zip(hashes[:-1], hashes[1:], strict=True):
+                out[int(wordhash.shingle_ids(np.array([a, b]), 2)[0]) % size] += 1
+        return out
+
+    every = [(i, t, grams(t)) for i, t, *_ in table]
+    held = lambda i: xx(i, (seed + 1,)) % 3 == 0
+    fit = [g for i, _, g in every if i in marks and marks[i] == (1, 0) and not held(i)]
+    target, raw = sum(fit, Counter()), sum((g for _, _, g in every), Counter())
+    tn, rn = sum(target.values()), sum(raw.values()) + size
+
+    def ratio(b):
+        base = (raw[b] + 1) / rn
+        return math.log((target[b] + importance_resampling.SHRINK * tn * base) / (tn * (1 + importance_resampling.SHRINK))) - math.log(base)
+
+    lists = [[ratio(b) for b, c in g.items() for _ in range(c)] for g in fit if g]
+    n = [len(x) for x in lists]
+    mean = sum(map(sum, lists)) / sum(n)
+    among = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in lists) / (len(n) - 1)
+    within = sum((y - sum(x) / len(x)) ** 2 for x in lists for y in x) / (sum(n) - len(n))
+    typical = (sum(n) - sum(x * x for x in n) / sum(n)) / (len(n) - 1)
+    r = max(0.0, (among - within) / (among + (typical - 1) * within))
+    assert r > 0
+    weight = []
+    for i, t, g in every:
+        total, k = sum(c * ratio(b) for b, c in g.items()), sum(g.values())
+        u = ((xx(i, xx(t), (seed,)) & (1 << 64) - 1) >> 11) + 0.5
+        weight.append((i, total, total / (1 + max(0, k - 1) * r), -math.log(-math.log(u / (1 << 53)))))
+    cut = importance_resampling.best_cut(*(np.array([w for i, _, w, _ in weight if i in marks and held(i) and (marks[i][0] == 1) == good]) for good in (True, False)))
+    k = sum(w >= cut for _, _, w, _ in weight)
+    limit = sorted((w + z for _, _, w, z in weight), reverse=True)[k - 1]
+    want = sorted(((-1 if i is None else i), round(s, 6), round(w, 6), round(w + z, 6), w + z >= limit) for i, s, w, z in weight)
+    got = importance_resampling.resample(docs, labels, seed=seed).collect()
+    have = sorted((-1 if r.doc_id is None else r.doc_id, round(r.log_ratio, 6), round(r.log_weight, 6), round(r.gumbel_key, 6), r.kept) for r in got)
+    assert len(have) == len(want) and 0 < k < len(want)
+    for x, y in zip(have, want, strict=True):
+        assert x[0] == y[0] and x[1:4] == pytest.approx(y[1:4], abs=1e-5) and x[4] == y[4]
+
+
 def test_gumbel_top_k_is_exact(spark):
     values = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 10.0).alias("x"))
     want = sorted((r.x for r in values.collect()), reverse=True)
