@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,10 +108,26 @@ def describe(graph: DataFrame, *subjects: str) -> DataFrame:
     return seeds.unionByName(hop.select(*graph.columns)).distinct()
 
 
-def select_capped(solutions: DataFrame, cap: int = 1000) -> DataFrame:
-    """At most cap rows (the feature of the endpoint) with the full number of rows next to them."""
+def select_capped(solutions: DataFrame, cap: int = 1000, *order: str) -> DataFrame:
+    """At most cap rows (the feature of the endpoint), the first in order, with the full number of rows next to them."""
     total = solutions.agg(F.count("*").alias("row_count"))
-    return solutions.limit(cap).join(F.broadcast(total), how="cross")
+    rows = solutions.orderBy(*order) if order else solutions
+    return rows.limit(cap).join(F.broadcast(total), how="cross")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once into the checkpoint folder, its lineage cut.
+
+    The folder is the session's spark.checkpoint.dir; only a local session
+    without one gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -119,17 +136,12 @@ def closure(edges: DataFrame) -> DataFrame:
     Frontier by frontier, until one is empty: each round joins only the pairs
     found last and drops those known.  Edges need columns a and b.
     """
-    spark = edges.sparkSession
     edges = edges.select("a", "b").distinct()
     every = edges.withColumn("depth", F.lit(1))
     front = every
     for depth in itertools.count(2):
         step = front.select("a", F.col("b").alias("m")).join(edges.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
-        front = step.join(every, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            front = front.checkpoint()
-        else:
-            front = front.persist()
+        front = settled(step.join(every, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return every
         every = every.unionByName(front)
@@ -162,14 +174,25 @@ def degrees(edges: DataFrame) -> DataFrame:
 def succession(edges: DataFrame) -> DataFrame:
     """(pupil, parent, depth): the first teacher, else the first influence, is the parent; roots have depth 0.
 
-    edges: pupil, teacher, kind (teacher, influence), ord.  Depths grow level by
-    level from the roots; a cycle without a root stays without depth.
+    edges: pupil, teacher, kind (teacher, influence), ord.  Every pupil points to
+    an ancestor and doubles the distance per round, so rounds follow the
+    logarithm of the depth; a cycle, and what hangs from one, stays without depth.
     """
-    window = Window.partitionBy("pupil").orderBy((F.col("kind") != "teacher").cast("int"), "ord")
-    parent = edges.withColumn("n", F.row_number().over(window)).where("n = 1").select("pupil", F.col("teacher").alias("parent"))
+    parent = edges.groupBy("pupil").agg(F.min_by("teacher", F.struct(F.col("kind") != "teacher", "ord")).alias("parent"))
     roots = parent.select(F.col("parent").alias("name")).distinct().join(parent.select(F.col("pupil").alias("name")), "name", "left_anti")
-    level = closure(parent.select(F.col("parent").alias("a"), F.col("pupil").alias("b"))).join(roots.withColumnRenamed("name", "a"), "a", "left_semi")
-    depth = level.groupBy(F.col("b").alias("pupil")).agg(F.min("depth").alias("depth"))
+    top = roots.select(F.col("name").alias("up"), F.lit(True).alias("top"))
+    jumps = settled(parent.select("pupil", F.col("parent").alias("up"), F.lit(1).alias("depth")).join(top, "up", "left"))
+    left = None
+    while True:
+        open_ = jumps.where("top is null")
+        n = open_.count()
+        if n in (0, left):  # nobody came to a root this round, so nobody will
+            break
+        left = n
+        far = jumps.select(F.col("pupil").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("top").alias("end"))
+        moved = open_.drop("top").join(far, "up").select("pupil", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("top"))
+        jumps = settled(jumps.where("top").select("pupil", "up", "depth", "top").unionByName(moved))
+    depth = jumps.where("top").select("pupil", "depth")
     return parent.join(depth, "pupil", "left").unionByName(roots.select(F.col("name").alias("pupil"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
 
 

@@ -291,6 +291,20 @@ def section_order(section_id: Column) -> list[Column]:
     return [p[0].cast("int"), F.coalesce(F.get(p, F.lit(1)).try_cast("int"), F.lit(-1)), F.regexp_extract(last, r"^(\d+)", 1).try_cast("int"), F.regexp_extract(last, r"^\d*(.*)$", 1)]
 
 
+def placed(rows: DataFrame, lead: list[Column], rest: list[Column | str], name: str = "place") -> DataFrame:
+    """Adds the row's place, from 1, in the order of lead and then rest; lead holds no nulls.
+
+    Two-level: rows are counted per value of lead, the counts are summed in order
+    (a row per value), and only rows of one value are put in order together.
+    """
+    keyed = rows.withColumn("_lead", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(lead)]))
+    counts = keyed.groupBy("_lead").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_lead", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_lead").orderBy(*rest))
+    return keyed.withColumn("_i", inside).join(offsets, "_lead").withColumn(name, F.col("_o") + F.col("_i")).drop("_lead", "_i", "_o")
+
+
 def overlaps_resolved(spans: DataFrame, key: str) -> DataFrame:
     """Spans that do not overlap, per key: earliest start, then longest, then not heuristic; greedy.
 

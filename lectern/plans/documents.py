@@ -93,17 +93,24 @@ def _tag_sections(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), "text")
 
 
-@query()  # longest match with offsets is tested against a loop; its counts are checked by tag_counts
+#: Runs of letters and of other signs with their offsets; a run that equals a surface is a match, two words before one.
+_MATCHES = r"""
+r as (select doc_id, source, unnest(x) as w, unnest(range(1, len(x) + 1)) as i from (select doc_id, source, regexp_extract_all(text, '\p{L}+|[^\p{L}]+') as x from documents)),
+o as (select *, lead(w, 1) over q as w1, lead(w, 2) over q as w2, coalesce(sum(length(w)) over (q rows between unbounded preceding and 1 preceding), 0) as start from r window q as (partition by doc_id order by i)),
+hit as (select doc_id as id, start::int as start, case when w = 'and' and w1 = ' ' and w2 = 'of' then 'and of' else w end as surface, source from o
+  where w in ('the', 'Der', 'and', 'Of', 'que', 'La', 'En') or (w = 'Re' and source = 'src3'))
+"""
+
+
+@query(rf"""with {_MATCHES} select id, start, start + length(surface)::int as "end", surface, surface = 'Re' as heuristic,
+  case surface when 'En' then case when source in ('src1', 'src2') then 'scoped' else 'E7' end when 'Re' then 'guess' when 'the' then 'E0' when 'Der' then 'E1' when 'and of' then 'E2' when 'and' then 'E3' when 'Of' then 'E4' when 'que' then 'E5' when 'La' then 'E6' end as entity from hit""")
 def tag_scan(spark, sf_dir):
     return A.annotate(A.scan(_tag_sections(spark, sf_dir), dictionary(spark)))
 
 
-@query(r"""with t as (select doc_id, source, regexp_replace(text, '([^\p{L}])', '\1\1', 'g') as t from documents)
-select 'the' as surface, sum(len(regexp_extract_all(t, '(?:^|[^\p{L}])the(?:$|[^\p{L}])')))::bigint as n from t union all select 'Der', sum(len(regexp_extract_all(t, '(?:^|[^\p{L}])Der(?:$|[^\p{L}])')))::bigint from t
-union all select 'Re', sum(len(regexp_extract_all(t, '(?:^|[^\p{L}])Re(?:$|[^\p{L}])')))::bigint from t where source = 'src3' union all select 'La', sum(len(regexp_extract_all(t, '(?:^|[^\p{L}])La(?:$|[^\p{L}])')))::bigint from t""")
+@query(rf"with {_MATCHES} select surface, count(*)::bigint as n from hit group by surface")
 def tag_counts(spark, sf_dir):
-    spans = A.scan(_tag_sections(spark, sf_dir), dictionary(spark)).where("surface in ('the', 'Der', 'Re', 'La')")
-    return spans.groupBy("surface").agg(F.count("*").alias("n"))
+    return A.scan(_tag_sections(spark, sf_dir), dictionary(spark)).groupBy("surface").agg(F.count("*").alias("n"))
 
 
 @query(r"""with w as (select doc_id, unnest(regexp_extract_all(replace(strip_accents(lower(text)), 'ς', 'σ'), '\p{L}+')) as t from documents)
@@ -143,20 +150,25 @@ def snapshot_hash(spark, sf_dir):
     return writers.snapshot_hash(writers.snapshot_lines(rows, ["doc_id", "lang", "source"]))
 
 
-@query("""with b as (select doc_id // 100 as book, min(doc_id) as o, string_agg('<div type="section" n="' || doc_id || '"><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p></div>', '' order by doc_id) as b from documents where doc_id < 150 group by 1)
-select md5('<TEI><teiHeader><title>sample</title></teiHeader><text><body>' || string_agg('<div type="book" n="' || book || '">' || b || '</div>', '' order by o) || '</body></text></TEI>') as xml_md5 from b""")
+@query("""select doc_id // 100 as book, md5('<TEI><teiHeader><title>sample</title></teiHeader><text><body><div type="book" n="' || (doc_id // 100) || '">'
+  || string_agg('<div type="section" n="' || doc_id || '"><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p></div>', '' order by doc_id) || '</div></body></text></TEI>') as xml_md5
+from documents group by doc_id // 100""")
 def tei_document(spark, sf_dir):
-    s = sections(spark, sf_dir).where("ord < 150").withColumn("id", F.col("ord"))
-    return writers.tei_document(s, "sample").select(F.md5(F.col("xml").cast("binary")).alias("xml_md5"))
+    """A document per book."""
+    s = sections(spark, sf_dir).withColumn("id", F.col("ord"))
+    return writers.tei_books(s, "sample").select(F.col("book").cast("long").alias("book"), F.md5(F.col("xml").cast("binary")).alias("xml_md5"))
 
 
-@query("select p, count(*)::bigint as n from (select unnest(['type', 'label', 'text', 'citation', 'life']) as p from documents) group by p union all select 'start', count(*) from documents where starts_with(text, 'The ')")
+@query("""with p as (select 'http://x.org/passage/' || doc_id as s, unnest(['type', 'label', 'text', 'citation', 'life']) as p,
+    unnest(['http://x.org/Passage', 'D ' || doc_id, md5(text), doc_id::varchar, 'http://x.org/life/' || source]) as o from documents union all
+  select 'http://x.org/annotation/' || doc_id || '-0', unnest(['type', 'body', 'target', 'start', 'end', 'exact']),
+    unnest(['http://x.org/Annotation', 'http://x.org/entity/article', 'http://x.org/passage/' || doc_id, '0', '3', 'The']) from documents where starts_with(text, 'The '))
+select s, p, o from p""")
 def passage_triples(spark, sf_dir):
     s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("D "), F.col("doc_id").cast("string")).alias("label"), F.col("source").alias("owner"), "text")
     spans = s.where(F.startswith("text", F.lit("The "))).select("id", F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("article").alias("entity"), F.lit("The").alias("surface"))
     out = writers.passage_triples(s, spans, "http://x.org/")
-    own = out.where("s like '%/passage/%'").unionByName(out.where("p = 'start'"))
-    return own.groupBy("p").agg(F.count("*").alias("n"))
+    return out.select("s", "p", F.when(F.col("p") == "text", F.md5(F.col("o").cast("binary"))).otherwise(F.col("o")).alias("o"))
 
 
 @query("""select conv_id, count(*)::bigint as rows, count_if(ok)::bigint as good from (select conv_id, turn % 3 <> 1 and role <> 'system' as ok from conversations) group by 1""")
@@ -172,16 +184,16 @@ def json_lines(spark, sf_dir):
 @query("""select event_id, regexp_extract(props, '"k": ([0-9]+)', 1)::int as k from events where event_id % 4 <> 0""")
 def batch_parse(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("# "), "props")).otherwise(F.concat(F.lit('{"event_id": "'), F.col("event_id").cast("string"), F.lit('", '), F.substring("props", 2, 1000)))
+    line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("# "), "props")).otherwise(F.concat(F.lit('{"event_id": "'), F.col("event_id").cast("string"), F.lit('", '), F.substring("props", F.lit(2), F.length("props"))))
     rows = readers.parse_batch(e.select(line.alias("value")), "event_id string, k int, note string", "event_id", {"note": "none"})
     return rows.select(F.col("event_id").cast("long").alias("event_id"), "k")
 
 
-@query("""with v as (select l_orderkey, l_linenumber, min(l_returnflag) as f from lineitem where l_orderkey < 2000 group by 1, 2)
+@query("""with v as (select l_orderkey, l_linenumber, min(l_returnflag) as f from lineitem group by 1, 2)
 select l_orderkey as section, l_linenumber::int as pos, case when a = b then 't' || l_linenumber end as translated from (
-  select l_orderkey, l_linenumber, count(*) over (partition by l_orderkey) as a, (select count(*) from v y where y.l_orderkey = x.l_orderkey and y.f <> 'R') as b from v x)""")
+  select l_orderkey, l_linenumber, count(*) over (partition by l_orderkey) as a, count(case when f <> 'R' then 1 end) over (partition by l_orderkey) as b from v)""")
 def verse_alignment(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("section"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_returnflag").alias("f"))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("section"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_returnflag").alias("f"))
     left = rows.select("section", "pos", F.lit("o").alias("lines"))
     right = rows.where("f <> 'R'").select("section", "pos", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("lines"))
     return readers.aligned(left, right).select("section", "pos", "translated")

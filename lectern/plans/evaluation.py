@@ -1,8 +1,7 @@
 """Evaluation of rankings over benchmark topics and labels.
 
-Topics are benchmark items; a document that holds the first 80 characters of an
-item is relevant to it (grade 2), one that shares its subject number is slightly
-relevant (grade 1).  Labels play judges: quality and toxic are two annotators,
+Topics are benchmark items; a document that holds a whole item is relevant to it
+(grade 2), one that shares its subject number is slightly relevant (grade 1).  Labels play judges: quality and toxic are two annotators,
 quality again with every fifth grade turned round is a third.
 """
 
@@ -15,15 +14,12 @@ from lectern.operators import evaluation as E
 from .registry import query, read
 from .retrieval import _BM25, _DENSE, dense_pool, sparse_pool
 
-PREFIX = 80
-
-
 def qrels(spark, sf_dir):
-    """topic, passage, grade; the bounded topic list meets the documents by a nested scan."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), F.substring("text", 1, PREFIX).alias("needle"))
+    """topic, passage, grade."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), F.col("text").alias("needle"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage"), "text")
-    hits = docs.join(F.broadcast(items), F.contains("text", "needle")).select("topic", "passage", F.lit(2.0).alias("grade"))
-    weak = docs.select("passage").where("passage % 250 < 40").select((F.col("passage") % 250).alias("topic"), "passage", F.lit(1.0).alias("grade"))
+    hits = E.holding(docs, items).select("topic", "passage", F.lit(2.0).alias("grade"))
+    weak = docs.select((F.col("passage") % 250).alias("topic"), "passage", F.lit(1.0).alias("grade"))
     return hits.unionByName(weak.join(items.select("topic"), "topic", "left_semi")).groupBy("topic", "passage").agg(F.max("grade").alias("grade"))
 
 
@@ -44,8 +40,8 @@ def run_lines(spark, sf_dir, which):
 
 _QRELS = f"""
 qr as (select topic, passage, max(grade) as grade from (
-  select item_id as topic, doc_id as passage, 2.0::double as grade from benchmark b join documents d on contains(d.text, left(b.text, {PREFIX}))
-  union all select doc_id % 250, doc_id, 1.0 from documents where doc_id % 250 in (select item_id from benchmark) and doc_id % 250 < 40) group by all),
+  select item_id as topic, doc_id as passage, 2.0::double as grade from benchmark b join documents d on contains(d.text, b.text)
+  union all select doc_id % 250, doc_id, 1.0 from documents where doc_id % 250 in (select item_id from benchmark)) group by all),
 tp as (select item_id as topic, item_id % 8 = 5 as must_abstain, case when item_id % 8 = 5 then ['false_premise', 'underspecified', 'homonym'][(item_id // 8 % 3 + 1)::int] end as abstain_type,
   case when item_id % 10 = 4 then 'dataset_aggregate' end as reason from benchmark),
 ideal as (select topic, count(*) as n_relevant, sum(case when i <= 10 then grade / log2(i + 1) else 0 end) as ideal from (select *, row_number() over (partition by topic order by grade desc, passage) as i from qr) group by topic)

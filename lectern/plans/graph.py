@@ -110,10 +110,9 @@ def group_and_limit(spark, sf_dir):
     return rows.groupBy("nation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "nation").limit(7)
 
 
-@query("select count(*)::bigint as rows, max(row_count)::bigint as row_count from (select 1, (select count(*) from customer) as row_count from customer limit 1000)")
+@query("select 'c/' || c_custkey as c, (select count(*) from customer)::bigint as row_count from customer order by c limit 1000")
 def select_capped(spark, sf_dir):
-    rows = G.select_capped(G.pattern(graph(spark, sf_dir), "?c", "type", "Customer"))
-    return rows.agg(F.count("*").alias("rows"), F.max("row_count").alias("row_count"))
+    return G.select_capped(G.pattern(graph(spark, sf_dir), "?c", "type", "Customer"), 1000, "c")
 
 
 @query("""select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and 'n/' || a.n_nationkey < 'n/' || b.n_nationkey and a.n_name <> b.n_name""")
@@ -151,11 +150,11 @@ def shape_check(spark, sf_dir):
     return G.shape_violations(graph(spark, sf_dir), "Supplier", ["label", "locatedIn"], ["locatedIn"])
 
 
-_EDGES = "e as (select distinct l_suppkey % 60 as a, l_partkey % 60 as b from lineitem where l_orderkey < 120)"
+_EDGES = "e as (select distinct l_suppkey as a, l_partkey as b from lineitem)"
 
 
 def edges(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_orderkey < 120").select((F.col("l_suppkey") % 60).alias("a"), (F.col("l_partkey") % 60).alias("b")).distinct()
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
 @query(f"with {_EDGES} select a, b from e where a <> b union select b, a from e where a <> b")
@@ -173,30 +172,30 @@ def node_degrees(spark, sf_dir):
     return G.degrees(edges(spark, sf_dir))
 
 
-@query(f"with {_EDGES} select a, b from e where a < 40 and b < 40")
+@query(f"with {_EDGES}, n as (select s_suppkey as name from supplier where s_acctbal > 0) select a, b from e where a in (select name from n) and b in (select name from n)")
 def edges_of_nodes(spark, sf_dir):
-    nodes = spark.range(40).select(F.col("id").alias("name"))
+    nodes = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("name"))
     return G.connected_nodes_only(edges(spark, sf_dir), nodes)
 
 
-_SUCC = "x as (select l_orderkey as pupil, l_orderkey // 2 - (l_linenumber % 2) * 3 as teacher, case when l_returnflag = 'A' then 'teacher' else 'influence' end as kind, l_linenumber as ord from lineitem where l_orderkey between 20 and 400 and l_linenumber <= 3)"
+_SUCC = "x as (select l_orderkey as pupil, l_orderkey // 2 - (l_linenumber % 2) * 3 as teacher, case when l_returnflag = 'A' then 'teacher' else 'influence' end as kind, l_linenumber as ord from lineitem)"
 
 
 @query(f"""with recursive {_SUCC}, par as (select pupil, arg_min(teacher, case when kind = 'teacher' then 0 else 10 end + ord) as parent from x group by pupil),
 roots as (select distinct parent as name from par where parent not in (select pupil from par)), d(name, depth) as (select name, 0 from roots union all select pupil, depth + 1 from d join par on parent = name)
 select pupil::varchar as pupil, parent::varchar as parent, depth::int as depth from par left join (select name, min(depth) as depth from d group by name) on name = pupil union all select name::varchar, null, 0 from roots""")
 def succession_depth(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey between 20 and 400 and l_linenumber <= 3")
+    rows = read(spark, sf_dir, "lineitem")
     teacher = F.expr("l_orderkey div 2") - (F.col("l_linenumber") % 2) * 3
     e = rows.select(F.col("l_orderkey").cast("string").alias("pupil"), teacher.cast("string").alias("teacher"), F.when(F.col("l_returnflag") == "A", "teacher").otherwise("influence").alias("kind"), F.col("l_linenumber").alias("ord"))
     return G.succession(e)
 
 
-@query("""with recursive isa as (select p_partkey as b, p_partkey // 3 as a from part where p_partkey between 3 and 300), t(b, a, depth) as (select b, a, 1 from isa union all select t.b, isa.a, depth + 1 from t join isa on isa.b = t.a),
-own as (select p_partkey as concept, p_size as v from part where p_partkey <= 300)
+@query("""with recursive isa as (select p_partkey as b, p_partkey // 3 as a from part where p_partkey >= 3), t(b, a, depth) as (select b, a, 1 from isa union all select t.b, isa.a, depth + 1 from t join isa on isa.b = t.a),
+own as (select p_partkey as concept, p_size as v from part)
 select concept, v, min(depth)::int as depth from (select concept, v, 0 as depth from own union all select t.b, v, depth from t join own on concept = t.a) group by concept, v""")
 def inherited_values(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey <= 300")
+    p = read(spark, sf_dir, "part")
     up = p.where("p_partkey >= 3").select(F.expr("p_partkey div 3").alias("a"), F.col("p_partkey").alias("b"))
     return G.inherited(G.closure(up), p.select(F.col("p_partkey").alias("concept"), F.col("p_size").alias("v")), "v")
 
@@ -213,15 +212,21 @@ def turtle_lines(spark, sf_dir):
     return writers.ntriples(graph(spark, sf_dir))
 
 
-@query("""select 'n/' || n_nationkey as s, '{"@id":"n/' || n_nationkey || '","label":[' || '{"@value":"' || n_name || '","@language":"en"}' || case when n_nationkey % 2 = 0 then ',{"@value":"Z' || n_name || '"}' else '' end
-  || '],"partOf":[{"@id":"r/' || n_regionkey || '"}],"type":[{"@id":"Nation"}]}' as json from nation""")
+_BODY = """
+val as (select distinct s, p, case when k = 'literal' then '{{"@value":"' || o || '"' || case when lang is not null then ',"@language":"' || lang || '"' else '' end || '}}' else '{{"@id":"' || o || '"}}' end as v,
+  '<x:' || p || case when k = 'literal' then case when lang is not null then ' xml:lang="' || lang || '"' else '' end || '>' || o || '</x:' || p || '>' else ' rdf:resource="' || o || '"/>' end as e from g),
+pv as (select s, p, '"' || p || '":[' || string_agg(v, ',' order by v) || ']' as body from val group by s, p)
+""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""with {_GRAPH}, {_BODY} select s, '{{"@id":"' || s || '",' || string_agg(body, ',' order by body) || '}}' as json from pv group by s""")
 def json_ld(spark, sf_dir):
-    return writers.json_ld(graph(spark, sf_dir).where("s like 'n/%'"))
+    return writers.json_ld(graph(spark, sf_dir))
 
 
-@query("""select 'r/' || r_regionkey as s, '<rdf:Description rdf:about="r/' || r_regionkey || '"><x:label xml:lang="en">' || r_name || '</x:label><x:type rdf:resource="Region"/></rdf:Description>' as xml from region""")
+@query(f"""with {_GRAPH}, {_BODY} select s, '<rdf:Description rdf:about="' || s || '">' || string_agg(e, '' order by e) || '</rdf:Description>' as xml from val group by s""")
 def rdf_xml(spark, sf_dir):
-    g = graph(spark, sf_dir).where("s like 'r/%'").withColumn("p", F.concat(F.lit("http://x.org/"), "p"))
+    g = graph(spark, sf_dir).withColumn("p", F.concat(F.lit("http://x.org/"), "p"))
     return writers.rdf_xml(g, {"x": "http://x.org/"})
 
 

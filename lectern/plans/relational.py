@@ -55,7 +55,7 @@ def exists_filter(spark, sf_dir):
 
 @query("""
 select 'dangling' as rule, doc_id::varchar as key from labels where doc_id not in (select doc_id from documents where doc_id % 3 <> 0)
-union all select 'duplicate', text from (select left(text, 60) as text from documents) group by text having count(*) > 1
+union all select 'duplicate', md5(text) from documents group by text having count(*) > 1
 union all select 'one side', n_regionkey::varchar from nation group by n_regionkey having n_regionkey not in (select r_regionkey from region where r_regionkey <> 2)
 """)
 def constraint_violations(spark, sf_dir):
@@ -63,7 +63,7 @@ def constraint_violations(spark, sf_dir):
     regions = read(spark, sf_dir, "region").where("r_regionkey <> 2")
     return O.violations(
         dangling=O.dangling(labels, "doc_id", docs.where("doc_id % 3 <> 0"), "doc_id"),
-        duplicate=O.duplicates(docs.select(F.substring("text", 1, 60).alias("t")), "t"),
+        duplicate=O.duplicates(docs.select(F.md5(F.col("text").cast("binary")).alias("t")), "t"),
         **{"one side": O.mismatched(read(spark, sf_dir, "nation"), "n_regionkey", regions, "r_regionkey")},
     )
 
@@ -94,13 +94,13 @@ def ref_all_candidates(spark, sf_dir):
 
 @query(f"""with r as (select item_id as row, unnest([0, 1, 2]) as pos, {OWNER} as subj, 'src' || ((item_id + 3) % 20) as obj, item_id from benchmark),
 c as (select row, doc_id, (case when source = subj then 0 when source = obj then 1 else 2 end) as p, pos, doc_id as ord
-  from r join documents on doc_id % 200 = (case pos when 0 then item_id + 190 when 1 then item_id + 500 else item_id * 3 end) and doc_id < 900),
-b as (select row, arg_min(doc_id, p * 100000000 + pos * 10000000 + ord) as id from c group by row)
+  from r join documents on doc_id % 200 = (case pos when 0 then item_id + 190 when 1 then item_id + 500 else item_id * 3 end)),
+b as (select row, arg_min(doc_id, p * 100000000000000 + pos * 10000000000000 + ord) as id from c group by row)
 select item_id as row, id from benchmark left join b on row = item_id""")
 def ref_three_pass(spark, sf_dir):
     i = F.col("item_id")
     rows = read(spark, sf_dir, "benchmark").select(i.alias("row"), F.array(i + 190, i + 500, i * 3).alias("refs"), _src(i).alias("subject"), _src(i + 3).alias("object"))
-    return O.resolve_passes(rows, sections(spark, sf_dir).where("id < 900"))
+    return O.resolve_passes(rows, sections(spark, sf_dir))
 
 
 @query("""select item_id as row, doc_id as id from benchmark join documents on doc_id % 200 = item_id % 200 where item_id % 4 <> 0
@@ -117,10 +117,10 @@ def best_associate(spark, sf_dir):
     return O.best_associate(edges).select("pupil", "teacher")
 
 
-@query("""with t as (select distinct l_partkey as work, l_suppkey as title from lineitem where l_quantity = 50 and l_linenumber = 1)
+@query("""with t as (select distinct l_partkey as work, l_suppkey as title from lineitem)
 select distinct x.work as a, y.work as b from t x join t y using (title) where x.work < y.work""")
 def shared_titles(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
+    rows = read(spark, sf_dir, "lineitem")
     return O.shared_title_pairs(rows.select(F.col("l_partkey").alias("work"), F.col("l_suppkey").alias("title")))
 
 
@@ -169,7 +169,7 @@ def patched_rows(spark, sf_dir):
     return O.patched(read(spark, sf_dir, "nation"), patches, "n_nationkey", ["n_name", "n_regionkey"])
 
 
-_CLAIMS = """claims as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 97 as subject, l_suppkey % 5 as property, l_orderkey % 97 as value, l_orderkey * 10 + 1 as rival from lineitem where l_orderkey < 4000),
+_CLAIMS = """claims as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 97 as subject, l_suppkey % 5 as property, l_orderkey % 97 as value, l_orderkey * 10 + 1 as rival from lineitem),
 asked as (select unnest(range(0, 30)) as subject, 2 as property)"""
 
 
@@ -179,7 +179,7 @@ base as (select a.subject, a.property, id, rival, 'direct' as how from asked a j
 every as (select subject, property, id, how from base union all select subject, property, rival, 'rival' from base where rival in (select id from claims))
 select subject, property, id, min(how) as how from every group by all""")
 def claim_answers(spark, sf_dir):
-    c = read(spark, sf_dir, "lineitem").where("l_orderkey < 4000")
+    c = read(spark, sf_dir, "lineitem")
     claims = c.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 97).alias("subject"), (F.col("l_suppkey") % 5).alias("property"),
         (F.col("l_orderkey") % 97).alias("value"), F.array(F.col("l_orderkey") * 10 + 1).alias("conflicts"),
@@ -245,13 +245,13 @@ def itineraries(spark, sf_dir):
 
 
 @query("""with e as (select l_partkey as person, case l_linenumber when 1 then 'birth' when 2 then 'death' when 3 then 'floruit' else 'age' end as role, (l_quantity * case when l_linenumber > 3 then 3 else -10 end)::int as year,
-  case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as rank, l_orderkey * 10 + l_linenumber as ord from lineitem where l_orderkey % 3 = 0),
+  case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as rank, l_orderkey * 10 + l_linenumber as ord from lineitem),
 p as (select person, arg_min(year, rank * 10000000000 + ord) filter (where role = 'birth') as b, arg_min(year, rank * 10000000000 + ord) filter (where role = 'death') as d,
   arg_min(year, rank * 10000000000 + ord) filter (where role = 'floruit') as f, arg_min(year, rank * 10000000000 + ord) filter (where role = 'age') as a0 from e group by person),
 q as (select *, case when a0 <= 110 then a0 end as a from p)
 select person, coalesce(b, d - a) as birth, coalesce(d, b + a) as death, f as floruit, (b is null and coalesce(b, d - a) is not null) or (d is null and coalesce(d, b + a) is not null) as derived from q""")
 def life_spans(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    rows = read(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber")
     events = rows.select(
         F.col("l_partkey").alias("person"), F.when(n == 1, "birth").when(n == 2, "death").when(n == 3, "floruit").otherwise("age").alias("role"),
@@ -304,17 +304,16 @@ def first_writer_shorthand(spark, sf_dir):
     return O.first_writer(s, "short", "full").select("id", "shorthand")
 
 
-@query("""with s as (select l_orderkey % 10 as b, case when l_linenumber = 1 then 'prol' else l_linenumber::varchar end as c, l_partkey as n, min(l_orderkey) as k from lineitem where l_orderkey < 3000 group by 1, 2, 3)
+@query("""with s as (select l_orderkey % 10 as b, case when l_linenumber = 1 then 'prol' else l_linenumber::varchar end as c, l_partkey as n, min(l_orderkey) as k from lineitem group by 1, 2, 3)
 select b || '.' || c || '.' || n || case when k % 2 = 0 then 'a' else '' end as id, row_number() over (order by b, coalesce(try_cast(c as int), -1), n, case when k % 2 = 0 then 'a' else '' end)::int as place from s""")
 def section_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    rows = read(spark, sf_dir, "lineitem")
     chapter = F.when(F.col("l_linenumber") == 1, "prol").otherwise(F.col("l_linenumber").cast("string"))
     one = rows.groupBy((F.col("l_orderkey") % 10).alias("b"), chapter.alias("c"), "l_partkey").agg(F.min("l_orderkey").alias("k"))
     name = F.concat_ws(".", F.col("b").cast("string"), "c", F.concat(F.col("l_partkey").cast("string"), F.when(F.col("k") % 2 == 0, "a").otherwise("")))
     ids = one.select(name.alias("id"))
-    return ids.select("id", F.row_number().over(Window.orderBy(*O.section_order(F.col("id")))).alias("place"))
+    book, chapter, *rest = O.section_order(F.col("id"))
+    return O.placed(ids, [book, chapter], rest).select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("""with m as (select user_id, event_type, ts, event_id, case when event_type is not distinct from lag(event_type) over w and row_number() over w > 1 then 0 else 1 end as c from events window w as (partition by user_id order by ts, event_id)),
@@ -325,21 +324,19 @@ def run_islands(spark, sf_dir):
     return O.runs(events, ["user_id"], "event_type", "at").select("user_id", "run", "event_type", "n")
 
 
-@query("select doc_id, sha2 as key, row_number() over (order by sha2)::int as place from (select doc_id, sha256('seed' || chr(0) || doc_id) as sha2 from documents) order by sha2 limit 100")
+@query("select doc_id, sha2 as key, row_number() over (order by sha2)::int as place from (select doc_id, sha256('seed' || chr(0) || doc_id) as sha2 from documents)")
 def hash_shuffle(spark, sf_dir):
     from lectern.operators.evaluation import shuffle_key
-    from pyspark.sql import Window
 
-    rows = read(spark, sf_dir, "documents").select("doc_id", shuffle_key("seed", F.col("doc_id").cast("string")).alias("key")).orderBy("key").limit(100)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("key")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", shuffle_key("seed", F.col("doc_id").cast("string")).alias("key"))
+    return O.placed(rows, [F.substring("key", 1, 3)], ["key", "doc_id"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("select p_partkey, row_number() over (order by case when p_size > 25 then null else p_size end asc nulls last, p_partkey)::int as up from part")
 def undefined_last(spark, sf_dir):
-    from pyspark.sql import Window
-
-    key = F.when(F.col("p_size") <= 25, F.col("p_size"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "p_partkey")).alias("up"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") <= 25, F.col("p_size")).alias("key"))
+    lead = [F.col("key").isNull(), F.coalesce("key", F.lit(0))]
+    return O.placed(rows, lead, ["p_partkey"], "up").select("p_partkey", F.col("up").cast("int").alias("up"))
 
 
 @query("""with recursive r as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by turn) as i from conversations),

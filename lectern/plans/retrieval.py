@@ -1,7 +1,7 @@
 """Ranked retrieval over documents, embeddings and benchmark topics.
 
-A topic's query is the first eight words of its benchmark item; a document's
-subject is its source and its school its language.
+A topic's query is its whole benchmark item; a document's subject is its source
+and its school its language.
 """
 
 from __future__ import annotations
@@ -14,12 +14,8 @@ from lectern.operators import retrieval as R
 from .registry import query, read
 from .text import STOP, TOKENS
 
-QUERY_WORDS = 8
-
-
 def topics(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, QUERY_WORDS), " ").alias("text"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 def passages(spark, sf_dir):
@@ -51,7 +47,7 @@ tok as (select doc_id as doc, {TOKENS.format('text')} as t from documents),
 stat as (select count(*) as n, sum(len(t)) / greatest(1, count(*)) as avgdl from tok),
 post as (select doc, term, dl, count(*) as tf from (select doc, len(t) as dl, unnest(t) as term from tok) group by all),
 dfreq as (select term, count(*) as df from post group by term),
-ask as (select item_id as query, {TOKENS.format(f"array_to_string(string_split(text, ' ')[1:{QUERY_WORDS}], ' ')")} as t from benchmark),
+ask as (select item_id as query, {TOKENS.format("text")} as t from benchmark),
 ask2 as (select query, case when len(list_filter(t, lambda x: not list_contains({STOP}, x))) > 0 then list_filter(t, lambda x: not list_contains({STOP}, x)) else t end as t from ask),
 bag as (select query, term, count(*) as qtf from (select query, unnest(t) as term from ask2) group by all),
 bm as (select b.query, p.doc, sum(b.qtf * ln((s.n - d.df + 0.5) / (d.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl))) as score
@@ -146,12 +142,12 @@ f as (select variant, query, doc, boost, sum(w / (k + rank)) as score from (
   select variant, k, boost, query, doc, rank, sw as w from sp, grid union all select variant, k, boost, query, doc, rank, 1.0 from dn, grid) group by all),
 g as (select variant, query, doc, score + case when doc % 20 = query % 20 then boost else 0 end as score from f),
 r as (select *, row_number() over (partition by variant, query order by round(score, 12) desc, doc) as rank from g)
-select variant, count(*)::bigint as n, sum(doc)::bigint as docs, round(sum(score), 6) as score from r where rank <= 10 group by variant""")
+select variant, query, doc, round(score, 6) as score, rank::int as rank from r where rank <= 10""")
 def fusion_sweep(spark, sf_dir):
     sparse, dense = sparse_pool(spark, sf_dir), dense_pool(spark, sf_dir)
     matched = sparse.select("query", "doc").unionByName(dense.select("query", "doc")).where("doc % 20 = query % 20")
     out = R.fusion_sweep(sparse, dense, sweep_grid(spark), matched).where("rank <= 10")
-    return out.groupBy("variant").agg(F.count("*").alias("n"), F.sum("doc").alias("docs"), F.round(F.sum("score"), 6).alias("score"))
+    return out.select("variant", "query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""with {_BM25},

@@ -134,9 +134,9 @@ def page_text(spark, sf_dir):
 
 @query(r"""
 select doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '\p{L}')))::bigint as words,
-  md5(replace(replace(replace(replace(left(text, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as xml_md5 from documents
+  md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as xml_md5 from documents
 """)
 def letter_words(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(
-        "doc_id", T.words_with_letters(F.col("text")).cast("long").alias("words"), F.md5(T.xml_escape(F.substring("text", 1, 300)).cast("binary")).alias("xml_md5")
+        "doc_id", T.words_with_letters(F.col("text")).cast("long").alias("words"), F.md5(T.xml_escape(F.col("text")).cast("binary")).alias("xml_md5")
     )

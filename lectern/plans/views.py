@@ -12,7 +12,7 @@ from .retrieval import _BM25, passages, sparse_pool, topics
 
 def _dated(spark, sf_dir):
     """Births, deaths, floruits, ages and observations worded from order lines."""
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    l = read(spark, sf_dir, "lineitem")
     s = lambda c: F.col(c).cast("int").cast("string")
     year = F.concat(F.lit("("), (F.col("l_quantity").cast("int") + 300).cast("string"), F.lit(" BCE)"))
     n = F.col("l_linenumber")
@@ -30,18 +30,18 @@ def _dated(spark, sf_dir):
 
 _TIMELINE = """
 c as (select l_partkey::varchar as name, l_linenumber as n, l_quantity::int as q, -(l_quantity::int + 300) as y,
-  (case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end) * 100000000000 + l_orderkey * 10 + l_linenumber as o, l_orderkey * 10 + l_linenumber as ord from lineitem where l_orderkey % 5 = 0),
+  (case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end) * 100000000000 + l_orderkey * 10 + l_linenumber as o, l_orderkey * 10 + l_linenumber as ord from lineitem),
 b as (select name, arg_min(y, o) filter (where n = 1) as born, arg_min(y, o) filter (where n = 2) as died, arg_min(y, o) filter (where n = 3) as floruit,
   arg_min(q, o) filter (where n in (2, 4) or n > 4) as age, arg_min(y - q, ord) filter (where n = 4) as ob, arg_min(y, ord) filter (where n = 4) as od from c group by name),
 t as (select name, coalesce(born, died - age, ob) as birth, coalesce(died, born + age, od) as death, floruit, born is null and coalesce(born, died - age, ob) is not null as approx_birth, died is null and coalesce(died, born + age, od) is not null as approx_death
   from b where coalesce(born, died - age, ob) is not null or coalesce(died, born + age, od) is not null or floruit is not null),
-m as (select 'm' || name as name, death - 10 - 50 as birth, death - 10 as death, null::int as floruit, true as approx_birth, true as approx_death from t where death is not null and name::int % 100 = 0),
+m as (select 'm' || name as name, death - 10 - 50 as birth, death - 10 as death, null::int as floruit, true as approx_birth, true as approx_death from t where death is not null),
 tl as (select *, coalesce(birth, floruit - 40, death - 70, 0) as anchor_year from (select * from t union all select * from m))
 """
 
 
 def _timeline(spark, sf_dir):
-    people = read(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("string").alias("anchor"))
+    people = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("anchor"))
     members = people.select(F.concat(F.lit("m"), "anchor").alias("name"), "anchor", F.lit(10).alias("years"), F.lit(50).alias("age"))
     return V.timeline(_dated(spark, sf_dir), members)
 
@@ -57,17 +57,18 @@ def axis_ticks(spark, sf_dir):
     return V.axis_ticks(_timeline(spark, sf_dir))
 
 
-@query("""with ev as (select 'P' || (l_suppkey % 40) as label, l_suppkey % 40 as k, l_orderkey as subject, case when l_linenumber = 1 then 'deathPlace' else 'visited' end as property from lineitem where l_orderkey < 1000),
+@query("""with ev as (select 'P' || l_suppkey as label, l_suppkey as k, l_orderkey as subject, case when l_linenumber = 1 then 'deathPlace' else 'visited' end as property from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal >= 0)),
 acc as (select o_orderkey as subject, count(*) as c from orders where o_orderstatus = 'F' group by 1)
-select label, count(*)::int as events, coalesce(sum(case when property = 'deathPlace' then c end), 0)::bigint as accounts from ev left join acc using (subject) where k < 25 group by label
-union all select 'P' || k, 0, 0 from range(20, 35) t(k) where k >= 25 or 'P' || k not in (select label from ev where k < 25)""")
+select label, count(*)::int as events, coalesce(sum(case when property = 'deathPlace' then c end), 0)::bigint as accounts from ev left join acc using (subject) group by label
+union all select 'P' || s_suppkey, 0, 0 from supplier where s_acctbal < 2000 and 'P' || s_suppkey not in (select label from ev)""")
 def place_events(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
+    """Suppliers as places: those in credit have coordinates, those with little are mentioned."""
+    l = read(spark, sf_dir, "lineitem")
     name = lambda c: F.concat(F.lit("P"), c.cast("string"))
-    claims = l.select(F.col("l_orderkey").alias("subject"), F.when(F.col("l_linenumber") == 1, "deathPlace").otherwise("visited").alias("property"), name(F.col("l_suppkey") % 40).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    spots = lambda a, b: spark.range(a, b).select(name(F.col("id")).alias("label"), F.col("id").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    claims = l.select(F.col("l_orderkey").alias("subject"), F.when(F.col("l_linenumber") == 1, "deathPlace").otherwise("visited").alias("property"), name(F.col("l_suppkey")).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    spots = lambda which: read(spark, sf_dir, "supplier").where(which).select(name(F.col("s_suppkey")).alias("label"), F.col("s_suppkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
     accounts = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("subject"), F.col("o_orderpriority").alias("account"))
-    out = V.place_events(claims, spots(0, 25), accounts, spots(20, 35))
+    out = V.place_events(claims, spots("s_acctbal >= 0"), accounts, spots("s_acctbal < 2000"))
     told = F.aggregate("events", F.lit(0).cast("long"), lambda s, e: s + F.coalesce(F.size(e["accounts"]), F.lit(0)))
     return out.select("label", F.size("events").alias("events"), told.alias("accounts"))
 
@@ -93,11 +94,11 @@ def entity_sets(spark, sf_dir):
     ))
 
 
-@query("""with l as (select o_custkey as pupil, o_orderkey % 700 as teacher, o_orderstatus = 'F' as asserted, o_orderkey as ord from orders where o_custkey < 600 and (o_orderkey % 700 < 500 or o_orderkey % 700 in (select c_custkey from customer where c_custkey < 600))),
+@query("""with l as (select o_custkey as pupil, o_orderkey % 700 as teacher, o_orderstatus = 'F' as asserted, o_orderkey as ord from orders where o_orderkey % 700 < 500 or o_orderkey % 700 in (select c_custkey from customer)),
 f as (select pupil, arg_min(teacher, (case when asserted then 0 else 1000000000 end) + ord) as teacher, bool_or(asserted) as teacher_asserted from l group by pupil)
-select c_custkey as name, c_nationkey as school, n_regionkey as anchor, teacher, teacher_asserted from customer join nation on n_nationkey = c_nationkey left join f on pupil = c_custkey where c_custkey < 600""")
+select c_custkey as name, c_nationkey as school, n_regionkey as anchor, teacher, teacher_asserted from customer join nation on n_nationkey = c_nationkey left join f on pupil = c_custkey""")
 def associates(spark, sf_dir):
-    members = read(spark, sf_dir, "customer").where("c_custkey < 600").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("school"))
+    members = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("school"))
     founders = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("school"), F.col("n_regionkey").alias("founder"))
     links = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pupil"), (F.col("o_orderkey") % 700).alias("teacher"), (F.col("o_orderstatus") == "F").alias("asserted"), F.col("o_orderkey").alias("ord"))
     return V.associates(members, founders, links, spark.range(500).select(F.col("id").alias("name")))
@@ -105,7 +106,7 @@ def associates(spark, sf_dir):
 
 _GROUNDED = """
 rt as (select query, doc as section, rank from sp where rank <= 8), mn as (select doc_id as section, doc_id % 30 as entity from documents union all select doc_id, doc_id % 37 from documents),
-a as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 30 as subject, case when l_linenumber <> 2 then l_suppkey % 37 end as object, l_orderkey % 1000 as section, l_returnflag as f from lineitem where l_orderkey < 8000),
+a as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 30 as subject, case when l_linenumber <> 2 then l_suppkey % 37 end as object, l_orderkey % 1000 as section, l_returnflag as f from lineitem),
 en as (select query, entity, min(rank) as er from rt join mn using (section) group by all),
 tc as (select query, id, min(er) as er from en join (select id, subject as entity from a union select id, object from a where object is not null) using (entity) group by all),
 gl as (select query, id, rank as passage_rank, row_number() over (partition by query order by rank, case f when 'A' then 0 when 'N' then 1 else 2 end, er, id) as place from tc join a using (id) join rt using (query, section))
@@ -119,7 +120,7 @@ def grounded_answer(spark, sf_dir):
     mentions = d.select(F.col("doc_id").alias("section"), F.explode(F.array(F.col("doc_id") % 30, F.col("doc_id") % 37)).alias("entity"))
     n = F.col("l_linenumber")
     sure = F.when(F.col("l_returnflag") == "A", "asserted").when(F.col("l_returnflag") == "N", "reported").otherwise("disputed")
-    facts = read(spark, sf_dir, "lineitem").where("l_orderkey < 8000").select(
+    facts = read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + n).alias("id"), (F.col("l_partkey") % 30).alias("subject"), F.when(n != 2, F.col("l_suppkey") % 37).alias("object"),
         (F.col("l_orderkey") % 1000).alias("section"), sure.alias("certainty"), V.verbalised(F.col("l_partkey").cast("string"), F.lit("knows"), F.col("l_suppkey").cast("string")).alias("text"),
     )
@@ -184,10 +185,12 @@ def topic_breakdown(spark, sf_dir):
     return V.breakdown(rows, lang="none", source="none")
 
 
-@query("select doc_id as item, row_number() over (order by doc_id)::int - 1 as place, md5(text) as text_md5 from documents where doc_id % 50 = 0")
+@query("select doc_id as item, row_number() over (order by doc_id)::int - 1 as place, md5(text) as text_md5 from documents where doc_id in (select doc_id from labels where toxic = 1)")
 def blind_items(spark, sf_dir):
+    """The batch of a judge who looks at what was marked toxic."""
     d = read(spark, sf_dir, "documents")
-    batch = d.where("doc_id % 50 = 0").agg(F.sort_array(F.collect_list("doc_id")).alias("items"))
+    marked = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").join(d.select("doc_id"), "doc_id").distinct()
+    batch = marked.agg(F.sort_array(F.collect_list("doc_id")).alias("items"))
     out = V.blind_items(batch, d.select(F.col("doc_id").alias("item"), F.col("doc_id").alias("passage")), d.select(F.col("doc_id").alias("id"), "text"))
     return out.select("item", "place", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

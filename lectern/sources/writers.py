@@ -81,16 +81,26 @@ def section_subgraph(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     return own.select(*graph.columns).unionByName(hop.select(*graph.columns))
 
 
-def tei_document(sections: DataFrame, title: str) -> DataFrame:
-    """One row (xml): books in order, their sections in order, escaped.
-
-    It is one document by definition; ask for a range of a large collection.
-    """
+def _tei_parts(sections: DataFrame) -> DataFrame:
+    """(o, book, x): one element per book, its sections in order, escaped."""
     item = F.concat(F.lit('<div type="section" n="'), xml_escape(F.col("id").cast("string")), F.lit('"><p>'), xml_escape(F.coalesce("text", F.lit(""))), F.lit("</p></div>"))
     books = sections.groupBy("book").agg(F.min("ord").alias("o"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))), lambda z: z["x"]), "").alias("b"))
-    body = F.concat(F.lit('<div type="book" n="'), F.col("book").cast("string"), F.lit('">'), "b", F.lit("</div>"))
-    whole = books.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", body.alias("x")))), lambda z: z["x"]), "").alias("all"))
-    return whole.select(F.concat(F.lit(f"<TEI><teiHeader><title>{title}</title></teiHeader><text><body>"), "all", F.lit("</body></text></TEI>")).alias("xml"))
+    return books.select("o", "book", F.concat(F.lit('<div type="book" n="'), F.col("book").cast("string"), F.lit('">'), "b", F.lit("</div>")).alias("x"))
+
+
+def _tei(title: str, body: Column) -> Column:
+    return F.concat(F.lit(f"<TEI><teiHeader><title>{title}</title></teiHeader><text><body>"), body, F.lit("</body></text></TEI>")).alias("xml")
+
+
+def tei_books(sections: DataFrame, title: str) -> DataFrame:
+    """(book, xml): a document per book, so a collection of any size is written in parallel."""
+    return _tei_parts(sections).select("book", _tei(title, F.col("x")))
+
+
+def tei_document(sections: DataFrame, title: str) -> DataFrame:
+    """One row (xml): books in order in one document; for a section, a range or a book, not for a large collection."""
+    whole = _tei_parts(sections).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "x"))), lambda z: z["x"]), "").alias("all"))
+    return whole.select(_tei(title, F.col("all")))
 
 
 def snapshot_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
