@@ -36,22 +36,32 @@ class Fusion:
 PLAIN_FUSION = Fusion(60, 1.0, 1.0, 0.0, 0.0)
 
 
-def _postings(docs: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, dl), of the asked terms or of all; dl is the document's number of tokens.
+def _counted(docs: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl, here) of the asked terms or of all; one row per document without a term (here is false).
 
-    The outer explode keeps the planner from evaluating the tokens a second time
-    for a filter of its own; the null it makes of an empty text goes with the
-    terms.
+    Texts are folded and tokenised in one pass, and postings and statistics are
+    made of the same exchange: what tells them apart is aggregated, so no filter
+    moves below it.  Tokens that nobody asks for fall into the row without a term.
     """
-    counted = docs.select("doc", T.tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-    rows = counted.where("term is not null") if asked is None else counted.join(F.broadcast(asked), "term", "left_semi")
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    # the row without a term has the empty word, which no token is: a null would be filtered before the exchange
+    none = F.lit("")
+    words = docs.select("doc", T.tokens(F.col(text)).alias("t")).select("doc", F.size("t").alias("dl"), F.explode(F.array_append("t", none)).alias("term"))
+    if asked is not None:
+        # a small set is broadcast by its size, a large one shuffled
+        wanted = asked.select(F.col("term").alias("wanted"))
+        words = words.join(wanted, F.col("term") == F.col("wanted"), "left").select("doc", "dl", F.coalesce("wanted", none).alias("term"))
+    return words.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max(F.col("term") != none).alias("here"))
 
 
-def _stats(docs: DataFrame, text: str) -> DataFrame:
+def _postings(counted: DataFrame) -> DataFrame:
+    return counted.where("here").drop("here")
+
+
+def _stats(counted: DataFrame) -> DataFrame:
     """One row: n documents and their average length."""
     n = F.count("*")
-    return docs.select(T.token_count(F.col(text)).alias("dl")).agg(n.alias("n"), (F.sum("dl") / F.greatest(F.lit(1), n)).alias("avgdl"))
+    # tf is asked for so that the exchange has the columns of the postings
+    return counted.where("not here and tf > 0").agg(n.alias("n"), (F.sum("dl") / F.greatest(F.lit(1), n)).alias("avgdl"))
 
 
 def bm25_index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -59,7 +69,8 @@ def bm25_index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
 
     Postings can be written bucketed by term and reused.
     """
-    return _postings(docs, text), _stats(docs, text)
+    counted = _counted(docs, text)
+    return _postings(counted), _stats(counted)
 
 
 def query_bag(queries: DataFrame, stopwords: bool = True) -> DataFrame:
@@ -71,12 +82,12 @@ def query_bag(queries: DataFrame, stopwords: bool = True) -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame, text: str = "text", stopwords: bool = True) -> DataFrame:
     """(query, doc, score) of documents that hold a query term.
 
-    Tokens that no query asks for are dropped before anything is shuffled (the
-    terms of the stated queries are a small set); document frequencies reuse the
-    exchange of the postings.
+    Tokens that no query asks for are dropped before anything is shuffled;
+    document frequencies and statistics reuse the exchange of the postings.
     """
     bag = query_bag(queries, stopwords)
-    return _scored(_postings(docs, text, bag.select("term").distinct()), _stats(docs, text), bag)
+    counted = _counted(docs, text, bag.select("term").distinct())
+    return _scored(_postings(counted), _stats(counted), bag)
 
 
 def _scored(postings: DataFrame, stats: DataFrame, bag: DataFrame) -> DataFrame:
