@@ -2,13 +2,18 @@
 sorted hash arrays, memory-mapped by the workers that score.
 
 Counting: a task turns chunks of text into distinct word pairs with counts and
-sends them as packed arrays to the slice of the pair (by the first word's hash
-and two bits of the second's, so a frequent word is no hot slice).  A slice
-merges its arrays and writes one sorted array of pair hashes with counts.  What
-it learnt about words (counts, distinct predecessors and followers) adds up in
-the slice of the word, which writes the sorted array of word hashes with their
-facts.  Slices follow the amount of text, so memory
-per task is bounded and files grow with the corpus; only sums go to the driver.
+sends them as packed arrays to the slice of the pair.  That is the slice of the
+first word's hash; the followers of a frequent first word are spread over as
+many slices as its share of the text asks for.  Shares come from a sample of
+SAMPLE_BYTES and only balance the slices: whatever they are, every pair has one
+slice and all counts are those of the whole text.  A slice merges its arrays and
+writes a sorted array of pair hashes with counts.  What it learnt about words
+(counts, distinct predecessors and followers) adds up in the slice of the word,
+which writes the sorted array of word hashes with their facts.  Slices follow
+the amount of text, so memory per task is bounded; rows between the steps are
+never more than the pairs they carry.  Slices of at most PARTS tasks lie behind
+one another in the same files, so files grow with the corpus and their number
+does not.  Only sums go to the driver.
 
 Scoring: workers map the files read-only (page cache, not heap) and look up the
 distinct words and pairs of a megabyte of text at a time.
@@ -23,6 +28,7 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -38,6 +44,12 @@ from .wordhash import mix64, words_of
 BEGIN, END = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344))
 #: Tokens of a counting chunk, and bytes of text per slice.
 CHUNK_TOKENS, SLICE_BYTES = 1_000_000, 12_000_000
+#: Tasks, and files of a kind, at most; beyond, a task takes several slices one after another.
+PARTS = 4096
+#: Text whose words tell which are frequent, and the most frequent words looked after.
+SAMPLE_BYTES, FREQUENT = 8_000_000, 65_536
+#: Part of a slice beyond which one word's followers go to a further slice.
+EIGHTH = 8
 _FACTS = ("cnt", "cont", "ctx", "n1", "n2", "n3")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,9 +80,53 @@ def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
-def slice_of_pair(first: np.ndarray, second: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of a pair; a frequent first word's followers are spread over four."""
-    return slice_of(mix64(first ^ (second >> np.uint64(62)) * _SPREAD), slices)
+class Layout:
+    """Where pairs and words lie: slices, parts, and the frequent words with the slices they are spread over."""
+
+    def __init__(self, slices: int, names: np.ndarray, spread: np.ndarray) -> None:
+        self.slices, self.parts = slices, min(slices, PARTS)
+        self.names, self.spread = names, spread  # names in order
+
+    def of_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The slice of a pair."""
+        place = np.zeros(len(first), dtype=np.uint64)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, first), len(self.names) - 1)
+            hot = np.flatnonzero(self.names[at] == first)
+            place[hot] = (second[hot] >> np.uint64(32)) * self.spread[at[hot]] >> np.uint64(32)
+        return slice_of(mix64(first ^ place * _SPREAD), self.slices)
+
+    def part(self, slices: np.ndarray | int) -> np.ndarray | int:
+        return slices * self.parts // self.slices
+
+    def first_slice(self, part: int) -> int:
+        return -(-part * self.slices // self.parts)
+
+
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """text -> first words of pairs (as signed integers) and how often they stand in the task's texts."""
+    found: Counter = Counter()
+    for batch in batches:
+        for _, offsets, words in words_of(batch["text"].tolist()):
+            tokens, _ = sequence(offsets, words)
+            names, counts = np.unique(tokens[tokens != END], return_counts=True)
+            found.update(dict(zip(names.view(np.int64).tolist(), counts.tolist(), strict=True)))
+    yield pd.DataFrame({"word": np.array(list(found), dtype=np.int64), "n": np.array(list(found.values()), dtype=np.int64)})
+
+
+def layout(texts: DataFrame) -> Layout:
+    """Slices by the size of the text, and the words to spread by a sample of it."""
+    size = int(texts.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0)
+    slices = max(1, -(-size // SLICE_BYTES))
+    sample = texts.select("text").where(F.rand(5) < min(1.0, SAMPLE_BYTES / max(1, size)))
+    counted = sample.mapInPandas(trimmed(_sampled), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = table(counted, "sampled")  # the words of SAMPLE_BYTES of text
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") * (slices * EIGHTH) > total).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    names = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
+    spread = np.array([min(slices, -(-r["n"] * slices * EIGHTH // total)) for r in rows], dtype=np.uint64)
+    order = np.argsort(names)
+    return Layout(slices, names[order], spread[order])
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -83,7 +139,7 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_values[begin], begin
 
 
-def _count(slices: int):
+def _count(lay: Layout):
     """text -> slice, packed first words, numbers of followers, followers, counts."""
 
     def flush(parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -93,17 +149,15 @@ def _count(slices: int):
         code = rank[:-1][real].astype(np.uint64) * np.uint64(len(names)) + rank[1:][real].astype(np.uint64)
         pairs, counts = np.unique(code, return_counts=True)
         first, second = pairs // np.uint64(len(names)), pairs % np.uint64(len(names))
-        own = slice_of_pair(names[first], names[second], slices)
+        own = lay.of_pair(names[first], names[second])
         order = np.argsort(own, kind="stable")
         own, first, second, counts = own[order], first[order], second[order], counts[order]
-        cut = np.searchsorted(own, np.arange(slices + 1))
+        found, begins = _runs(own)
         rows = []
-        for s in range(slices):
-            a, b = cut[s], cut[s + 1]
-            if a < b:
-                heads, begin = _runs(first[a:b])
-                followers = np.diff(np.append(begin, b - a)).astype(np.uint32)
-                rows.append((s, names[heads].tobytes(), followers.tobytes(), names[second[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
+        for s, a, b in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(own)], strict=True):
+            heads, begin = _runs(first[a:b])
+            followers = np.diff(np.append(begin, b - a)).astype(np.uint32)
+            rows.append((s, names[heads].tobytes(), followers.tobytes(), names[second[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
         yield pd.DataFrame(rows, columns=["slice", "h", "f", "w", "c"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,22 +177,35 @@ def _count(slices: int):
     return run
 
 
-def _write(path: str, values: np.ndarray) -> None:
-    part = f"{path}.{uuid.uuid4().hex}"
-    values.tofile(part)
-    os.replace(part, path)
+class _Files:
+    """A part's files of several kinds, written piece by piece and named once all are whole."""
+
+    def __init__(self, folder: str, *kinds: str) -> None:
+        self.folder, self.mark = folder, uuid.uuid4().hex
+        self.open = {k: open(f"{folder}/{k}.{self.mark}", "wb") for k in kinds}
+
+    def add(self, kind: str, values: np.ndarray) -> None:
+        self.open[kind].write(np.ascontiguousarray(values).data)
+
+    def name(self, part: int) -> None:
+        for kind, f in self.open.items():
+            f.close()
+            os.replace(f.name, f"{self.folder}/{kind}-{part}")
 
 
 def _joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind)
 
 
-def _merge_pairs(folder: str, slices: int):
-    """Packed pairs of a slice -> its file; and what it learnt about words, by the words' slices."""
+def _merge_pairs(folder: str, lay: Layout):
+    """Packed pairs of a part's slices -> its files; and what they tell about words, by the words' slices."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, part, offset, ends = None, 0, 0, {}
         for g in groups(batches, ["slice"]):
             s = int(g["slice"].iloc[0])
+            if files is None:
+                files, part = _Files(folder, "keys", "counts", "large", "ends"), lay.part(s)
             h = np.repeat(_joined(g["h"], np.uint64), _joined(g["f"], np.uint32))
             w, c = _joined(g["w"], np.uint64), _joined(g["c"], np.uint32).astype(np.int64)
             key = pair_key(h, w)
@@ -149,11 +216,13 @@ def _merge_pairs(folder: str, slices: int):
             del order, c
             h, w = h[first], w[first]
             del first
-            _write(f"{folder}/keys-{s}", key)
+            files.add("keys", key)
             # nearly all counts fit a byte; the others stand in a list of their own
             large = np.flatnonzero(count >= 255)
-            _write(f"{folder}/counts-{s}", np.minimum(count, 255).astype(np.uint8))
-            _write(f"{folder}/large-{s}", np.stack((large, count[large]), axis=1).astype(np.int64))
+            files.add("counts", np.minimum(count, 255).astype(np.uint8))
+            files.add("large", np.stack((large + offset, count[large]), axis=1).astype(np.int64))
+            offset += len(key)
+            ends[s] = offset
             heads, at = np.unique(h, return_inverse=True)
             size = len(heads)
             context = np.stack(
@@ -167,33 +236,42 @@ def _merge_pairs(folder: str, slices: int):
             seen[:, 0], seen[:, 1] = np.bincount(at, count), np.bincount(at)
             rows = [(s, b"", b"", [int((count == k).sum()) for k in (1, 2, 3, 4)])]
             for words, facts in ((heads, context), (names, seen)):
-                cut = np.searchsorted(slice_of(words, slices), np.arange(slices + 1))
-                for t in range(slices):
-                    if cut[t] < cut[t + 1]:
-                        part = slice(cut[t], cut[t + 1])
-                        rows.append((t, words[part].tobytes(), facts[part].tobytes(), [0, 0, 0, 0]))
+                found, begins = _runs(slice_of(words, lay.slices))
+                for t, a, b in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(words)], strict=True):
+                    rows.append((t, words[a:b].tobytes(), facts[a:b].tobytes(), [0, 0, 0, 0]))
             yield pd.DataFrame(rows, columns=["slice", "names", "facts", "stats"])
+        if files is not None:
+            own, at = [], 0
+            for s in range(lay.first_slice(part), lay.first_slice(part + 1)):  # a slice may be empty
+                at = ends.get(s, at)
+                own.append(at)
+            files.add("ends", np.array(own, dtype=np.int64))
+            files.name(part)
 
     return run
 
 
-def _merge_words(folder: str):
-    """Facts of a slice's words -> its files; sums over its words, then those over its pairs."""
+def _merge_words(folder: str, lay: Layout):
+    """Facts of the words of a part's slices -> its files; sums over its words, then those over its pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, part = None, 0
         for g in groups(batches, ["slice"]):
-            s = int(g["slice"].iloc[0])
+            if files is None:
+                files, part = _Files(folder, "names", "facts"), lay.part(int(g["slice"].iloc[0]))
             names = _joined(g["names"], np.uint64)
             facts = _joined(g["facts"], np.int64).reshape(len(names), len(_FACTS))
             order = np.argsort(names, kind="stable")
             names, begin = _runs(names[order])
-            facts = np.add.reduceat(facts[order], begin, axis=0)
-            _write(f"{folder}/names-{s}", names)
-            _write(f"{folder}/facts-{s}", facts)
+            facts = np.add.reduceat(facts[order], begin, axis=0) if len(names) else facts
+            files.add("names", names)  # slices are ranges of hashes, so the file is in order
+            files.add("facts", facts)
             cnt, cont = facts[:, 0], facts[:, 1]
             sums = [int((cnt > 0).sum()), int(cnt.sum()), int(cont.sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4)), int((cont > 2).sum())]
             sums += [int(x) for x in np.stack(g["stats"].to_list()).sum(axis=0)]
             yield pd.DataFrame({"sums": [sums]})
+        if files is not None:
+            files.name(part)
 
     return run
 
@@ -210,10 +288,10 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """A trained model: folder, slices and global sums; arrays are mapped on first use."""
+    """A trained model: folder, layout and global sums; arrays are mapped on first use."""
 
-    def __init__(self, folder: str, slices: int, stats: list[int], sums: list[int]) -> None:
-        self.folder, self.slices = folder, slices
+    def __init__(self, folder: str, lay: Layout, stats: list[int], sums: list[int]) -> None:
+        self.folder, self.lay = folder, lay
         self.types, self.tokens, self.continued = sums[:3]
         self.pair_d, self.word_d = discounts(stats), discounts(sums[3:7])
         d, n = self.word_d, sums
@@ -238,45 +316,42 @@ class Model:
                 self._maps[name] = np.frombuffer(m, dtype=kind)
         return self._maps[name]
 
-    def _find(self, name: str, s: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the wanted hashes in a sorted array, and which are there."""
-        have = self._map(f"{name}-{s}", np.uint64)
-        if not len(have):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
-        return at, have[at] == wanted
-
     def words(self, names: np.ndarray) -> np.ndarray:
         """Facts of sorted distinct word hashes, zeros for unknown ones."""
         out = np.zeros((len(names), len(_FACTS)), dtype=np.int64)
-        cut = np.searchsorted(slice_of(names, self.slices), np.arange(self.slices + 1))
-        for s in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[s], cut[s + 1])
-            at, found = self._find("names", s, names[part])
-            facts = self._map(f"facts-{s}", np.int64).reshape(-1, len(_FACTS))
-            if len(facts):
-                out[part] = facts[at] * found[:, None]
+        found, begins = _runs(self.lay.part(slice_of(names, self.lay.slices)))
+        for p, a, b in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(names)], strict=True):
+            have = self._map(f"names-{p}", np.uint64)
+            if len(have):
+                at = np.minimum(np.searchsorted(have, names[a:b]), len(have) - 1)
+                facts = self._map(f"facts-{p}", np.int64).reshape(-1, len(_FACTS))
+                out[a:b] = facts[at] * (have[at] == names[a:b])[:, None]
         return out
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Counts of pairs, 0 for unknown ones."""
         out = np.zeros(len(first), dtype=np.int64)
-        own = slice_of_pair(first, second, self.slices)
+        own = self.lay.of_pair(first, second)
         order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.slices + 1))
         key = pair_key(first, second)
-        for s in np.flatnonzero(np.diff(cut)):
-            part = order[cut[s] : cut[s + 1]]
-            at, found = self._find("keys", s, key[part])
-            counts = self._map(f"counts-{s}", np.uint8)
-            if not len(counts):
+        found, begins = _runs(own[order])
+        for s, a, b in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+            part, p = order[a:b], self.lay.part(s)
+            ends, k = self._map(f"ends-{p}", np.int64), s - self.lay.first_slice(p)
+            if not len(ends):
+                continue
+            lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
+            if lo == hi:
                 continue
+            have = self._map(f"keys-{p}", np.uint64)[lo:hi]
+            at = np.minimum(np.searchsorted(have, key[part]), hi - lo - 1)
+            counts = self._map(f"counts-{p}", np.uint8)[lo:hi]
             got = counts[at].astype(np.int64)
             over = np.flatnonzero(got == 255)
             if len(over):
-                large = self._map(f"large-{s}", np.int64).reshape(-1, 2)
-                got[over] = large[np.searchsorted(large[:, 0], at[over]), 1]
-            out[part] = got * found
+                large = self._map(f"large-{p}", np.int64).reshape(-1, 2)
+                got[over] = large[np.searchsorted(large[:, 0], at[over] + lo), 1]
+            out[part] = got * (have[at] == key[part])
         return out
 
     def probabilities(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,14 +378,14 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     folder = f"{mounted(shared_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
-    size = texts.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
-    slices = max(1, -(-int(size) // SLICE_BYTES))
-    packed = texts.select("text").mapInPandas(trimmed(_count(slices)), "slice int, h binary, f binary, w binary, c binary")
-    by_slice = lambda df: df.repartitionById(slices, "slice").sortWithinPartitions("slice")
-    learnt = by_slice(packed).mapInPandas(trimmed(_merge_pairs(folder, slices)), "slice int, names binary, facts binary, stats array<long>")
-    merged = table(by_slice(learnt).mapInPandas(trimmed(_merge_words(folder)), "sums array<long>"), "sums")
+    lay = layout(texts)
+    packed = texts.select("text").mapInPandas(trimmed(_count(lay)), "slice int, h binary, f binary, w binary, c binary")
+    part = F.expr(f"int(bigint(slice) * {lay.parts} div {lay.slices})")
+    by_part = lambda df: df.repartitionById(lay.parts, part).sortWithinPartitions("slice")
+    learnt = by_part(packed).mapInPandas(trimmed(_merge_pairs(folder, lay)), "slice int, names binary, facts binary, stats array<long>")
+    merged = table(by_part(learnt).mapInPandas(trimmed(_merge_words(folder, lay)), "sums array<long>"), "sums")
     sums = _sums(merged, 12)
-    return Model(folder, slices, sums[8:], sums[:8])
+    return Model(folder, lay, sums[8:], sums[:8])
 
 
 def _sums(rows: DataFrame, n: int) -> list[int]:

@@ -574,6 +574,28 @@ def test_quality_rules(docs, rows, empty, spark):
     assert quality_rules.quality_rules(docs).count() == len(rows) and quality_rules.quality_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts,frequent", [(4096, 65_536), (3, 65_536), (7, 0)])
+def test_kneser_ney_layout_changes_nothing(spark, docs, monkeypatch, parts, frequent):
+    """Slices, parts, files of several slices and spread words are a matter of place, not of counts."""
+    one = sorted((repr(r.doc_id), r.n_known, round(r.score, 9)) for r in kneser_ney.score_documents(docs).collect())
+    for name, value in (("SLICE_BYTES", 900), ("PARTS", parts), ("FREQUENT", frequent), ("CHUNK_TOKENS", 500), ("SAMPLE_BYTES", 20_000)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    lay = kneser_ney.layout(docs)
+    assert lay.slices > 20 and lay.parts == min(parts, lay.slices) and (len(lay.names) > 0) == (frequent > 0)
+    own = [lay.part(s) for s in range(lay.slices)]
+    assert all(lay.first_slice(p) == own.index(p) for p in range(lay.parts)) and lay.first_slice(lay.parts) == lay.slices
+    many = sorted((repr(r.doc_id), r.n_known, round(r.score, 9)) for r in kneser_ney.score_documents(docs).collect())
+    assert many == one
+
+
+def test_frequent_words_are_spread():
+    rng = np.random.default_rng(1)
+    first, second = np.full(100_000, 5, dtype=np.uint64), rng.integers(0, 2**63, 100_000, dtype=np.uint64) * np.uint64(2)
+    lay = kneser_ney.Layout(1000, np.array([5], dtype=np.uint64), np.array([400], dtype=np.uint64))
+    counts = np.bincount(lay.of_pair(first, second), minlength=1000)
+    assert counts.max() < 100_000 / 50 and (lay.of_pair(first, second) == lay.of_pair(first, second)).all()
+
+
 def test_frequent_pairs_keep_their_counts(spark):
     """Counts above a byte stand apart in the model's files."""
     rows = [(2, "xx yy " * 300, "aa", "s", 0), (4, "xx zz", "aa", "s", 0)]
