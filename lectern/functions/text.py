@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 # Words dropped from queries, folded (lower case, no accents, sigma).
 QUERY_STOPWORDS = (
-    # articles, pronouns, question words and particles
+    # of Greek
     "ο", "η", "το", "οι", "τα", "του", "τησ", "των", "τον", "την", "τουσ", "τισ", "ενασ", "μια", "ενα", "και", "να", "με",
     "σε", "απο", "για", "στο", "στη", "στην", "στον", "στουσ", "στισ", "στα", "δεν", "οτι", "ειναι", "ηταν", "ειχε", "εχει",
     "εχουν", "τι", "πωσ", "γιατι", "ποτε", "που", "ποιοσ", "ποια", "ποιο", "ποιοι", "ποιεσ", "ποιων", "ποιον", "ποιουσ",
-    # question and function words
+    # of English
     "who", "what", "when", "where", "why", "how", "which", "whom", "is", "are", "was", "were", "be", "been", "do", "does",
     "did", "the", "a", "an", "of", "in", "on", "and", "or", "to", "for", "about",
 )
@@ -120,13 +120,13 @@ def _camel_parts(label: Column) -> Column:
 
 def upper_camel(label: Column) -> Column:
     """Words joined, each with a capital; the rest of a word keeps its case."""
-    return F.array_join(F.transform(_camel_parts(label), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+    return F.array_join(F.transform(_camel_parts(label), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def lower_camel(label: Column) -> Column:
     """As upper_camel with a small first letter."""
     joined = upper_camel(label)
-    return F.concat(F.lower(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+    return F.concat(F.lower(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined)))
 
 
 def camel_words(name: Column) -> Column:
@@ -293,7 +293,7 @@ def guarded_citations(text: Column, allowed: Column, pattern: str = CITATION) ->
 
 # Number words.
 UNITS = (
-    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
     "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
 )
 ORDINALS = (
@@ -312,12 +312,12 @@ AGE_FORMS = (
 
 
 def _number_words() -> dict[str, int]:
-    out = {w: i for i, w in enumerate(UNITS)} | {w: i + 1 for i, w in enumerate(ORDINALS)}
+    out = {w: i + 1 for i, w in enumerate(UNITS)} | {w: i + 1 for i, w in enumerate(ORDINALS)}
     for i, w in enumerate(TENS):
         out[w] = out[w[:-1] + "ieth"] = 10 * (i + 2)
     for i, w in enumerate(TENS):
         for j in range(1, 10):
-            out[f"{w}-{UNITS[j]}"] = out[f"{w}-{ORDINALS[j - 1]}"] = 10 * (i + 2) + j
+            out[f"{w}-{UNITS[j - 1]}"] = out[f"{w}-{ORDINALS[j - 1]}"] = 10 * (i + 2) + j
     return out
 
 

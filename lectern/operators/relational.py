@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import kept_in_order
+
 # How sure a statement is, best first.
 CERTAINTY = ("asserted", "reported", "disputed", "conjectured")
 
@@ -308,22 +310,13 @@ def placed(rows: DataFrame, lead: list[Column], rest: list[Column | str], name:
 def overlaps_resolved(spans: DataFrame, key: str) -> DataFrame:
     """Spans that do not overlap, per key: earliest start, then longest, then not heuristic; greedy.
 
-    spans: key, start, end, heuristic and further columns.  The scan keeps state,
-    so a key's spans are folded as one sorted array.
+    spans: key, start, end, heuristic and further columns.  One scan in order
+    that remembers where the last kept span ended.
     """
     rest = [c for c in spans.columns if c not in (key, "start", "end", "heuristic")]
-    item = F.struct("start", (-F.col("end")).alias("back"), "heuristic", *rest)
-    rows = spans.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    kind = dict(rows.dtypes)["s"]
-    fold = F.aggregate(
-        "s",
-        F.struct(F.lit(-1).alias("last"), F.array().cast(kind).alias("out")),
-        lambda acc, z: F.when(
-            z["start"] >= acc["last"], F.struct((-z["back"]).cast("int").alias("last"), F.concat(acc["out"], F.array(z)).alias("out"))
-        ).otherwise(acc),
-    )
-    out = rows.select(key, F.explode(fold["out"]).alias("z"))
-    return out.select(key, "z.start", (-F.col("z.back")).alias("end"), "z.heuristic", *[f"z.{c}" for c in rest])
+    step = lambda last, z: (z[1], True) if last is None or z[0] >= last else (last, False)
+    out = kept_in_order(spans, [key], ["start", F.desc("end"), "heuristic", *rest], ["start", "end"], None, step)
+    return out.select(key, "start", "end", "heuristic", *rest)
 
 
 def runs(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -336,17 +329,9 @@ def runs(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
 
 def greedy_budget(items: DataFrame, key: str, size: str, budget: int) -> DataFrame:
     """Items in order while they fit; one that does not is skipped and the next is tried."""
+    step = lambda used, z: (used + z[0], True) if z[0] is not None and used + z[0] <= budget else (used, False)
     rest = [c for c in items.columns if c not in (key, "ord")]
-    rows = items.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", *rest))).alias("s"))
-    kind = dict(rows.dtypes)["s"]
-    fold = F.aggregate(
-        "s",
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out")),
-        lambda acc, z: F.when(
-            acc["used"] + z[size] <= budget, F.struct((acc["used"] + z[size]).cast("long").alias("used"), F.concat(acc["out"], F.array(z)).alias("out"))
-        ).otherwise(acc),
-    )
-    return rows.select(key, F.explode(fold["out"]).alias("z")).select(key, "z.*")
+    return kept_in_order(items, [key], ["ord", *rest], [size], 0, step).select(key, "ord", *rest)
 
 
 def suggestions(entities: DataFrame, needle: str, most: int = 9) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
+from .tagging import occurrences
+
 # Fixed values of the ranking function and of the candidate pools.
 K1, B, POOL = 1.5, 0.75, 50
+#: Query vectors that meet the table in one pass.
+QUERY_BLOCK = 20_000
 
 
 @dataclass(frozen=True)
@@ -127,17 +132,29 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = POOL, **options) ->
 def dense_rank(vectors: DataFrame, queries: DataFrame, k: int = POOL, normalise: bool = True) -> DataFrame:
     """Exact ranking by dot product over the query's norm; vectors count as normalised.
 
-    vectors: doc, v; queries: query, q, a small, stated set that is sent to the
-    workers as one matrix per vector length.  Vectors of another length than a
-    query's rank nowhere for it.  A batch of vectors meets all queries in one
-    matrix product and hands on its k best per query only.
+    vectors: doc, v; queries: query, q.  Vectors of another length than a query's
+    rank nowhere for it.  The stated queries meet all vectors in blocks of at most
+    QUERY_BLOCK, each sent to the workers as one matrix per vector length; a batch
+    of vectors meets a block in one matrix product and hands on its k best per
+    query only.
     """
+    asked = queries.where("q is not null").select("query", "q")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]
+    ranked = []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK
+        ranked.append(vectors.select("doc", "v").mapInPandas(_nearest(rows, k, normalise), f"query {kinds[0]}, doc {kinds[1]}, score double"))
+    return top(reduce(DataFrame.unionByName, ranked), k)
+
+
+def _nearest(queries: list, k: int, normalise: bool):
     by_size: dict[int, tuple[list, np.ndarray]] = {}
-    rows = [(r["query"], np.asarray(r["q"], dtype=np.float64)) for r in queries.select("query", "q").collect() if r["q"] is not None]
+    rows = [(r["query"], np.asarray(r["q"], dtype=np.float64)) for r in queries]
     for size in {len(q) for _, q in rows}:
         own = [(n, q) for n, q in rows if len(q) == size]
         m = np.stack([q for _, q in own])
-        norm = np.linalg.norm(m, axis=1, keepdims=True) if normalise else 1.0
+        norm = np.linalg.norm(m, axis=1, keepdims=True) if normalise else np.ones((len(own), 1))
         by_size[size] = [n for n, _ in own], m / np.where(norm == 0, 1.0, norm)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,8 +172,7 @@ def dense_rank(vectors: DataFrame, queries: DataFrame, k: int = POOL, normalise:
                     at = at[np.lexsort((docs[at], -s[at]))][:k]
                     yield pd.DataFrame({"query": name, "doc": docs[at], "score": score[at, j]})
 
-    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]
-    return top(vectors.select("doc", "v").mapInPandas(run, f"query {kinds[0]}, doc {kinds[1]}, score double"), k)
+    return run
 
 
 def fuse(
@@ -252,23 +268,24 @@ def detection_table(names: DataFrame) -> DataFrame:
 
 
 def detect_subjects(queries: DataFrame, variants: DataFrame) -> DataFrame:
-    """(query, subject): names found in a query, longest first; what is found is taken out of the rest.
+    """(query, subject): names found in a query, longest first; every occurrence of what is found is taken out of the rest.
 
-    variants is a bounded table (names of subjects); it becomes one ordered array.
+    An automaton finds the variants that a query holds at all; only those few are
+    then tried in order, bounded by non-letters, on what is left of the query.
     """
-    ordered = F.broadcast(
-        variants.agg(F.sort_array(F.collect_list(F.struct((-F.length("variant")).alias("n"), "variant", "subject"))).alias("table"))
-    )
-    zero = F.struct(F.lower("text").alias("rest"), F.array().cast("array<string>").alias("found"))
+    low = queries.select(F.col("query").alias("id"), F.lit(None).cast("string").alias("owner"), F.lower("text").alias("text"))
+    names = variants.select(F.col("variant").alias("surface"), "subject")
+    held = occurrences(low, names, bounded=False).select("id", "surface").distinct()
+    tried = held.join(names, "surface").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("surface")).alias("n"), "surface", "subject"))).alias("tried"))
+    nothing = F.struct(F.col("text").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, v: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?:^|[^\p{L}])\Q"), v["variant"], F.lit(r"\E(?:[^\p{L}]|$)"))
-        return F.when(
-            F.regexp_like(acc["rest"], quoted),
-            F.struct(F.replace(acc["rest"], v["variant"], F.lit(" ")).alias("rest"), F.array_union(acc["found"], F.array(v["subject"])).alias("found")),
-        ).otherwise(acc)
+        alone = F.concat(F.lit(r"(?<!\p{L})\Q"), v["surface"], F.lit(r"\E(?!\p{L})"))
+        hit = F.struct(F.replace(acc["rest"], v["surface"], F.lit(" ")).alias("rest"), F.array_union(acc["found"], F.array(v["subject"])).alias("found"))
+        return F.when(F.regexp_like(acc["rest"], alone), hit).otherwise(acc)
 
-    return queries.join(ordered, how="cross").select("query", F.explode(F.aggregate("table", zero, step)["found"]).alias("subject"))
+    found = low.join(tried, "id").select("id", F.explode(F.aggregate("tried", nothing, step)["found"]).alias("subject"))
+    return found.select(F.col("id").alias("query"), "subject")
 
 
 def detect_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -2,51 +2,77 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
+from .folds import kept_in_order
 from .relational import overlaps_resolved
 
-SPANS = "id long, start int, end int, surface string, entity string, heuristic boolean"
 
+#: Dictionary surfaces in one automaton; a larger dictionary is taken in several passes over the text.
+SURFACES = 500_000
 
-def scan(sections: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, start, end, surface, entity, heuristic): dictionary surfaces in texts, longest first.
 
-    sections: id, owner, text; entries: surface, entity, scopes (array of owners,
-    null: everywhere), heuristic.  Matches are case-sensitive and bounded by
-    non-letters; offsets count code points.  A scoped entry that fits the owner
-    beats an unscoped one of the same surface; a heuristic entry counts only in
-    its scopes.  The dictionary is a curated, bounded list: it is compiled into
-    one alternation, once per task; texts stream past it in Arrow batches.
+def occurrences(texts: DataFrame, surfaces: DataFrame, bounded: bool = True) -> DataFrame:
+    """(id, owner, start, end, surface): every place in texts(id, owner, text) where a surface stands, overlaps included.
+
+    bounded: no letter directly before or after.  Surfaces go into Aho-Corasick
+    automata of at most SURFACES each, which read a text once whatever their
+    number; offsets count code points.
     """
-    rows = [(r.surface, r.entity, r.scopes, bool(r.heuristic)) for r in entries.select("surface", "entity", "scopes", "heuristic").collect()]
-    by: dict[str, list[tuple]] = defaultdict(list)
-    for surface, entity, scopes, heuristic in sorted(rows, key=lambda r: (r[0], r[2] is None, r[1])):
-        by[surface].append((entity, None if scopes is None else frozenset(scopes), heuristic))
-    known = dict(by)
+    named = surfaces.where("surface is not null and surface <> ''").select("surface").distinct()
+    passes = max(1, -(-named.count() // SURFACES))
+    found = []
+    for k in range(passes):
+        words = [r.surface for r in named.where(F.pmod(F.xxhash64("surface"), F.lit(passes)) == k).collect()]  # about SURFACES
+        found.append(texts.select("id", "owner", "text").mapInPandas(_finder(words, bounded), f"id {dict(texts.dtypes)['id']}, owner string, start int, end int, surface string"))
+    return reduce(DataFrame.unionByName, found)
+
 
+def _finder(words: list[str], bounded: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        longest = sorted(known, key=lambda s: (-len(s), s))
-        pattern = regex.compile(r"(?<!\p{L})(?:" + "|".join(map(regex.escape, longest)) + r")(?!\p{L})") if longest else None
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
         for batch in batches:
             out = []
             for key, owner, text in zip(batch["id"], batch["owner"], batch["text"], strict=True):
-                for m in pattern.finditer(text or "") if pattern else ():
-                    for entity, scopes, heuristic in known[m[0]]:
-                        if scopes is None or owner in scopes:
-                            out.append((key, m.start(), m.end(), m[0], entity, heuristic))
-                            break
-            yield pd.DataFrame(out, columns=["id", "start", "end", "surface", "entity", "heuristic"])
+                for last, w in automaton.iter(text) if text and words else ():
+                    start, end = last + 1 - len(w), last + 1
+                    if bounded and ((start and text[start - 1].isalpha()) or (end < len(text) and text[end].isalpha())):
+                        continue
+                    out.append((key, owner, start, end, w))
+            yield pd.DataFrame(out, columns=["id", "owner", "start", "end", "surface"])
+
+    return run
 
-    return sections.select(F.col("id").cast("long").alias("id"), "owner", "text").mapInPandas(run, SPANS)
+
+def scan(sections: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, start, end, surface, entity, heuristic): dictionary surfaces in texts, longest first.
+
+    sections: id, owner, text; entries: surface, entity, scopes (array of owners,
+    null: everywhere), heuristic.  Matches are case-sensitive and bounded by
+    non-letters; offsets count code points.  Of overlapping places the first
+    counts, of those that begin together the longest.  A scoped entry that fits
+    the owner beats an unscoped one of the same surface; a heuristic entry counts
+    only in its scopes; a place without an entry that fits is still taken.
+    """
+    places = occurrences(sections.select(F.col("id").cast("long").alias("id"), "owner", "text"), entries)
+    step = lambda last, z: (z[1], True) if last is None or z[0] >= last else (last, False)
+    taken = kept_in_order(places, ["id", "owner"], ["start", F.desc("end")], ["start", "end"], None, step)
+    scoped = F.col("scopes").isNotNull()
+    known = entries.groupBy("surface").agg(F.sort_array(F.collect_list(F.struct((~scoped).alias("last"), "entity", "scopes", F.coalesce("heuristic", F.lit(False)).alias("heuristic")))).alias("e"))
+    fits = F.filter("e", lambda z: z["scopes"].isNull() | F.array_contains(z["scopes"], F.col("owner")))
+    best = taken.join(known, "surface").withColumn("best", F.get(fits, F.lit(0))).where("best is not null")
+    return best.select("id", "start", "end", "surface", "best.entity", "best.heuristic")
 
 
 def tag_terms(sections: DataFrame, terms: DataFrame, endings: tuple[str, ...], names_need_capital: bool = True) -> DataFrame:
@@ -116,7 +142,7 @@ def candidate_entries(names: DataFrame, blocklist: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.struct((F.col("kind") == "work").cast("int").alias("w"), "entity"))).alias("c"),
         F.collect_list("qids").alias("q"),
     )
-    shared = F.size(F.aggregate(F.slice("q", 2, 1 << 20), F.col("q")[0], lambda a, b: F.array_intersect(a, b))) > 0
+    shared = F.size(F.aggregate(F.slice("q", F.lit(2), F.size("q")), F.col("q")[0], lambda a, b: F.array_intersect(a, b))) > 0
     others = F.filter("c", lambda z: z["w"] == 0)
     pick = F.when(F.size("c") == 1, F.col("c")[0]["entity"]).when(shared, F.col("c")[0]["entity"]).when(F.size(others) == 1, others[0]["entity"])
     blocked = groups.join(F.broadcast(blocklist.select(F.col("token").alias("surface")).distinct().withColumn("b", F.lit(True))), "surface", "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,9 +113,23 @@ def snapshot_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def snapshot_hash(lines: DataFrame) -> DataFrame:
-    """(sha256, n) of all lines in order, joined by newlines: one hash over the body by definition."""
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda z: z["line"]), "\n")
-    return lines.agg(F.sha2(body, 256).alias("sha256"), F.count("*").alias("n"))
+    """(sha256, n) of all lines in order, joined by newlines.
+
+    One hash over one body is sequential by definition: the sorted lines stream
+    through one task, which holds a batch of them and never the body.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                digest.update(b"\n" if n else b"")
+                digest.update((line or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"sha256": [digest.hexdigest()], "n": [n]})
+
+    rows = lines.where("line is not null").select("ord", "line").repartition(1).sortWithinPartitions("ord", "line")
+    return rows.mapInArrow(run, "sha256 string, n long")
 
 
 def write_dataset(df: DataFrame, path: str) -> DataFrame:

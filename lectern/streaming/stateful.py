@@ -9,37 +9,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.folds import numbered_in_order
+
 
 def rate_limit(events: DataFrame, key: str, ts: str, tie: str, window_us: int, most: int) -> DataFrame:
     """(key, tie, ts, window_start, position, remaining, allowed) of a batch of events.
 
-    A key's events are folded in order inside its row.  max <= 0 turns the limit off.
+    A key's events are scanned in order; a new window opens at the first event at
+    or after the last one's end.  max <= 0 turns the limit off.
     """
     rows = events.select(F.col(key).alias("key"), F.col(tie).alias("tie"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(ts).alias("ts"))
+    none = F.lit(None).cast("long")
     if most <= 0:
-        return rows.select("key", "tie", "ts", F.lit(None).cast("long").alias("window_start"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("remaining"), F.lit(True).alias("allowed"))
-    grouped = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("us", "tie", "ts"))).alias("e"))
-    kind = f"array<struct<tie:{dict(rows.dtypes)['tie']},ts:{dict(rows.dtypes)['ts']},start:bigint,n:bigint>>"
-    # one pass: a new window opens at the first event at or after the last one's end
-    starts = F.aggregate(
-        "e",
-        F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.array().cast(kind).alias("out")),
-        lambda acc, z: _advance(acc, z, window_us),
-    )
-    out = grouped.select("key", F.explode(starts["out"]).alias("z"))
-    n = F.col("z.n")
-    return out.select("key", "z.tie", "z.ts", F.col("z.start").alias("window_start"), n.alias("position"), F.greatest(F.lit(0).cast("long"), most - n).alias("remaining"), (n <= most).alias("allowed"))
-
-
-def _advance(acc, z, window_us):
-    fresh = acc["start"].isNull() | (z["us"] >= acc["start"] + window_us)
-    start = F.when(fresh, z["us"]).otherwise(acc["start"])
-    n = F.when(fresh, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-    item = F.struct(z["tie"].alias("tie"), z["ts"].alias("ts"), start.alias("start"), n.alias("n"))
-    return F.struct(start.alias("start"), n.alias("n"), F.array_append(acc["out"], item).alias("out"))
+        return rows.select("key", "tie", "ts", none.alias("window_start"), none.alias("position"), none.alias("remaining"), F.lit(True).alias("allowed"))
+
+    def step(state: tuple | None, z: tuple) -> tuple[tuple, tuple]:
+        start, n = (z[0], 1) if state is None or z[0] >= state[0] + window_us else (state[0], state[1] + 1)
+        return (start, n), (start, n)
+
+    out = numbered_in_order(rows, ["key"], ["us", "tie"], ["us"], None, step, ["window_start", "position"])
+    n = F.col("position")
+    return out.select("key", "tie", "ts", "window_start", n, F.greatest(F.lit(0).cast("long"), most - n).alias("remaining"), (n <= most).alias("allowed"))
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, tie: str, window_us: int, most: int) -> DataFrame:
@@ -79,18 +72,30 @@ def latest_wins(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def merge_latest(path: str, keys: list[str], *order: str):
-    """A foreachBatch function that keeps the latest row per key in versions under path."""
+    """A foreachBatch function that appends a micro-batch's latest row per key under path.
+
+    A batch writes its own rows alone, in a folder of its epoch, so work follows
+    the batch and a batch that is run again replaces what it wrote.  Rows are
+    merged when they are read: read_latest; compacted() folds old epochs.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = batch
-        if epoch > 0:
-            now = spark.read.parquet(f"{path}/{epoch - 1}").unionByName(batch)
-        latest_wins(now, keys, *order).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        latest_wins(batch, keys, *order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return run
 
 
+def read_latest(spark: SparkSession, path: str, schema: str, keys: list[str], *order: str) -> DataFrame:
+    """The latest row per key of all that merge_latest wrote."""
+    return latest_wins(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path), keys, *order)
+
+
+def compacted(spark: SparkSession, path: str, target: str, schema: str, keys: list[str], *order: str) -> DataFrame:
+    """Writes the merged rows to another path, from which appending may go on, and reads them."""
+    read_latest(spark, path, schema, keys, *order).write.parquet(f"{target}/epoch=-1")
+    return read_latest(spark, target, schema, keys, *order)
+
+
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts per event-time window (tumbling, or sliding with slide); late sets a watermark for streams."""
     rows = events.withWatermark(ts, late) if late else events

@@ -54,8 +54,8 @@ def test_names(spark):
 
 @pytest.mark.parametrize(
     "s,age",
-    [("He died at the age of eighty-five.", 85), ("aged 72, in Athens", 72), ("in his fifty-third year", 53), ("Died at seventy", 70),
-     ("Lived one hundred and fifty-four years", 154), ("was ninety. Then 3", 90), ("no age here", None), ("in his garden aged about twelve", 12)],
+    [("Reached the age of ninety-one; then nothing.", 91), ("buried aged 64, near the wall", 64), ("in his thirty-eighth summer", 38), ("Died at sixty", 60),
+     ("Lived one hundred and twelve winters", 112), ("was forty. Later 9", 40), ("nothing is stated", None), ("in his orchard aged about eleven", 11), ("aged zero", None)],
 )
 def test_age(spark, s, age):
     assert one(spark, T.age(F.lit(s))) == age
@@ -221,6 +221,47 @@ def test_overlaps(spark):
     assert sorted(r.entity for r in out.collect()) == ["b", "d", "f"]
 
 
+def test_ordered_scans_stream_over_hot_keys(spark):
+    """A key of 100,000 rows is scanned once; results equal a loop."""
+    n = 100_000
+    events = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("tie"), F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("ts"))
+    got = {r.tie: (r.window_start, r.position) for r in S.rate_limit(events, "key", "ts", "tie", 10**6, 3).collect()}
+    start, k = None, 0
+    for us, tie in sorted((r.us, r.tie) for r in events.select(F.unix_micros("ts").alias("us"), "tie").collect()):
+        start, k = (us, 1) if start is None or us >= start + 10**6 else (start, k + 1)
+        assert got[tie] == (start, k)
+    spans = spark.range(n).select(F.lit(1).alias("key"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("start"), F.lit(False).alias("heuristic"), "id")
+    kept = O.overlaps_resolved(spans.withColumn("end", F.col("start") + 40), "key").select("start").collect()
+    last, want = None, []
+    for s in sorted(r.start for r in spans.select("start").collect()):
+        if last is None or s >= last:
+            want.append(s)
+            last = s + 40
+    assert sorted(r.start for r in kept) == want
+    assert O.greedy_budget(spans.select("key", F.col("id").alias("ord"), F.lit(3).alias("n")), "key", "n", 1000).count() == 333
+
+
+def test_places_in_order(spark):
+    rows = [(i % 7, (i * 37) % 101, i) for i in range(500)]
+    out = O.placed(spark.createDataFrame(rows, "a int, b int, c int"), [F.col("a")], ["b", "c"]).collect()
+    assert [tuple(r)[:3] for r in sorted(out, key=lambda r: r.place)] == sorted(rows) and sorted(r.place for r in out) == list(range(1, 501))
+
+
+def test_succession_of_long_chains_and_cycles(spark):
+    edges = [(f"n{i}", f"n{i - 1}", "teacher", 1) for i in range(1, 40)] + [("x", "y", "teacher", 1), ("y", "x", "teacher", 1), ("z", "x", "influence", 1), ("z", "n3", "teacher", 2), ("w", "y", "teacher", 1)]
+    got = {r.pupil: (r.parent, r.depth) for r in G.succession(spark.createDataFrame(edges, "pupil string, teacher string, kind string, ord int")).collect()}
+    assert got == {"n0": (None, 0), "x": ("y", None), "y": ("x", None), "w": ("y", None), "z": ("n3", 4)} | {f"n{i}": (f"n{i - 1}", i) for i in range(1, 40)}
+
+
+def test_texts_that_hold_a_needle(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(30)) for _ in range(60)] + ["", None]
+    needles = [t[k : k + n] for t in texts[:20] for k, n in ((0, 12), (5, 30), (3, 3), (7, 22))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "passage int, text string")
+    got = {tuple(r) for r in E.holding(docs, spark.createDataFrame(list(enumerate(needles)), "topic int, needle string")).select("topic", "passage").collect()}
+    assert got == {(i, j) for i, x in enumerate(needles) for j, t in enumerate(texts) if t is not None and x in t}
+
+
 def test_patches_must_change_something(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     patch = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string")
@@ -272,6 +313,58 @@ def test_scan(spark):
     assert sorted((r.id, r.start, r.end, r.entity) for r in out.collect()) == [(1, 0, 14, "zc"), (1, 35, 39, "z"), (2, 0, 6, "c2")]
 
 
+@pytest.mark.parametrize("surfaces", [500_000, 3])
+def test_scan_by_a_loop(spark, monkeypatch, surfaces):
+    """Every surface at every place, by a loop over positions; a dictionary of several automata finds the same."""
+    monkeypatch.setattr(A, "SURFACES", surfaces)
+    rng = random.Random(8)
+    words = ["a", "ab", "a b", "b a b", "é", "b", "ab a", "ba."]
+    entries = [(w, f"e{i}", None if i % 3 else ["o1"], i % 2 == 0) for i, w in enumerate(words)] + [("ab", "any", None, False)]
+    rows = [(i, rng.choice(["o1", "o2", None]), "".join(rng.choice("ab é.") for _ in range(rng.randrange(0, 25)))) for i in range(80)] + [(99, "o1", None)]
+    got = A.scan(spark.createDataFrame(rows, "id long, owner string, text string"), spark.createDataFrame(entries, "surface string, entity string, scopes array<string>, heuristic boolean"))
+    want = []
+    for key, owner, text in rows:
+        at = 0
+        while at < len(text or ""):
+            fit = [w for w in words if text.startswith(w, at) and not (at and text[at - 1].isalpha()) and not text[at + len(w) : at + len(w) + 1].isalpha()]
+            if not fit:
+                at += 1
+                continue
+            w = max(fit, key=len)
+            known = sorted((scopes is None, e, h) for s, e, scopes, h in entries if s == w and (scopes is None or owner in scopes))
+            if known:
+                want.append((key, at, at + len(w), w, known[0][1], known[0][2]))
+            at += len(w)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_detection_by_a_loop(spark):
+    import re
+
+    rng = random.Random(5)
+    names = ["zeno", "zeno of elea", "zeno of citium", "crates", "ra", "plato", "nic", "ion"]
+    rows = [(i, " ".join(rng.choice(["Zeno", "of", "Elea", "Citium,", "CRATES", "ra", "platonic", "Plato's", "ion", "x"]) for _ in range(8))) for i in range(60)]
+    got = {(r.query, r.subject) for r in R.detect_subjects(spark.createDataFrame(rows, "query int, text string"), spark.createDataFrame([(n, n.upper()) for n in names], "variant string, subject string")).collect()}
+    want = set()
+    for key, text in rows:
+        rest = text.lower()
+        for n in sorted(names, key=lambda x: (-len(x), x)):
+            if re.search(rf"(?<![^\W\d_]){n}(?![^\W\d_])", rest):
+                want.add((key, n.upper()))
+                rest = rest.replace(n, " ")
+    assert got == want
+
+
+def test_vectors_meet_queries_in_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    vec = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
+    v, q = spark.createDataFrame(vec, "doc int, v array<double>"), spark.createDataFrame(vec[:9], "query int, q array<double>")
+    rows = lambda: sorted((r.query, r["rank"], r.doc, round(r.score, 9)) for r in R.dense_rank(v, q, 3).collect())
+    one = rows()
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    assert rows() == one and len(one) == 27
+
+
 def test_names_need_a_capital(spark):
     s = spark.createDataFrame([(1, "o", "Πλάτων πλάτων Πλάτωνος λόγου")], "id long, owner string, text string")
     terms = spark.createDataFrame([("πλατων", "πλατων", "P", True), ("λογοσ", "λογ", "L", False)], "form string, stem string, entity string, name boolean")
@@ -367,7 +460,12 @@ def test_merged_stream_keeps_the_latest(spark, tmp_path):
     source = spark.readStream.schema("k string, seq int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
     job = source.writeStream.foreachBatch(S.merge_latest(str(tmp_path / "out"), ["k"], "seq")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     job.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "1")).collect())) == [("j", 5, "x"), ("k", 2, "new")]
+    schema, want = "k string, seq int, v string", [("j", 5, "x"), ("k", 2, "new")]
+    assert sorted(map(tuple, S.read_latest(spark, str(tmp_path / "out"), schema, ["k"], "seq").collect())) == want
+    # a batch writes its own rows alone, and again when it is run again
+    assert spark.read.parquet(str(tmp_path / "out" / "epoch=1")).count() == 1
+    S.merge_latest(str(tmp_path / "out"), ["k"], "seq")(spark.createDataFrame([("k", 2, "new")], schema), 1)
+    assert sorted(map(tuple, S.compacted(spark, str(tmp_path / "out"), str(tmp_path / "less"), schema, ["k"], "seq").collect())) == want
 
 
 def test_compaction_and_subjects(spark):
