@@ -48,9 +48,9 @@ def parse_qrels(lines: DataFrame, passages: DataFrame) -> dict[str, DataFrame]:
     errors = (
         said(flat.where("bad"), "invalid JSON")
         .unionByName(said(flat.where("not bad and topic = ''"), "missing topic_id"))
-        .unionByName(said(known.where("reason <> '' and grade > 0"), "no_gold_passage_reason on a relevance>0 row"))
-        .unionByName(said(rows.where("full_cts_urn is null or full_cts_urn = ''"), "relevance>0 but no full_cts_urn"))
-        .unionByName(said(lost, "cannot resolve reference"))
+        .unionByName(said(known.where("reason <> '' and grade > 0"), "a reason for no passage stands on a relevant row"))
+        .unionByName(said(rows.where("full_cts_urn is null or full_cts_urn = ''"), "a relevant row names no passage"))
+        .unionByName(said(lost, "the passage named is not known"))
     )
     last = F.max_by("reason", "line_no")
     return {
@@ -319,44 +319,87 @@ def cohen_kappa(judgments: DataFrame, unit: str, value: str) -> DataFrame:
 # ---------------------------------------------------------------- significance
 
 
-def draws(diffs: DataFrame, n: int, seed: int, what: Column) -> DataFrame:
-    """(draw, mean) of a hash-drawn statistic over the topics' differences (topic, d).
+FLIPS, DRAWS, SEED = 20_000, 10_000, 42
 
-    diffs has a row per topic; the draws are made in parallel.
+
+def _low_product(a: Column, b: Column) -> Column:
+    """The low 32 bits of the product of two 32-bit numbers, without leaving 63 bits."""
+    mask = F.lit(0xFFFFFFFF)
+    low = a.bitwiseAND(F.lit(0xFFFF)) * b
+    high = (F.shiftrightunsigned(a, 16) * b).bitwiseAND(F.lit(0xFFFF))
+    return (low + high * F.lit(0x10000)).bitwiseAND(mask)
+
+
+def seeded_draw(n: Column, seed: int) -> Column:
+    """The n-th number (from 0) of the 32-bit generator mulberry32 with a seed, in 0..1.
+
+    The generator's state is a counter, so every number of the one ordered stream
+    can be made by itself, on any worker.
     """
-    spark = diffs.sparkSession
-    each = spark.range(n).withColumnRenamed("id", "draw").join(F.broadcast(diffs), how="cross")
-    return each.groupBy("draw").agg(F.avg(what).alias("mean"))
-
-
-def sign_flip_p(diffs: DataFrame, n: int = 20_000, seed: int = 42) -> DataFrame:
-    """(observed, p): share of sign flips at least as extreme, with one added to both counts."""
-    flip = F.when(F.pmod(F.xxhash64(F.lit(seed), "draw", "topic"), F.lit(2)) == 0, F.col("d")).otherwise(-F.col("d"))
-    observed = diffs.agg(F.avg("d").alias("observed"))
-    found = draws(diffs, n, seed, flip).join(F.broadcast(observed), how="cross")
-    extreme = F.count_if(F.abs("mean") >= F.abs("observed") - 1e-12)
-    return found.agg(F.max("observed").alias("observed"), ((extreme + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def bootstrap_interval(diffs: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """(low, high): the 95 percent percentile interval of the mean under resampling of topics."""
-    spark = diffs.sparkSession
-    rows = diffs.agg(
-        F.sort_array(F.collect_list(F.struct("topic", "d"))).alias("a")
-    )  # a row per topic
-    pick = F.transform("a", lambda z, i: F.get(F.col("a"), F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), i), F.size("a")).cast("int"))["d"])
-    means = spark.range(n).withColumnRenamed("id", "draw").join(F.broadcast(rows), how="cross").select(
-        (F.aggregate(pick, F.lit(0.0), lambda s, x: s + x) / F.size("a")).alias("mean")
+    mask = F.lit(0xFFFFFFFF)
+    # Fixed values of the generator: its step, and the shifts 15, 7 and 14 with the odd factors 1 and 61.
+    step = (n + 1).bitwiseAND(mask)
+    state = (_low_product(F.lit(0x6D2B79F5), step) + F.lit(seed & 0xFFFFFFFF)).bitwiseAND(mask)
+    t = _low_product(state.bitwiseXOR(F.shiftrightunsigned(state, 15)), state.bitwiseOR(F.lit(1)))
+    t = ((t + _low_product(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(mask)).bitwiseXOR(t)
+    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
+
+
+def paired_tests(diffs: DataFrame, flips: int = FLIPS, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(test, n, observed, low, high, p) of paired differences diffs(test, topic, d), tests in order.
+
+    p is the share of sign flips with a mean at least as extreme, one added to
+    both counts (1 if all differences are 0); low and high are the 95 percent
+    percentile interval of the mean under resampling of topics.  All tests draw
+    from one stream, test by test, flips before resamples, topics in order, so a
+    published report can be repeated number by number.
+    """
+    topics = Window.partitionBy("test").orderBy("topic")
+    own = diffs.select("test", (F.row_number().over(topics) - 1).alias("j"), F.col("d").cast("double").alias("d"))
+    shape = own.groupBy("test").agg(F.count("*").alias("n"), F.avg("d").alias("observed"), F.max(F.abs("d")).alias("most"))
+    used = F.col("n") * (F.when(F.col("most") == 0, 0).otherwise(flips) + F.lit(draws))
+    before = Window.orderBy("test").rowsBetween(Window.unboundedPreceding, -1)  # a row per test
+    shape = shape.withColumn("start", F.coalesce(F.sum(used).over(before), F.lit(0)))
+
+    def each(rows: DataFrame, times: int, first: Column) -> DataFrame:
+        """A row per test, draw and topic with its number of the stream."""
+        spread = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartition("test", "draw")
+        spread = spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+        return spread.withColumn("u", seeded_draw(first + F.col("draw") * F.col("n") + F.col("i"), seed))
+
+    flipped = each(shape.where("most > 0"), flips, F.col("start")).join(own.withColumnRenamed("j", "i"), ["test", "i"])
+    means = flipped.groupBy("test", "draw", "n", "observed").agg((F.sum(F.when(F.col("u") < 0.5, F.col("d")).otherwise(-F.col("d"))) / F.col("n")).alias("mean"))
+    extreme = means.groupBy("test").agg(F.count_if(F.abs("mean") >= F.abs("observed") - 1e-12).alias("extreme"))
+    begin = F.col("start") + F.when(F.col("most") == 0, 0).otherwise(F.col("n") * flips)
+    picked = each(shape, draws, begin).withColumn("j", F.floor(F.col("u") * F.col("n"))).join(own, ["test", "j"])
+    sampled = picked.groupBy("test", "draw").agg((F.sum("d") / F.count("*")).alias("mean"))
+    place = F.row_number().over(Window.partitionBy("test").orderBy("mean"))
+    low, high = int(0.025 * draws) + 1, -int(-0.975 * draws // 1)
+    ends = sampled.withColumn("place", place).groupBy("test").agg(
+        F.max(F.when(F.col("place") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("high")
     )
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
-
-
-def mulberry32(seed: int):
-    """The 32-bit generator behind published draws, for bit-exact replays on the driver."""
-    state = seed & 0xFFFFFFFF
-    mask = 0xFFFFFFFF
-    while True:
-        state = (state + 0x6D2B79F5) & mask
-        t = ((state ^ (state >> 15)) * (state | 1)) & mask
-        t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & mask)) & mask
-        yield ((t ^ (t >> 14)) & mask) / 4294967296
+    p = F.when(F.col("most") == 0, 1.0).otherwise((F.col("extreme") + 1) / F.lit(flips + 1))
+    return shape.join(ends, "test").join(extreme, "test", "left").select("test", "n", "observed", "low", "high", p.alias("p"))
+
+
+def sign_flip_p(diffs: DataFrame, flips: int = FLIPS, seed: int = SEED) -> DataFrame:
+    """(observed, p) of one test; diffs: topic, d."""
+    return paired_tests(diffs.withColumn("test", F.lit(0)), flips, 1, seed).select("observed", "p")
+
+
+def bootstrap_interval(diffs: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(low, high) of one test, whose resamples follow FLIPS sign flips in the stream; diffs: topic, d."""
+    return paired_tests(diffs.withColumn("test", F.lit(0)), FLIPS, draws, seed).select("low", "high")
+
+
+def positive_control(scored: DataFrame, stored: DataFrame, *by: str, within: float = 1e-9) -> DataFrame:
+    """(by, metric, recomputed, stored, holds): means over the per-topic rows against aggregates stored with a run.
+
+    stored: by, n_scored, mrr, recall, hit.  What does not hold means that the
+    topics tested are not those the run was scored on.
+    """
+    names = ("n_scored", "mrr", "recall", "hit")
+    pairs = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in names])).alias("z")).select(*by, "z.metric", "z.x")
+    mine = pairs(run_metrics(scored.where("reason is null"), *by)).withColumnRenamed("x", "recomputed")
+    both = mine.join(pairs(stored).withColumnRenamed("x", "stored"), [*by, "metric"], "full")
+    return both.select(*by, "metric", "recomputed", "stored", F.coalesce(F.abs(F.col("recomputed") - F.col("stored")) <= within, F.lit(False)).alias("holds"))

@@ -14,6 +14,7 @@ from lectern.functions import text as T
 from lectern.operators import navigation as N
 from lectern.operators import tagging as A
 from lectern.sources import readers, writers
+from lectern.sources.turtle import read_turtle
 
 from .registry import query, read
 
@@ -197,3 +198,34 @@ def verse_alignment(spark, sf_dir):
     left = rows.select("section", "pos", F.lit("o").alias("lines"))
     right = rows.where("f <> 'R'").select("section", "pos", F.concat(F.lit("t"), F.col("pos").cast("string")).alias("lines"))
     return readers.aligned(left, right).select("section", "pos", "translated")
+
+
+#: Signs that need escapes: they begin every text of the round trips.
+_HARD = "".join(map(chr, (92, 110, 13, 32, 9, 92, 34, 113, 34, 32, 39, 120, 39, 32, 0x1F600, 32, 0xE9, 32, 13, 92)))
+_HARD_SQL_TEXT = " || ".join(f"chr({ord(c)})" for c in _HARD)
+
+
+def _hard_triples(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    text = F.concat(F.lit(_HARD), "text")
+    none = F.lit(None).cast("string")
+    return d.select(F.concat(F.lit("http://x.org/d/"), "doc_id").alias("s"), F.lit("http://x.org/text").alias("p"), text.alias("o"), F.lit("literal").alias("o_kind"), F.col("lang").alias("lang"), none.alias("datatype"))
+
+
+_HARD_SQL = f"select 'http://x.org/d/' || doc_id as s, lang, md5({_HARD_SQL_TEXT} || text) as text_md5 from documents"
+
+
+@query(_HARD_SQL)
+def ntriples_round_trip(spark, sf_dir):
+    lines = writers.ntriples(_hard_triples(spark, sf_dir)).withColumnRenamed("line", "value")
+    return readers.read_ntriples(lines).select("s", "lang", F.md5(F.col("o").cast("binary")).alias("text_md5"))
+
+
+@query(_HARD_SQL)
+def turtle_round_trip(spark, sf_dir):
+    """A Turtle document per hundred texts, with prefixes, written and read again."""
+    body = F.concat(F.lit("d:"), F.regexp_extract("s", "[0-9]+$", 0), F.lit(" x:text "), writers.term(F.col("o"), F.col("o_kind"), F.col("lang"), F.col("datatype")), F.lit(" ."))
+    book = (F.regexp_extract("s", "[0-9]+$", 0).cast("long") / 100).cast("long").cast("string")
+    head = F.lit("@prefix d: <http://x.org/d/> .\nPREFIX x: <http://x.org/>\n")
+    docs = _hard_triples(spark, sf_dir).groupBy(book.alias("doc")).agg(F.concat(head, F.array_join(F.collect_list(body), "\n")).alias("text"))
+    return read_turtle(docs).select("s", "lang", F.md5(F.col("o").cast("binary")).alias("text_md5"))

@@ -224,11 +224,45 @@ def _differences(spark, sf_dir):
     return a.join(b, "topic").select("topic", (F.col("sparse") - F.col("dense")).alias("d"))
 
 
-@query()  # the draws come from a hash that SQL engines do not share; tested against exact enumeration
+#: The generator of the draws, and the differences of the reciprocal ranks in topic order.
+_DIFFS = """
+df as (select a.topic, coalesce(1.0 / a.first_rank, 0)::double - coalesce(1.0 / b.first_rank, 0)::double as d, row_number() over (order by a.topic) - 1 as i
+  from sc_sp a join sc_dn b using (topic) where not a.must_abstain and a.n_relevant > 0),
+nn as (select count(*) as n, avg(d) as observed from df)
+"""
+
+
+def _draws_sql(first: str, times: int) -> str:
+    m = "& 4294967295::hugeint"
+    return f"""
+g0 as (select draw, i, ({first} + draw * n + i)::hugeint as k, n from nn, range({times}) t(draw), range((select n from nn)) s(i)),
+g1 as (select draw, i, n, (42 + (k + 1) * 1831565813::hugeint) {m} as a from g0), g2 as (select draw, i, n, (xor(a, a >> 15) * (a | 1)) {m} as t from g1),
+g3 as (select draw, i, n, xor((t + ((xor(t, t >> 7) * (t | 61)) {m})) {m}, t) as t from g2), gen as (select draw, i, n, xor(t, t >> 14)::double / 4294967296.0 as u from g3)
+"""
+
+
+_BOTH = f"{_BM25}, {_DENSE}, {_QRELS}, {_scored_sql('sp')}, {_scored_sql('dn')}, {_DIFFS}"
+
+
+@query(f"""with {_BOTH}, {_draws_sql('0', 20000)}, ms as (select draw, sum(case when u < 0.5 then d else -d end) / any_value(n) as mean from gen join df using (i) group by draw)
+select round(any_value(observed), 9) as observed, case when (select max(abs(d)) from df) = 0 then 1.0 else (count_if(abs(mean) >= abs(observed) - 1e-12) + 1) / 20001.0 end as p from ms, nn""")
 def sign_flip_test(spark, sf_dir):
-    return E.sign_flip_p(_differences(spark, sf_dir))
+    return E.sign_flip_p(_differences(spark, sf_dir)).select(F.round("observed", 9).alias("observed"), "p")
 
 
-@query()
+@query(f"""with {_BOTH}, {_draws_sql('case when (select max(abs(d)) from df) = 0 then 0 else 20000 * n end', 10000)},
+ms as (select draw, sum(d) / count(*) as mean from (select draw, floor(u * n)::bigint as i from gen) p join df using (i) group by draw), od as (select mean, row_number() over (order by mean) as place from ms)
+select round(max(mean) filter (where place = 251), 9) as low, round(max(mean) filter (where place = 9750), 9) as high from od""")
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap_interval(_differences(spark, sf_dir))
+    return E.bootstrap_interval(_differences(spark, sf_dir)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(f"""with {_BM25}, {_QRELS}, {_scored_sql('sp')}, ok as (select * from sc_sp where not must_abstain and reason is null and n_relevant > 0)
+select 'sparse' as system, unnest(['n_scored', 'mrr', 'recall', 'hit']) as metric,
+  unnest([count(*), round(coalesce(avg(coalesce(1.0 / first_rank, 0)), 0), 9), round(coalesce(avg(relevant_in_k / n_relevant), 0), 9), round(coalesce(avg(case when first_rank is not null then 1.0 else 0 end), 0), 9)]) as recomputed,
+  unnest([true, true, true, false]) as holds from ok""")
+def positive_control(spark, sf_dir):
+    """The aggregates of the run itself hold; a hit rate that was not stored with it does not."""
+    scored = E.score_topics(run_lines(spark, sf_dir, "sparse"), qrels(spark, sf_dir), topic_list(spark, sf_dir)).withColumn("system", F.lit("sparse"))
+    stored = E.run_metrics(scored.where("reason is null"), "system").withColumn("hit", F.col("hit") + 0.01)
+    return E.positive_control(scored, stored, "system").select("system", "metric", F.round("recomputed", 9).alias("recomputed"), "holds")

@@ -250,24 +250,57 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     return checked.withColumn("_c", F.assert_true("ok", F.lit("parts do not meet or differ"))).where("_c is null").drop("ok", "_c")
 
 
-_NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+# Possessive, so that a long literal needs no stack.
+_NT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+
+
+def unescaped(text: Column) -> Column:
+    """Escapes of N-Triples undone in one pass.
+
+    Escaped backslashes are the places where the text is split first, so no other
+    escape is ever looked for across them.
+    """
+
+    def unicode(part: Column) -> Column:
+        short = F.concat(F.decode(F.unhex(F.substring(part, 3, 4)), "UTF-16BE"), F.substring(part, F.lit(7), F.length(part)))
+        long = F.concat(F.decode(F.unhex(F.substring(part, 3, 8)), "UTF-32"), F.substring(part, F.lit(11), F.length(part)))
+        return F.when(part.startswith("\\u"), short).when(part.startswith("\\U"), long).otherwise(part)
+
+    def plain(part: Column) -> Column:
+        for escape, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
+            part = F.replace(part, F.lit(escape), F.lit(char))
+        return part
+
+    def piece(part: Column) -> Column:
+        cut = F.split(part, r"(?=\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})")
+        return F.array_join(F.transform(cut, lambda x: plain(unicode(x))), "")
+
+    whole = F.array_join(F.transform(F.split(text, r"\\\\"), piece), "\\")
+    return F.when(text.contains("\\"), whole).otherwise(text)
 
 
 def read_ntriples(lines: DataFrame) -> DataFrame:
-    """(s, s_kind, p, o, o_kind, lang, datatype) of N-Triples lines (value), as a set; comments and blanks go."""
+    """(s, s_kind, p, o, o_kind, lang, datatype) of N-Triples lines (value), as a set; comments and blanks go.
+
+    Lines that are none of these are left to rejected_lines.
+    """
     g = lambda i: F.regexp_extract("value", _NT, i)
     literal = F.col("value").rlike(r'^\s*\S+\s+<[^>]*>\s+"')
-    text = F.replace(F.replace(F.replace(F.replace(g(5), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     rows = lines.where(F.col("value").rlike(_NT))
     return rows.select(
-        F.regexp_replace(g(1), "^<|>$", "").alias("s"),
-        F.when(g(1).startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), g(2).alias("p"),
-        F.when(literal, text).when(g(4) != "", g(4)).otherwise(g(3)).alias("o"),
+        unescaped(F.regexp_replace(g(1), "^<|>$", "")).alias("s"),
+        F.when(g(1).startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), unescaped(g(2)).alias("p"),
+        F.when(literal, unescaped(g(5))).when(g(4) != "", g(4)).otherwise(unescaped(g(3))).alias("o"),
         F.when(literal, "literal").when(g(4) != "", "bnode").otherwise("iri").alias("o_kind"),
-        F.nullif(g(6), F.lit("")).alias("lang"), F.nullif(g(7), F.lit("")).alias("datatype"),
+        F.nullif(g(6), F.lit("")).alias("lang"), F.nullif(unescaped(g(7)), F.lit("")).alias("datatype"),
     ).distinct()
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines (value) that are neither statements, comments nor blank."""
+    return lines.where(F.col("value").isNotNull() & ~F.col("value").rlike(_NT) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
 def read_prefixes(text: str) -> dict[str, str]:
     """Prefix table of a document's header."""
     return dict(re.findall(r"(?m)^\s*@prefix\s+([\w-]*):\s*<([^>]*)>\s*\.", text))
