@@ -286,3 +286,17 @@ def checked_query(query: str) -> str:
     if form in ("update", "unknown"):
         raise ValueError(f"only read queries are answered, not {form}")
     return query
+
+
+def requested_query(method: str, parameters: dict[str, str], body: str | dict | None = None, content_type: str = "") -> str | None:
+    """The query text of a request, checked: the parameter ``query``, a raw body, or a form's field; None without one.
+
+    Updates, by content type or as a form's field, are an error.
+    """
+    if "application/sparql-update" in content_type or (method != "GET" and isinstance(body, dict) and isinstance(body.get("update"), str)):
+        raise ValueError("only read queries are answered, not updates")
+    asked = [parameters.get("query")]
+    if method != "GET":
+        asked.insert(0, body if isinstance(body, str) else body.get("query") if isinstance(body, dict) else None)
+    found = next((x for x in asked if isinstance(x, str) and x.strip()), None)
+    return None if found is None else checked_query(found)

@@ -6,7 +6,7 @@ reading order; it decides ties), queries ``query``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -259,6 +259,42 @@ def extractive_answer(ranked: DataFrame, passages: DataFrame, top_n: int = 3) ->
     return total.join(lines, "query", "left").select("query", F.coalesce(F.concat("body", more), F.lit(NOTHING_FOUND)).alias("answer"))
 
 
+def generated_answers(context: DataFrame, fallback: DataFrame, generate: Callable[[str], str], cap: int = 1000) -> DataFrame:
+    """(query, answer, citations, rejected): a model's answers, kept only if grounded; otherwise the fallback.
+
+    context: query, question, items (array<struct<id, body>>); fallback: query,
+    answer; generate: prompt -> text, called in the workers (a client of any
+    model).  An answer that is empty, cites nothing or cites an id outside its
+    items is rejected with the reason, as is a call that fails; a query without
+    items is not asked.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query, question, items in zip(batch["query"], batch["question"], batch["items"], strict=True):
+                text, failed = None, None
+                if items is not None and len(items):
+                    try:
+                        text = generate(f"Question: {question[:cap]}\n\nContext items:\n\n" + "\n\n".join(x["body"] for x in items))
+                    except Exception as error:  # a model out of reach is no reason to fail the job
+                        failed = f"failed: {error}"
+                rows.append((query, (text or "").strip(), failed))
+            yield pd.DataFrame(rows, columns=["query", "raw", "failed"])
+
+    kind = dict(context.dtypes)["query"]
+    said = context.select("query", "question", "items").mapInPandas(run, f"query {kind}, raw string, failed string").join(context.select("query", "items"), "query")
+    allowed = F.coalesce(F.transform("items", lambda x: x["id"].cast("string")), F.array().cast("array<string>"))
+    checked = said.select("query", "failed", "raw", T.guarded_citations(F.col("raw"), allowed).alias("g"))
+    reason = (
+        F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("raw") == "", "empty").when(F.size("g.dropped") > 0, F.concat(F.lit("cites "), F.array_join("g.dropped", ", ")))
+        .when(F.size("g.cited") == 0, "cites nothing")
+    )
+    rows = checked.withColumn("rejected", reason).join(fallback.select("query", F.col("answer").alias("other")), "query", "left")
+    good = F.col("rejected").isNull()
+    return rows.select("query", F.when(good, F.col("g.text")).otherwise(F.col("other")).alias("answer"), F.when(good, F.col("g.cited")).otherwise(F.array().cast("array<string>")).alias("citations"), "rejected")
+
+
 def detection_table(names: DataFrame) -> DataFrame:
     """(variant, subject): lower-case names, and first words that only one name has."""
     low = names.select("subject", F.lower("subject").alias("variant")).distinct()

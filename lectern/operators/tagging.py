@@ -150,6 +150,28 @@ def candidate_entries(names: DataFrame, blocklist: DataFrame) -> DataFrame:
     return blocked.select("surface", F.when(reason.isNull(), pick).alias("entity"), F.lit(None).cast("array<string>").alias("scopes"), F.lit(False).alias("heuristic"), reason.alias("skipped"))
 
 
+def collision_audit(entities: DataFrame, curated: DataFrame, kinds: tuple[str, str] = ("source", "philosopher")) -> DataFrame:
+    """(entity, surfaces, others, resolution) of entities of the first kind whose surfaces are also the second kind's.
+
+    entities: entity, label, kind, qids (array); curated: label.  Surfaces are the
+    label and, of several words, a capitalised first one of three letters or more;
+    labels that join names have none.  Resolved as curated, as shared-qid if every
+    other one shares an external id, else uncurated.
+    """
+    label = F.trim("label")
+    first = F.split(label, r"\s+")[0]
+    more = F.when(label.rlike(r"\s") & first.rlike("^[A-Z]") & (F.length(first) >= 3), first)
+    found = F.when(label.rlike(r"[,/]| or "), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.when(F.length(label) >= 3, label), more)))
+    every = entities.select("entity", "label", "kind", "qids", F.explode(F.array_distinct(found)).alias("surface"))
+    mine, other = (every.where(F.col("kind") == k) for k in kinds)
+    met = mine.join(other.select("surface", F.col("entity").alias("o"), F.col("label").alias("ol"), F.col("qids").alias("oq")), "surface")
+    shared = F.size(F.array_intersect(F.coalesce("qids", F.array().cast("array<string>")), F.coalesce("oq", F.array().cast("array<string>")))) > 0
+    rows = met.groupBy("entity", "label").agg(F.sort_array(F.collect_set("surface")).alias("surfaces"), F.sort_array(F.collect_set("ol")).alias("others"), F.bool_and(shared).alias("same"))
+    known = rows.join(curated.select("label").distinct().withColumn("c", F.lit(True)), "label", "left")
+    resolution = F.when(F.col("c"), "curated").when(F.col("same"), "shared-qid").otherwise("uncurated")
+    return known.select("entity", "surfaces", "others", resolution.alias("resolution"))
+
+
 def unique_link(entities: DataFrame, objects: DataFrame) -> DataFrame:
     """(entity, object): the object with the entity's category and label if just one has it, else null."""
     one = objects.groupBy("category", "label").agg(F.when(F.count("*") == 1, F.first("object")).alias("object"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import navigation as N
 from lectern.operators import tagging as A
-from lectern.sources import readers, writers
+from lectern.sources import publishing, readers, writers
 from lectern.sources.turtle import read_turtle
 
 from .registry import query, read
@@ -229,3 +229,23 @@ def turtle_round_trip(spark, sf_dir):
     head = F.lit("@prefix d: <http://x.org/d/> .\nPREFIX x: <http://x.org/>\n")
     docs = _hard_triples(spark, sf_dir).groupBy(book.alias("doc")).agg(F.concat(head, F.array_join(F.collect_list(body), "\n")).alias("text"))
     return read_turtle(docs).select("s", "lang", F.md5(F.col("o").cast("binary")).alias("text_md5"))
+
+
+@query("""select ord, line from (select doc_id as ord, '  <url><loc>https://x.org/section/' || doc_id || '?a=1&amp;b=2</loc>' || case when doc_id % 2 = 0 then '<lastmod>2024-01-01</lastmod>' else '' end || '</url>' as line from documents
+  union all values (-2, '<?xml version="1.0" encoding="UTF-8"?>'), (-1, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), (4611686018427387904, '</urlset>'))""")
+def sitemap_lines(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/section/"), "doc_id", F.lit("?a=1&b=2"))
+    return publishing.sitemap(d.select(F.col("doc_id").alias("ord"), path.alias("path"), F.when(F.col("doc_id") % 2 == 0, "2024-01-01").alias("lastmod")), "https://x.org/")
+
+
+@query("""with k as (select 'R' as kind, p_name as label, p_brand as qid, p_partkey as id from part union all select 'S', p_name, p_type, p_partkey + 1000000 from part where p_size > 20)
+select a.id as entity, a.label as surface, count(distinct b.label)::bigint as others, case when a.label < 'b' then 'curated' else 'uncurated' end as resolution
+from k a join k b on a.kind = 'S' and b.kind = 'R' and a.label = b.label group by all""")
+def collision_audit(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    rows = p.select(F.lit("R").alias("kind"), F.col("p_name").alias("label"), F.col("p_brand").alias("qid"), F.col("p_partkey").alias("entity")).unionByName(
+        p.where("p_size > 20").select(F.lit("S").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("qid"), (F.col("p_partkey") + 1000000).alias("entity")))
+    one = rows.withColumn("label", F.regexp_replace("label", " ", "_")).withColumn("qids", F.array("qid"))
+    out = A.collision_audit(one, one.where("label < 'b'"), ("S", "R"))
+    return out.select("entity", F.regexp_replace(F.col("surfaces")[0], "_", " ").alias("surface"), F.size("others").cast("long").alias("others"), "resolution")

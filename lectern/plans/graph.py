@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import graph as G
+from lectern.operators.questions import Question, row_counts
+from lectern.operators.sparql import answer
 from lectern.sources import writers
 
 from .registry import query, read
@@ -234,3 +236,58 @@ def rdf_xml(spark, sf_dir):
 def section_subgraph(spark, sf_dir):
     seeds = spark.createDataFrame([("n/1",), ("n/2",)], "s string")
     return writers.section_subgraph(graph(spark, sf_dir), seeds).select("s", "p", "o")
+
+
+# ------------------------------------------------------------------ queries as text
+
+
+QUESTIONS = (
+    Question("members", "Who is in a nation?", "select ?s { ?s a <Supplier> ; <locatedIn> ?n . ?n <label> '$nation'@en }", ("n/3",), {"nation": "NATION_3"}),
+    Question("places", "Which nations are in which region?", "select ?n ?r { ?n <partOf> ?x . ?x <label> ?r filter(lang(?r) = 'en') }"),
+    Question("unnamed", "Which suppliers have no name?", "select ?s { ?s <type> <Supplier> filter not exists { ?s <label> ?l } }"),
+    Question("doubts", "Whose place is doubted?", "select ?s ?n { ?s <doubted> ?n }"),
+    Question("names", "What has two names?", "select distinct ?n { ?n <label> ?a . ?n <label> ?b filter(str(?a) < str(?b)) }"),
+    Question("elsewhere", "Who is known elsewhere?", "select ?s ?e { ?s <sameAs> ?e filter(strstarts(str(?e), 'http://a.org/')) }"),
+    Question("above", "What lies above a supplier?", "select ?s ?up { ?s <type> <Supplier> ; (<locatedIn>|<partOf>)+ ?up }"),
+    Question("many", "Which nations have many customers?", "select ?n (count(?c) as ?k) { ?c <type> <Customer> ; <locatedIn> ?n } group by ?n having(count(?c) >= 5)"),
+)
+
+
+def _typed(spark, sf_dir):
+    """The graph with the type predicate that ``a`` stands for next to its own."""
+    g = graph(spark, sf_dir)
+    return g.unionByName(g.where("p = 'type'").withColumn("p", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type")))
+
+
+@query("""select question, n::bigint as n from (values
+  ('members', (select count(*) from supplier join nation on n_nationkey = s_nationkey where n_name = 'NATION_3')), ('places', (select count(*) from nation)),
+  ('unnamed', (select count(*) from supplier where s_suppkey % 3 <> 0)), ('doubts', (select count(*) from supplier where s_acctbal < 0)), ('names', (select count(*) from nation where n_nationkey % 2 = 0)),
+  ('elsewhere', (select count(*) from supplier where s_suppkey % 8 = 0)), ('above', (select 2 * count(*) from supplier)),
+  ('many', (select count(*) from (select c_nationkey from customer group by 1 having count(*) >= 5)))) t(question, n)""")
+def question_counts(spark, sf_dir):
+    return row_counts(_typed(spark, sf_dir), QUESTIONS).select("question", "n")
+
+
+@query("""select 's/' || s_suppkey as s, n_name as nation, case when s_suppkey % 3 = 0 then s_name end as name, s_acctbal < 0 as doubted
+from supplier join nation on n_nationkey = s_nationkey""")
+def text_select(spark, sf_dir):
+    rows = answer(_typed(spark, sf_dir), """select ?s ?nation ?name (bound(?d) as ?doubted) where {
+      ?s a <Supplier> ; <locatedIn> ?n . ?n <label> ?nation . filter(lang(?nation) = "en")
+      optional { ?s <label> ?name filter(lang(?name) = "en") } optional { ?s <doubted> ?d } }""")
+    return rows.withColumn("doubted", F.col("doubted") == "true")
+
+
+@query("""select r_name as region, count(*)::bigint as customers, min(n_name) as first from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
+group by 1 having count(*) > 1 order by 2 desc, 1 limit 4""")
+def text_grouped(spark, sf_dir):
+    rows = answer(_typed(spark, sf_dir), """select ?region (count(?c) as ?customers) (min(?name) as ?first) {
+      ?c a <Customer> ; <locatedIn> ?n . ?n <partOf>/<label> ?region ; <label> ?name filter(lang(?name) = "en") }
+      group by ?region having(count(?c) > 1) order by desc(?customers) ?region limit 4""")
+    return rows.withColumn("customers", F.col("customers").cast("long"))
+
+
+@query("""select 'c/' || c_custkey as s, 'within' as p, 'r/' || n_regionkey as o from customer join nation on n_nationkey = c_nationkey
+union select 's/' || s_suppkey, 'within', 'r/' || n_regionkey from supplier join nation on n_nationkey = s_nationkey where not s_acctbal < 0""")
+def text_construct(spark, sf_dir):
+    return answer(_typed(spark, sf_dir), """construct { ?x <within> ?r } where {
+      { ?x a <Customer> } union { ?x a <Supplier> filter not exists { ?x <doubted> ?n } } ?x <locatedIn>/<partOf> ?r }""")

@@ -12,7 +12,7 @@ import re
 import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,6 +239,25 @@ def read_vector_blob(rows: DataFrame, dim: int, model: str | None = None) -> Dat
     return rows.select("model", "dim", "ids", "blob").mapInPandas(run, "id string, v array<float>")
 
 
+def embedded(sections: DataFrame, encode: Callable[[list[str]], np.ndarray], prefix: str = "passage: ", words: int = 400, batch: int = 32) -> DataFrame:
+    """(id, v): unit vectors of sections(id, header, body) by an encoder given as a function of a list of texts.
+
+    A text is prefix, header and body, cut to so many words, as the model reads no
+    more; the encoder is called in the workers with batches.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for lo in range(0, len(part), batch):
+                own = part.iloc[lo : lo + batch]
+                v = np.asarray(encode(own["text"].tolist()), dtype=np.float32)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({"id": own["id"], "v": list(v / np.where(norm == 0, 1, norm))})
+
+    body = F.array_join(F.slice(F.split(F.trim(F.concat_ws(" ", "header", "body")), r"\s+"), 1, words), " ")
+    return sections.select("id", F.concat(F.lit(prefix), body).alias("text")).mapInPandas(run, f"id {dict(sections.dtypes)['id']}, v array<float>")
+
+
 def merge_parts(parts: DataFrame) -> DataFrame:
     """parts(start, end, model, dim) in order, after a check that they meet without a gap and agree."""
     from pyspark.sql import Window

@@ -554,3 +554,138 @@ def test_unique_links(spark):
     e = spark.createDataFrame([("a", "k1", "L"), ("a", "k2", "L"), ("b", "k1", "M"), ("c", "k1", "N")], "entity string, category string, label string")
     o = spark.createDataFrame([("k1", "L", "o1"), ("k2", "L", "o2"), ("k1", "M", "o3"), ("k1", "N", "o4"), ("k1", "N", "o5")], "category string, label string, object string")
     assert {r.entity: r.object for r in A.unique_link(e, o).collect()} == {"a": None, "b": "o3", "c": None}
+
+
+# ---------------------------------------------------------------- queries as text
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    iri, lit = (lambda s, p, o: (s, p, o, "iri", None, None)), (lambda s, p, o, lang=None, t=None: (s, p, o, "literal", lang, t))
+    xsd = "http://www.w3.org/2001/XMLSchema#integer"
+    rows = [iri(f"x:{n}", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "x:Person") for n in ("a", "b", "c", "d")]
+    rows += [lit("x:a", "x:name", "Ada", "en"), lit("x:a", "x:name", "Ἄδα", "grc"), lit("x:b", "x:name", "Bo", "en"), lit("x:c", "x:name", "Cy")]
+    rows += [iri("x:a", "x:taught", "x:b"), iri("x:b", "x:taught", "x:c"), iri("x:c", "x:taught", "x:d"), iri("x:d", "x:knows", "x:a")]
+    rows += [lit("x:a", "x:age", "40", None, xsd), lit("x:b", "x:age", "9", None, xsd), lit("x:c", "x:age", "40", None, xsd)]
+    return spark.createDataFrame(rows, "s string, p string, o string, o_kind string, lang string, datatype string")
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("select ?s ?n where { ?s a x:Person ; x:name ?n filter(lang(?n) = 'en') }", [("x:a", "Ada"), ("x:b", "Bo")]),
+        ("select ?s ?n { ?s a x:Person . optional { ?s x:name ?n . filter(langMatches(lang(?n), 'en')) } }", [("x:a", "Ada"), ("x:b", "Bo"), ("x:c", None), ("x:d", None)]),
+        ("select ?s { ?s a x:Person filter not exists { ?s x:name ?n } }", [("x:d",)]),
+        ("select ?s { ?s a x:Person minus { ?s x:age ?g filter(?g > 10) } }", [("x:b",), ("x:d",)]),
+        ("select ?b { x:a x:taught+ ?b }", [("x:b",), ("x:c",), ("x:d",)]),
+        ("select ?b { x:a x:taught/x:taught ?b }", [("x:c",)]),
+        ("select ?b { x:b x:taught* ?b }", [("x:b",), ("x:c",), ("x:d",)]),
+        ("select ?b { x:a (x:taught|^x:knows) ?b }", [("x:b",), ("x:d",)]),
+        ("select distinct ?s { { ?s x:taught ?x } union { ?s x:knows ?x } } order by ?s", [("x:a",), ("x:b",), ("x:c",), ("x:d",)]),
+        ("select ?g (count(*) as ?n) (group_concat(?s; separator=',') as ?l) { ?s x:age ?g } group by ?g having(count(*) > 1)", [("40", "2", "x:a,x:c")]),
+        ("select (sum(?g) as ?t) (avg(?g) as ?m) (min(?g) as ?lo) (count(distinct ?g) as ?k) { ?s x:age ?g }", [("89", str(89 / 3), "9", "2")]),
+        ("select ?s ?g { values (?s ?k) { (x:a 1) (x:b undef) } ?s x:age ?g }", [("x:a", "40"), ("x:b", "9")]),
+        ("select ?s (?g * 2 + 1 as ?h) { ?s x:age ?g bind(strlen(str(?s)) as ?l) filter(?l = 3 && ?g in (9, 7)) }", [("x:b", "19")]),
+        ("select ?s { ?s x:age ?g } order by desc(?g) ?s limit 1 offset 1", [("x:c",)]),
+        ("select ?s { ?s x:age ?g } order by ?g limit 1", [("x:b",)]),
+        ("select ?n { { select ?s (max(?g) as ?m) { ?s x:age ?g } group by ?s } ?s x:name ?n filter(?m >= 40 && regex(?n, '^c', 'i')) }", [("Cy",)]),
+        ("select ?p { x:d ?p x:a }", [("x:knows",)]),
+        ("ask { x:a x:taught x:b }", [(True,)]),
+        ("ask { x:a x:taught x:d }", [(False,)]),
+        ("construct { ?b x:learntFrom ?a } where { ?a x:taught ?b }", [("x:b", "x:learntFrom", "x:a"), ("x:c", "x:learntFrom", "x:b"), ("x:d", "x:learntFrom", "x:c")]),
+        ("describe x:d", [("x:d", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "x:Person"), ("x:d", "x:knows", "x:a")]),
+        ("select ?a ?b { ?a x:age ?g . ?b x:age ?g filter(str(?a) < str(?b)) }", [("x:a", "x:c")]),
+    ],
+)
+def test_queries_as_text(people, text, want):
+    from lectern.operators.sparql import answer
+
+    assert sorted(map(repr, map(tuple, answer(people, "PREFIX x: <x:> # short\n" + text).collect()))) == sorted(map(repr, want))
+
+
+def test_unreadable_queries_are_errors(people):
+    from lectern.operators.sparql import answer
+
+    for bad in ("select ?s { ?s y:p ?o }", "select ?s { ?s ?p }", "select ?s { ?s ?p ?o filter(nosuch(?s)) }", "insert data { <a> <b> <c> }", "select ?s { ?s ?p ?o } x"):
+        with pytest.raises(ValueError):
+            answer(people, bad)
+
+
+def test_questions_have_parameters(people):
+    from lectern.operators import questions as Q
+
+    q = Q.Question("taught", "Whom did someone teach?", "select ?b { <$who> <x:taught> ?b }", defaults={"who": "x:a"})
+    assert [tuple(r) for r in Q.ask(people, q).collect()] == [("x:b",)] and [tuple(r) for r in Q.ask(people, q, who="x:b").collect()] == [("x:c",)]
+    assert [(r.question, r.n) for r in Q.row_counts(people, [q]).collect()] == [("taught", 1)] and len(q.fingerprint()) == 16
+    with pytest.raises(ValueError):
+        q.compiled(who="x:a> ?p ?o } #")
+    with pytest.raises(KeyError):
+        Q.Question("t", "", "select ?b { <$who> <x:taught> ?b }").compiled()
+
+
+def test_requests():
+    assert G.requested_query("GET", {"query": "ask {}"}) == "ask {}" and G.requested_query("GET", {}) is None
+    assert G.requested_query("POST", {}, "ask {}", "application/sparql-query") == "ask {}" and G.requested_query("POST", {}, {"query": "ask {}"}) == "ask {}"
+    assert G.requested_query("POST", {"query": "ask {}"}, " ") == "ask {}"
+    for bad in (("POST", {}, "x", "application/sparql-update"), ("POST", {}, {"update": "x"}, ""), ("GET", {"query": "drop all"}, None, "")):
+        with pytest.raises(ValueError):
+            G.requested_query(*bad)
+
+
+def test_generated_answers_are_grounded_or_rejected(spark):
+    def model(prompt):
+        if "boom" in prompt:
+            raise RuntimeError("out of reach")
+        return {"a": "So it is [D.L. 1.1.1] .", "b": "Bare.", "c": "No [D.L. 9.9.9] and [D.L. 1.1.1].", "d": ""}[prompt[10]]
+
+    rows = [(1, "a?", [("1.1.1", "x")]), (2, "b?", [("1.1.1", "x")]), (3, "c?", [("1.1.1", "x")]), (4, "d?", [("1.1.1", "x")]), (5, "boom", [("1.1.1", "x")]), (6, "a?", [])]
+    context = spark.createDataFrame(rows, "query int, question string, items array<struct<id:string,body:string>>")
+    fallback = spark.createDataFrame([(k, "plain") for k in range(1, 7)], "query int, answer string")
+    got = {r.query: (r.answer, r.citations, r.rejected) for r in R.generated_answers(context, fallback, model).collect()}
+    assert got[1] == ("So it is [D.L. 1.1.1].", ["1.1.1"], None)
+    assert {k: v[2] for k, v in got.items() if k > 1} == {2: "cites nothing", 3: "cites 9.9.9", 4: "empty", 5: "failed: out of reach", 6: "empty"}
+    assert all(got[k][:2] == ("plain", []) for k in range(2, 7))
+
+
+def test_embeddings_by_an_encoder(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, "head", " ".join(["w"] * i)) for i in range(5)], "id int, header string, body string")
+    encode = lambda texts: np.array([[len(t.split()), t.startswith("passage: head")] for t in texts])
+    got = {r.id: r.v for r in readers.embedded(rows, encode, words=3, batch=2).collect()}
+    assert all(got[i] == pytest.approx(np.array([min(i + 2, 4), 1]) / np.hypot(min(i + 2, 4), 1)) for i in range(5))
+
+
+def test_runs_are_resumed(spark, tmp_path):
+    seen = []
+
+    def answered(topics):
+        seen.append(sorted(r.topic for r in topics.collect()))
+        return topics.select("topic", (F.col("topic") * 10).alias("passage"))
+
+    topics = spark.createDataFrame([(i,) for i in range(3)], "topic int")
+    E.resumed(topics, str(tmp_path / "run"), "topic int, passage int", answered)
+    more = E.resumed(topics.unionByName(spark.createDataFrame([(7,)], "topic int")), str(tmp_path / "run"), "topic int, passage int", answered)
+    assert seen == [[0, 1, 2], [7]] and sorted(map(tuple, more.collect())) == [(0, 0), (1, 10), (2, 20), (7, 70)]
+
+
+def test_published_descriptions(spark):
+    from lectern.sources import publishing as P
+    from lectern.sources.turtle import read_turtle
+
+    assert P.entry_point("https://x.org/api")["@type"] == "EntryPoint"
+    works = [{"id": "urn:w", "title": "Lives"}]
+    assert P.collection("https://x.org", works, "Texts")["member"][0]["title"] == "Lives" and P.collection("https://x.org", works, "Texts", "urn:w")["@type"] == "Resource"
+    assert P.collection("https://x.org", works, "Texts", "urn:nothing") is None
+    stats = spark.createDataFrame([("triples", 12), ("sameAs a.org", 3)], "statistic string, n long")
+    files = spark.createDataFrame([("all.ttl", "text/turtle", 99)], "name string, media_type string, bytes long")
+    rules = spark.createDataFrame([("http://x/T", "http://x/label", 1, None), ("http://x/T", "http://x/at", None, 1)], "node_type string, path string, min_count int, max_count int")
+    for lines, n in ((P.void_document(stats, "http://x/d", "D", "http://l"), 7), (P.dcat_document(files, "http://x/d", "D", "http://l"), 6), (P.shapes_document(rules, "http://x"), 8)):
+        text = "\n".join(r.line for r in lines.collect())
+        assert read_turtle(spark.createDataFrame([("d", text)], "doc string, text string")).count() == n
+
+
+def test_collisions_are_audited(spark):
+    rows = [(1, "Zeno of Rhodes", "source", ["q1"]), (2, "Zeno of Elea", "philosopher", ["q2"]), (3, "Crates", "source", ["q3"]), (4, "Crates", "philosopher", ["q3"]), (5, "Plato", "source", None), (6, "Plato", "philosopher", ["q5"]), (7, "A or B", "source", None)]
+    out = A.collision_audit(spark.createDataFrame(rows, "entity int, label string, kind string, qids array<string>"), spark.createDataFrame([("Plato",)], "label string"))
+    assert {r.entity: (r.surfaces, r.others, r.resolution) for r in out.collect()} == {1: (["Zeno"], ["Zeno of Elea"], "uncurated"), 3: (["Crates"], ["Crates"], "shared-qid"), 5: (["Plato"], ["Plato"], "curated")}
