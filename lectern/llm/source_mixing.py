@@ -12,9 +12,13 @@ half's counts from the multivariate hypergeometric distribution, so the shards'
 quotas are exact, random and add up.  Blocks are disjoint runs of a source's
 permuted copies; a shard is put in order by a hash of its own.
 
-Orders and cumulative sums are two-level (a hash bucket, then inside it), so no
-task sees more than a bucket.  The driver holds a row per source (at most
-MAX_SOURCES) and the tree's counts (sources x shards).
+Orders and cumulative sums are two-level (a hash bucket, then inside it): rows
+are put in order within a bucket, and a source's buckets, a row each, are summed
+in order.  Up to MAX_SOURCES the driver holds a row per source and the tree's
+counts (sources x shards).  Beyond, targets come from aggregates alone, sources
+are joined by shuffles, and the tree splits the totals of SOURCE_GROUPS groups of
+sources, each of which then splits its counts among its sources in a task of its
+own; counts drawn group by group follow the same distribution.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +36,12 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET_ROWS = 2000
 FITS = 8
-#: Share of a source's target below which a gap is left alone.
+#: Share of a source's target below which a gap is left alone; FITS are the documents that may be added to close it.
 NEAR = 0.002
 #: Copies per run in which a shard's rows are dealt.
 RUN_ROWS = 2000
-MAX_SOURCES = 100_000
+#: Sources of which the driver holds a row each, and the groups that larger numbers are split by.
+MAX_SOURCES, SOURCE_GROUPS = 100_000, 4096
 #: Blocks per shard aimed at.
 SHARD_BLOCKS = 1024
 
@@ -60,6 +66,28 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
+def targets_table(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """targets() of sizes(source, words) for any number of sources; only sums go to the driver.
+
+    A source is held down by the cap once the share of a unit of weight exceeds
+    cap times its words by weight; that share only grows from round to round.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row per source
+    weight = F.array(*map(F.lit, weights))[F.pmod(place, F.lit(len(weights)))]
+    rows = table(sizes.select("source", "words", weight.alias("weight")), "sources")
+    unit, held = 0.0, -1
+    while True:
+        over = F.col("words") * cap < F.col("weight") * F.lit(unit)
+        total, taken, free, n = rows.agg(
+            F.sum("words"), F.sum(F.when(over, F.col("words") * cap)), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)
+        ).first()
+        if not free or n == held:
+            break
+        held, unit = n, (float(total) - float(taken or 0)) / float(free)
+    target = F.least(F.col("words") * float(cap), F.col("weight") * F.lit(float(unit)))
+    return rows.select("source", "words", target.alias("target"))
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     """counts[shard, source]: exact quotas of the shards; shard totals differ by one at most."""
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
@@ -108,20 +136,23 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
         ).groupBy("doc_id", "source", "copy").agg(F.count("*").alias("m"), F.max("size").alias("size")),
         "nodes",
     )
-    found = nodes.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("words"), F.sum("m").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    words = {r["source"]: int(r["words"]) for r in found}
-    goal = targets(list(words.items()))
-    buckets = max(1, math.ceil(sum(int(r["rows"]) for r in found) / BUCKET_ROWS))
-    passes = {s: min(CAP, int(goal[s] // words[s])) if words[s] else int(goal[s] > 0) for s in words}
-    facts = spark.createDataFrame(
-        [(s, words[s], goal[s], passes[s], goal[s] - passes[s] * words[s]) for s in words],
-        "source string, source_size long, target double, passes int, rest double",
-    )
+    sizes = table(nodes.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("words"), F.sum("m").alias("rows")), "sizes")
+    n_sources, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    few = n_sources <= MAX_SOURCES
+    bounded = F.broadcast if few else lambda df: df  # what has a row per source
+    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
+    if few:
+        words = {r["source"]: int(r["words"]) for r in sizes.collect()}
+        goal = targets(list(words.items()))
+        goals = spark.createDataFrame([(s, words[s], goal[s]) for s in words], "source string, words long, target double")
+    else:
+        goals = targets_table(sizes.select("source", "words"))
+    passes = F.when(F.col("words") == 0, (F.col("target") > 0).cast("int")).otherwise(F.least(F.lit(CAP), F.floor(F.col("target") / F.col("words"))).cast("int"))
+    facts = goals.select("source", F.col("words").alias("source_size"), "target", passes.alias("passes"), (F.col("target") - passes * F.col("words")).alias("rest"))
+    facts = facts if few else table(facts, "facts")
 
-    def with_facts(df: DataFrame) -> DataFrame:  # a row per source, at most MAX_SOURCES
-        f = F.broadcast(facts.withColumnRenamed("source", "_s"))
+    def with_facts(df: DataFrame) -> DataFrame:
+        f = bounded(facts.withColumnRenamed("source", "_s"))
         return df.join(f, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     seen = with_facts(nodes).withColumn("bucket", F.pmod(_hash(seed), F.lit(buckets))).withColumn("w", F.col("m") * F.col("size"))
@@ -139,7 +170,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
     )
     body = seen.alias("n").join(full.alias("f"), null_safe("n", "f", "bucket"), "left_semi").select("n.doc_id", "n.source", "n.copy", "n.w")
     edge = (
-        seen.alias("n").join(F.broadcast(last).alias("l"), null_safe("n", "l", "bucket"))  # a row per source
+        seen.alias("n").join(bounded(last).alias("l"), null_safe("n", "l", "bucket"))  # a row per source
         .select("n.*", "l.off").withColumn("end", F.col("off") + F.sum("w").over(inside))
         .where("end <= rest").select("doc_id", "source", "copy", "w")
     )
@@ -164,7 +195,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
         pool = with_facts(marked).where(fresh).select(*marked.columns, (F.col("m") * F.col("size")).alias("w"))
         left = gap
         if picked is not None:
-            pool = pool.alias("n").join(F.broadcast(picked.alias("c")), same_node("n", "c"), "left_anti")
+            pool = pool.alias("n").join(bounded(picked.alias("c")), same_node("n", "c"), "left_anti")
             taken = picked.groupBy("source").agg(F.sum("w").alias("used"))
             left = gap.alias("a").join(taken.alias("b"), null_safe("a", "b"), "left").select(
                 "a.source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")
@@ -173,16 +204,16 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
         off = F.abs(F.col("w") - F.col("gap"))
         may = (off < F.col("gap")) if k == FITS - 1 else (F.col("w") <= F.col("gap")) & (F.col("w") > 0)
         best = (
-            pool.alias("n").join(F.broadcast(left).alias("g"), null_safe("n", "g")).select("n.*", "g.gap").where(may)
+            pool.alias("n").join(bounded(left).alias("g"), null_safe("n", "g")).select("n.*", "g.gap").where(may)
             .groupBy("source").agg(F.min(F.struct(off.alias("off"), _hash(seed, 2).alias("h"), "doc_id", "copy", "w")).alias("best"))
             .select("source", F.col("best.doc_id").alias("doc_id"), F.col("best.copy").alias("copy"), F.col("best.w").alias("w"))
         )
         picked = table(best if picked is None else picked.unionByName(best), "picked")
-        used = {r["source"]: r["used"] for r in picked.groupBy("source").agg(F.sum("w").alias("used")).collect()}
-        gaps = {r["source"]: r["gap"] for r in gap.collect()} if not k else gaps  # a row per source
-        if all(abs(gaps[s] - used.get(s, 0)) <= NEAR * goal[s] for s in gaps):
+        used = picked.groupBy("source").agg(F.sum("w").alias("used")).alias("u")
+        open_ = with_facts(gap).alias("f").join(used, null_safe("f", "u"), "left")
+        if open_.where(F.abs(F.col("gap") - F.coalesce("used", F.lit(0))) > NEAR * F.col("target")).isEmpty():
             break
-    joined = marked.alias("n").join(F.broadcast(picked.withColumn("more", F.lit(1))).alias("c"), same_node("n", "c"), "left").select(
+    joined = marked.alias("n").join(bounded(picked.withColumn("more", F.lit(1))).alias("c"), same_node("n", "c"), "left").select(
         "n.*", F.coalesce("c.more", F.lit(0)).alias("more")
     )
     plan = table(
@@ -195,6 +226,31 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> tuple[DataFrame, Da
     return plan, _dealt(plan, buckets, shards, seed)
 
 
+def _grouped_bounds(totals: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """(_s, ends): where each source's copies end in every shard, for any number of sources.
+
+    totals: source, c.  The tree splits the blocks of at most SOURCE_GROUPS groups;
+    a group's share of a shard is then drawn from the blocks its sources have left.
+    """
+    group = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(SOURCE_GROUPS)).cast("int")
+    own = table(totals.select(F.col("source").alias("_s"), group.alias("g"), F.ceil(F.col("c") / F.lit(block)).cast("long").alias("n")), "groups")
+    rows = sorted((r["g"], int(r["n"])) for r in own.groupBy("g").agg(F.sum("n").alias("n")).collect())
+    tree = split_quotas([n for _, n in rows], shards, seed)
+    shares = {g: tree[:, i].tolist() for i, (g, _) in enumerate(rows)}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_s", na_position="last")
+        left, rng = part["n"].to_numpy(dtype=np.int64), np.random.default_rng([seed, int(part["g"].iloc[0])])
+        ends = np.zeros((len(part), shards), dtype=np.int64)
+        for k, n in enumerate(shares[int(part["g"].iloc[0])]):
+            drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
+            left = left - drawn
+            ends[:, k] = drawn
+        return pd.DataFrame({"_s": part["_s"], "ends": list(np.cumsum(ends, axis=1) * block)})
+
+    return own.groupBy("g").applyInPandas(run, "_s string, ends array<long>")
+
+
 def _dealt(plan: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
     """Every copy's shard and place: disjoint runs of each source's permuted copies by the tree's quotas."""
     spark = plan.sparkSession
@@ -203,23 +259,22 @@ def _dealt(plan: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
     )
     each = each.withColumn("bucket", F.pmod(_hash(F.col("pass"), seed), F.lit(buckets)))
     sums = table(each.groupBy("source", "pass", "bucket").agg(F.count("*").alias("c")), "blocks")
-    totals = sorted(
-        ((r["source"], int(r["c"])) for r in sums.groupBy("source").agg(F.sum("c").alias("c")).collect()),
-        key=lambda x: (x[0] is None, x[0] or ""),
-    )  # a row per source
-    block = max(1, sum(c for _, c in totals) // (shards * SHARD_BLOCKS))
-    tree = split_quotas([math.ceil(c / block) for _, c in totals], shards, seed)
-    ends = np.cumsum(tree, axis=0) * block
-    bounds = spark.createDataFrame(
-        [(s, [int(x) for x in ends[:, i]]) for i, (s, _) in enumerate(totals)], "_s string, ends array<long>"
-    )
+    totals = sums.groupBy("source").agg(F.sum("c").alias("c"))
+    n_sources, copies = totals.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    block = max(1, copies // (shards * SHARD_BLOCKS))
+    if n_sources <= MAX_SOURCES:
+        rows = sorted(((r["source"], int(r["c"])) for r in totals.collect()), key=lambda x: (x[0] is None, x[0] or ""))
+        ends = np.cumsum(split_quotas([math.ceil(c / block) for _, c in rows], shards, seed), axis=0) * block
+        bounds = F.broadcast(spark.createDataFrame([(s, [int(x) for x in ends[:, i]]) for i, (s, _) in enumerate(rows)], "_s string, ends array<long>"))
+    else:
+        bounds = _grouped_bounds(totals, block, shards, seed)
     sums = sums.withColumn("off", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("source", "pass", "bucket").orderBy(_hash(F.col("pass"), seed, 3), "doc_id", "copy")
     ranked = each.withColumn("rank", F.row_number().over(inside)).alias("e").join(
         sums.alias("s"),
         F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("e.pass") == F.col("s.pass")) & (F.col("e.bucket") == F.col("s.bucket")),
     ).select("e.doc_id", "e.source", "e.copy", "e.m", "e.pass", (F.col("s.off") + F.col("e.rank") - 1).alias("rank"))
-    placed = ranked.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("_s")))
+    placed = ranked.join(bounds, F.col("source").eqNullSafe(F.col("_s")))
     return placed.select(
         "doc_id", "source", "copy", "m", "pass",
         F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"), _hash(F.col("pass"), seed, 4).alias("place"),

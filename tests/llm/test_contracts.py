@@ -474,6 +474,60 @@ def test_mix(docs, rows, empty, spark, sf):
     assert all(times[r.doc_id] * r.size == r.taken for r in out.itertuples())
 
 
+def test_mix_by_a_plain_loop(spark):
+    """Whole passes, a prefix in the hashed order, and single documents that close the gap, source by source."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randrange(1, 30)), "aa", rng.choice(["a", "b", "b", "c", "c", "c", "c", None]), 0) for i in range(160)]
+    rows += [(200 + i, prose(rng, 3), "aa", "tiny", 0) for i in range(2)] + [rows[5], (300, None, "aa", "a", 0), (301, "", "aa", "c", 0)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    got = source_mixing.mix_report(docs).collect()
+    size = defaultdict(int)
+    for _, text, _, source, _ in rows:
+        size[source] += len(words(text))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    goal, free, rest = {}, set(order), float(sum(size.values()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    while True:
+        unit = rest / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        goal |= {s: 3.0 * size[s] for s in over}
+        free -= over
+        rest = sum(size.values()) - sum(goal.values())
+    goal |= {s: unit * weight[s] for s in free}
+    source = {r[0]: r[3] for r in rows}
+    times = {(r.doc_id, r.size): r.taken // r.size for r in got if r.size}
+    taken = Counter()
+    for r in got:
+        s = source[r.doc_id]
+        assert (r.source_size, r.target) == (size[s], pytest.approx(goal[s])) and (not r.size or r.taken % r.size == 0)
+        passes = min(3, int(goal[s] // size[s])) if size[s] else 0
+        if r.size:  # every document is in all whole passes, and at most once or twice more
+            assert passes <= times[r.doc_id, r.size] <= min(3, passes + 2)
+        taken[s] += r.taken
+    for s in order:  # what is left of the target is less than the smallest document that could still have been taken
+        could = [len(words(t)) for i, t, _, o, _ in rows if o == s and words(t) and times[i, len(words(t))] < 3]
+        assert abs(taken[s] - goal[s]) <= max(0.002 * goal[s], min(could, default=0)) + 1e-6
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """Beyond what the driver holds, targets and plans are the same and shards as even."""
+    rng = random.Random(22)
+    rows = [(i, prose(rng, rng.randrange(1, 9)), "aa", rng.choice([f"s{k}" for k in range(60)] + [None]), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    one = sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in source_mixing.mix_report(docs).collect())
+    monkeypatch.setattr(source_mixing, "MAX_SOURCES", 7)
+    monkeypatch.setattr(source_mixing, "SOURCE_GROUPS", 5)
+    many = source_mixing.mix_report(docs).collect()
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in many) == one
+    counts = Counter(s for r in many for s in r.shards)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, words long")
+    want = source_mixing.targets([("a", 10), ("b", 1000), ("c", 1000), (None, 0)])
+    assert {r.source: r.target for r in source_mixing.targets_table(sizes).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_targets_are_water_filled():
     assert source_mixing.targets([("a", 10), ("b", 1000), ("c", 1000)]) == {"a": 30.0, "b": pytest.approx(1980 * 2 / 3), "c": pytest.approx(1980 / 3)}
     assert source_mixing.targets([(None, 100), ("z", 100)]) == {"z": pytest.approx(1000 / 7), None: pytest.approx(400 / 7)}
@@ -552,6 +606,22 @@ def test_kneser_ney(docs, rows, empty):
     assert kneser_ney.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op4_line_dedup", "op5_metric_range_join", "op10_quality_rules"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from lectern.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df, rel = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
+    columns = sorted(rel.columns)
+    order = [rel.columns.index(c) for c in columns]
+    got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+    assert sorted(df.columns) == columns and got == sorted(repr(tuple(r[i] for i in order)) for r in rel.fetchall()) and got
+
+
 def test_quality_rules(docs, rows, empty, spark):
     def base(text):
         w = words(text)

@@ -39,6 +39,31 @@ def test_stages_on_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
+def test_stages_on_hostile_rows(spark, tmp_path):
+    """A hot source, a large group of copies, a very long text, nulls everywhere and columns of any name."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60), "aa", "hot" if i % 3 else f"s{i}", 0) for i in range(150)]
+    rows += [(1000 + i, rows[1][1], "aa", "hot", 0) for i in range(120)] + [(2000, prose(rng, 60_000, 5000), "aa", "long", 0)]
+    rows += [(None, None, None, None, None), (2001, "", None, None, None), (2002, None, "aa", "hot", None), (2003, " \n", "aa", None, 2), rows[0], rows[0]]
+    extra = ("copy", "_copy", "gone", "n_lines", "n_removed", "own_id", "digest", "taken_doc_id", "least", "row", "h", "size")
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).select("*", *[F.lit(c).alias(c) for c in extra])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert all(r[c] == c for r in docs.select(*extra).distinct().collect() for c in extra)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == docs.count() > 50
+    r = last.orderBy(F.desc("n_tokens")).first()
+    assert len(r.ids) == r.n_tokens
+
+
 def test_lines_of_any_length_go(spark):
     text = lambda i: f"own {i}\n\nAll rights  reserved.\n版权所有侵权必究\n"
     rows = [(i, text(i), "aa", f"s{i}", len(text(i))) for i in range(6)]
