@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 Every stage takes all rows its predecessor kept and hands on documents with the
-same columns; the last one returns the digest of the encoded texts.
+same columns; the last one returns the token ids of the texts with their digests.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes the texts: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return piece_bpe.encode_documents(docs, PIECE_MODEL)
+    """Encodes and decodes the texts: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids to train on."""
+    return piece_bpe.encode_documents(docs, PIECE_MODEL, full=True).drop("decoded")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixing", mixing), ("tokens", tokens)]
