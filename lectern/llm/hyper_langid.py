@@ -89,6 +89,9 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return _IS_LETTER[codes]
 
 
+_BLANK = np.array([32], dtype=np.int64)
+
+
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams and sums of their counts."""
     names, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
@@ -101,22 +104,22 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     Pieces overlap by the last two signs, and letters are lower-cased without
     regard to their neighbours (a final sigma too), so cuts change nothing.
     """
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    last = np.array([32], dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    last = _BLANK
     for lo in range(0, len(text), PIECE):
         raw = text[lo : lo + PIECE].replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-        codes[~_letters(codes)] = 32
-        codes = np.concatenate((last, codes, [32] if lo + PIECE >= len(text) else []), dtype=np.int64, casting="unsafe")
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-        codes = codes[keep]
+        codes = np.concatenate((last, np.where(_letters(codes), codes, 32), _BLANK if lo + PIECE >= len(text) else _BLANK[:0]))
+        blank = codes == 32
+        codes = codes[np.concatenate(([True], ~(blank[1:] & blank[:-1])))]
         grams = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
         found.append(np.unique(grams[codes[1:-1] != 32], return_counts=True))
         if len(found) > 8:
             found = [_merged(found)]
         last = codes[-2:]
-    return _merged(found)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return found[0] if len(found) == 1 else _merged(found)
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
