@@ -136,7 +136,7 @@ class Forest:
         return True
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
     Alternating large-star and small-star rounds: every round is two
@@ -147,7 +147,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     state = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -169,4 +169,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )
         mark = got
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
