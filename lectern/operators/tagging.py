@@ -131,6 +131,57 @@ def recall_audit(sections: DataFrame, surfaces: DataFrame, spans: DataFrame) ->
     return total.select("surface", "found", "tagged", (F.col("found") - F.col("tagged")).alias("missed"))
 
 
+def _untagged(places: DataFrame, spans: DataFrame) -> DataFrame:
+    s = spans.select(F.col("id").alias("_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return places.join(s, (F.col("id") == F.col("_id")) & (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start")), "left_anti")
+
+
+def _audited(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("key", "state").agg(F.count("*").alias("n")).select(F.lit(name).alias("audit"), "key", "state", "n")
+
+
+def missed_places(name: str, sections: DataFrame, entries: DataFrame, ledger: DataFrame, spans: DataFrame) -> DataFrame:
+    """(audit, key, state, n): untagged places of one language, name-1 of dictionary entries and name-2 of the ledger.
+
+    entries: surface, scopes; ledger: surface, reason (left out on purpose).  A
+    place of an entry is unexpected if an entry of the surface fits the section's
+    owner, else scoped out; a place of the ledger has its reason.
+    """
+    own = _untagged(occurrences(sections.select("id", "owner", "text"), entries), spans)
+    scoped = entries.groupBy("surface").agg(F.bool_or(F.col("scopes").isNull()).alias("open"), F.flatten(F.collect_list("scopes")).alias("owners"))
+    fits = F.col("open") | F.coalesce(F.array_contains("owners", F.col("owner")), F.lit(False))
+    first = own.join(scoped, "surface").select(F.col("surface").alias("key"), F.when(fits, "unexpected").otherwise("scoped out").alias("state"))
+    rest = ledger.join(entries.select("surface"), "surface", "left_anti").groupBy("surface").agg(F.min("reason").alias("state"))
+    second = _untagged(occurrences(sections.select("id", "owner", "text"), rest), spans).join(rest, "surface").select(F.col("surface").alias("key"), "state")
+    return _audited(first, f"{name}-1").unionByName(_audited(second, f"{name}-2"))
+
+
+def unnamed_entities(name: str, sections: DataFrame, entities: DataFrame, entries: DataFrame) -> DataFrame:
+    """name-3: entities(entity, label) without a surface whose label stands in the text; claimed if another's surface is that label."""
+    bare = entities.join(entries.select("entity").distinct(), "entity", "left_anti").select("entity", F.col("label").alias("surface"))
+    claimed = entries.select("surface").distinct().withColumn("c", F.lit(True))
+    found = occurrences(sections.select("id", "owner", "text"), bare).join(bare, "surface").join(claimed, "surface", "left")
+    return _audited(found.select(F.col("entity").alias("key"), F.when(F.col("c"), "claimed").otherwise("gap").alias("state")), f"{name}-3")
+
+
+def one_sided_entities(name: str, here: DataFrame, there: DataFrame, skips: DataFrame, by_design: DataFrame) -> DataFrame:
+    """name-3 of a second language: entities tagged there and never here, without those skipped; works and the like apart.
+
+    here and there: spans; skips and by_design: entity.  n counts the places there.
+    """
+    rows = there.select("entity").join(here.select("entity"), "entity", "left_anti").join(skips.select("entity"), "entity", "left_anti")
+    marked = rows.join(by_design.select("entity").distinct().withColumn("d", F.lit(True)), "entity", "left")
+    return _audited(marked.select(F.col("entity").alias("key"), F.when(F.col("d"), "by design").otherwise("candidate").alias("state")), f"{name}-3")
+
+
+def dead_entries(sections: DataFrame, entries: DataFrame) -> DataFrame:
+    """DEAD: surfaces that stand nowhere, and scoped ones that stand nowhere in their scopes; n is the number of entries."""
+    seen = occurrences(sections.select("id", "owner", "text"), entries).groupBy("surface").agg(F.collect_set("owner").alias("owners"))
+    rows = entries.select("surface", "scopes").join(seen, "surface", "left")
+    state = F.when(F.col("owners").isNull(), "nowhere").when(F.col("scopes").isNotNull() & ~F.arrays_overlap("scopes", "owners"), "not in scope")
+    return _audited(rows.select(F.col("surface").alias("key"), state.alias("state")).where("state is not null"), "DEAD")
+
+
 def candidate_entries(names: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Dictionary entries from entity names: surface, entity, scopes, heuristic, and skipped(reason) rows.
 

@@ -689,3 +689,19 @@ def test_collisions_are_audited(spark):
     rows = [(1, "Zeno of Rhodes", "source", ["q1"]), (2, "Zeno of Elea", "philosopher", ["q2"]), (3, "Crates", "source", ["q3"]), (4, "Crates", "philosopher", ["q3"]), (5, "Plato", "source", None), (6, "Plato", "philosopher", ["q5"]), (7, "A or B", "source", None)]
     out = A.collision_audit(spark.createDataFrame(rows, "entity int, label string, kind string, qids array<string>"), spark.createDataFrame([("Plato",)], "label string"))
     assert {r.entity: (r.surfaces, r.others, r.resolution) for r in out.collect()} == {1: (["Zeno"], ["Zeno of Elea"], "uncurated"), 3: (["Crates"], ["Crates"], "shared-qid"), 5: (["Plato"], ["Plato"], "curated")}
+
+
+def test_what_should_be_tagged_is_audited(spark):
+    s = spark.createDataFrame([(1, "o1", "Zeno met Zeno, Crates and Ion of Chios."), (2, "o2", "Crates. Ion. Bion")], "id long, owner string, text string")
+    entries = spark.createDataFrame([("Zeno", "z", None, False), ("Crates", "c", ["o2"], False), ("Pyrrho", "p", None, False), ("Bion", "b", ["o1"], False)], "surface string, entity string, scopes array<string>, heuristic boolean")
+    spans = A.scan(s, entries).where("start > 0")  # the first Zeno is lost on purpose
+    ledger = spark.createDataFrame([("Ion", "ambiguous"), ("Zeno", "ambiguous")], "surface string, reason string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(A.missed_places("EN", s, entries, ledger, spans)) == [
+        ("EN-1", "Bion", "scoped out", 1), ("EN-1", "Crates", "scoped out", 1), ("EN-1", "Crates", "unexpected", 1), ("EN-1", "Zeno", "unexpected", 1), ("EN-2", "Ion", "ambiguous", 2),
+    ]
+    known = spark.createDataFrame([("z", "Zeno"), ("i", "Ion of Chios"), ("z2", "Zeno"), ("n", "Nobody")], "entity string, label string")
+    assert rows(A.unnamed_entities("EN", s, known, entries)) == [("EN-3", "i", "gap", 1), ("EN-3", "z2", "claimed", 2)]
+    assert rows(A.dead_entries(s, entries)) == [("DEAD", "Bion", "not in scope", 1), ("DEAD", "Pyrrho", "nowhere", 1)]
+    e = lambda *x: spark.createDataFrame([(i,) for i in x], "entity string")
+    assert rows(A.one_sided_entities("GRC", e("a"), e("a", "b", "b", "c", "w"), e("c"), e("w"))) == [("GRC-3", "b", "candidate", 2), ("GRC-3", "w", "by design", 1)]
