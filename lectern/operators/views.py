@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
+from .folds import kept_in_order
 from .relational import certainty_rank, first_per
 
 #: Ages above this are legend and date nothing.
@@ -195,22 +196,22 @@ def rendered(sections: DataFrame, spans: DataFrame) -> DataFrame:
     before the last one ended, ends past the text, or no longer reads as its
     surface.
     """
-    per = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surface", "entity"))).alias("s"))
-    rows = sections.join(per, "id", "left")
-    kind = "array<struct<text:string,entity:string>>"
-    cut = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    span = F.struct("start", "end", "surface", "entity")
+    given = sections.select("id", "text").join(spans.groupBy("id").agg(F.collect_list(span).alias("s")), "id")
+    reads = lambda z: (z["end"] <= F.length("text")) & (F.substring(F.col("text"), z["start"] + 1, z["end"] - z["start"]) == z["surface"])
+    usable = given.select("id", F.explode(F.filter("s", reads)).alias("z")).select("id", "z.*")
+    step = lambda last, z: (z[1], True) if z[0] >= last else (last, False)
+    kept = kept_in_order(usable, ["id"], ["start", "end", "surface", "entity"], ["start", "end"], 0, step)
+    rows = sections.join(kept.groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("s")), "id", "left")
+    none = F.array().cast("array<struct<text:string,entity:string>>")
     piece = lambda t, e: F.struct(t.alias("text"), e.cast("string").alias("entity"))
 
-    def step(acc: Column, z: Column) -> Column:
-        usable = (z["start"] >= acc["pos"]) & (z["end"] <= F.length("text")) & (cut(z["start"], z["end"]) == z["surface"])
-        plain = F.when(z["start"] > acc["pos"], F.array(piece(cut(acc["pos"], z["start"]), F.lit(None)))).otherwise(F.array().cast(kind))
-        grown = F.concat(acc["out"], plain, F.array(piece(z["surface"], z["entity"])))
-        return F.when(usable, F.struct(z["end"].alias("pos"), grown.alias("out"))).otherwise(acc)
+    def plain(a: Column, b: Column) -> Column:
+        return F.when(b > a, F.array(piece(F.substring(F.col("text"), a + 1, b - a), F.lit(None)))).otherwise(none)
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    done = F.aggregate(F.coalesce("s", F.array().cast(dict(per.dtypes)["s"])), start, step)
-    tail = F.when(done["pos"] < F.length("text"), F.array(piece(cut(done["pos"], F.length("text")), F.lit(None)))).otherwise(F.array().cast(kind))
-    return rows.select("id", F.concat(done["out"], tail).alias("pieces"))
+    ends = lambda k: F.coalesce(F.get("s", k)["end"], F.lit(0))
+    tagged = F.flatten(F.transform("s", lambda z, k: F.concat(plain(ends(k - 1), z["start"]), F.array(piece(z["surface"], z["entity"])))))
+    return rows.select("id", F.concat(F.coalesce(tagged, none), plain(ends(F.size(F.coalesce("s", F.array().cast(dict(rows.dtypes)["s"]))) - 1), F.length("text"))).alias("pieces"))
 
 
 # ---------------------------------------------------------------- summaries
