@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,7 +225,7 @@ def encode_documents(docs: DataFrame, model_path: str, full: bool = False) -> Da
             for text in batch["text"]:
                 ids, n, decoded = model.encode(text or "")
                 row = (n, _sha(ids), _sha(decoded))
-                rows.append((*row, [int(x) for x in ids.split()], decoded) if full else row)
+                rows.append((*row, np.array(ids.split(), dtype=np.int32), decoded) if full else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
