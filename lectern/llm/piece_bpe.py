@@ -205,10 +205,10 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, model_path: str, full: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    With full, also ids (array<int>) and decoded.  Null and empty texts have the
+    more: "ids" (array<int>) and "decoded", in this order, as further columns.  Null and empty texts have the
     end id alone and decode to the empty text.  Any character is encoded (bytes
     where the model has no piece).  Null or repeated doc_ids are ordinary rows,
     an empty table gives an empty result, further columns are ignored.
@@ -216,20 +216,25 @@ def encode_documents(docs: DataFrame, model_path: str, full: bool = False) -> Da
     with open(model_path, "rb") as f:  # on the driver; workers get the bytes
         serialized = f.read()
     PieceModel(serialized)
+    step = 256 if more else 1 << 20
     sent = docs.sparkSession.sparkContext.broadcast(serialized)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(sent.value)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids, n, decoded = model.encode(text or "")
-                row = (n, _sha(ids), _sha(decoded))
-                rows.append((*row, np.array(ids.split(), dtype=np.int32), decoded) if full else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+        for whole in batches:
+            for lo in range(0, len(whole), step):  # ids and texts of few rows are held at once
+                batch, rows = whole.iloc[lo : lo + step], []
+                for text in batch["text"]:
+                    ids, n, decoded = model.encode(text or "")
+                    found = {"n_tokens": n, "ids_sha256": _sha(ids), "decoded_sha256": _sha(decoded)}
+                    if "ids" in more:
+                        found["ids"] = np.array(ids.split(), dtype=np.int32)
+                    if "decoded" in more:
+                        found["decoded"] = decoded
+                    rows.append(tuple(found.values()))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *more])
+                out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+                yield out
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[m] for m in more)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(trimmed(run), schema)

@@ -547,7 +547,7 @@ def library():
 
 
 def test_pieces_equal_the_library(docs, rows, empty, library):
-    got = piece_bpe.encode_documents(docs, PIECE_MODEL, full=True).collect()
+    got = piece_bpe.encode_documents(docs, PIECE_MODEL, ("ids", "decoded")).collect()
     want = []
     for doc_id, text, *_ in rows:
         ids = [*library.encode(text or ""), 2]
