@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes the texts: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids to train on."""
-    return piece_bpe.encode_documents(docs, PIECE_MODEL, full=True).drop("decoded")
+    return piece_bpe.encode_documents(docs, PIECE_MODEL, ("ids",))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixing", mixing), ("tokens", tokens)]
