@@ -213,11 +213,21 @@ def collision_audit(entities: DataFrame, curated: DataFrame, kinds: tuple[str, s
     first = F.split(label, r"\s+")[0]
     more = F.when(label.rlike(r"\s") & first.rlike("^[A-Z]") & (F.length(first) >= 3), first)
     found = F.when(label.rlike(r"[,/]| or "), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.when(F.length(label) >= 3, label), more)))
-    every = entities.select("entity", "label", "kind", "qids", F.explode(F.array_distinct(found)).alias("surface"))
+    ids = F.array_sort(F.array_distinct(F.coalesce("qids", F.array().cast("array<string>"))))
+    every = entities.select("entity", "label", "kind", ids.alias("qids"), F.explode(F.array_distinct(found)).alias("surface"))
     mine, other = (every.where(F.col("kind") == k) for k in kinds)
-    met = mine.join(other.select("surface", F.col("entity").alias("o"), F.col("label").alias("ol"), F.col("qids").alias("oq")), "surface")
-    shared = F.size(F.array_intersect(F.coalesce("qids", F.array().cast("array<string>")), F.coalesce("oq", F.array().cast("array<string>")))) > 0
-    rows = met.groupBy("entity", "label").agg(F.sort_array(F.collect_set("surface")).alias("surfaces"), F.sort_array(F.collect_set("ol")).alias("others"), F.bool_and(shared).alias("same"))
+    # what an entity meets follows from its surface and ids alone: classes of equal ids are counted, entities never paired
+    classes = other.select(F.col("surface").alias("s"), F.col("qids").alias("oq")).distinct()
+    own = mine.select("surface", "qids").distinct().withColumn("q", F.explode("qids"))
+    same = own.join(classes.withColumn("x", F.explode("oq")), (F.col("surface") == F.col("s")) & F.col("q").eqNullSafe(F.col("x"))).select("surface", "qids", "oq").distinct()
+    hits = same.groupBy("surface", "qids").agg(F.count("*").alias("hits"))
+    total = classes.groupBy(F.col("s").alias("surface")).agg(F.count("*").alias("classes"))
+    met = other.groupBy("surface").agg(F.sort_array(F.collect_set("label")).alias("ol")).join(total, "surface")
+    each = mine.join(met, "surface").join(hits, ["surface", "qids"], "left")
+    rows = each.groupBy("entity", "label").agg(
+        F.sort_array(F.collect_set("surface")).alias("surfaces"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("ol")))).alias("others"),
+        F.bool_and(F.coalesce("hits", F.lit(0)) == F.col("classes")).alias("same"),
+    )
     known = rows.join(curated.select("label").distinct().withColumn("c", F.lit(True)), "label", "left")
     resolution = F.when(F.col("c"), "curated").when(F.col("same"), "shared-qid").otherwise("uncurated")
     return known.select("entity", "surfaces", "others", resolution.alias("resolution"))

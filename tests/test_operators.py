@@ -6,6 +6,8 @@ import itertools
 import random
 import unicodedata
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from lectern.operators import navigation as N
 from lectern.operators import relational as O
 from lectern.operators import retrieval as R
 from lectern.operators import tagging as A
+from lectern.operators import views as V
 from lectern.sources import readers, writers
 from lectern.streaming import stateful as S
 
@@ -705,3 +708,32 @@ def test_what_should_be_tagged_is_audited(spark):
     assert rows(A.dead_entries(s, entries)) == [("DEAD", "Bion", "not in scope", 1), ("DEAD", "Pyrrho", "nowhere", 1)]
     e = lambda *x: spark.createDataFrame([(i,) for i in x], "entity string")
     assert rows(A.one_sided_entities("GRC", e("a"), e("a", "b", "b", "c", "w"), e("c"), e("w"))) == [("GRC-3", "b", "candidate", 2), ("GRC-3", "w", "by design", 1)]
+
+
+def most_rows(df):
+    """The most rows that an operator of the executed plan handed on."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        rows = p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_collision_audit_pairs_no_entities(spark):
+    """Two kinds with one label meet as classes of equal ids; 400 of each made 160,000 rows before."""
+    rows = [(i, "Plato", "source" if i % 2 else "philosopher", [["q"], ["q", "r"], [None], None][i // 2 % 3 if i < 700 else 3]) for i in range(800)]
+    out = A.collision_audit(spark.createDataFrame(rows, "entity int, label string, kind string, qids array<string>"), spark.createDataFrame([], "label string"))
+    assert most_rows(out) < 5000
+    assert {(r.entity, r.resolution, *r.others) for r in out.collect()} == {(i, "uncurated", "Plato") for i in range(1, 800, 2)}
+    some = [(1, "Plato", "source", ["q", "r"]), (2, "Plato", "source", [None]), (3, "Plato", "source", None), (4, "Plato", "philosopher", ["r"]), (5, "Plato", "philosopher", ["q", None])]
+    out = A.collision_audit(spark.createDataFrame(some, "entity int, label string, kind string, qids array<string>"), spark.createDataFrame([], "label string"))
+    assert {(r.entity, r.resolution) for r in out.collect()} == {(1, "shared-qid"), (2, "uncurated"), (3, "uncurated")}
