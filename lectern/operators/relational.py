@@ -80,6 +80,15 @@ def require_none(problems: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- joins
 
 
+def few(rows: DataFrame, most: int = 200_000) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if they have been counted and are few."""
+    return F.broadcast(rows) if few(rows) else rows
+
+
 def first_per(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row per key in the given order."""
     window = Window.partitionBy(*keys).orderBy(*order)

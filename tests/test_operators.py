@@ -737,3 +737,12 @@ def test_collision_audit_pairs_no_entities(spark):
     some = [(1, "Plato", "source", ["q", "r"]), (2, "Plato", "source", [None]), (3, "Plato", "source", None), (4, "Plato", "philosopher", ["r"]), (5, "Plato", "philosopher", ["q", None])]
     out = A.collision_audit(spark.createDataFrame(some, "entity int, label string, kind string, qids array<string>"), spark.createDataFrame([], "label string"))
     assert {(r.entity, r.resolution) for r in out.collect()} == {(1, "shared-qid"), (2, "uncurated"), (3, "uncurated")}
+
+
+def test_index_shuffles_no_postings(spark):
+    """Terms are counted inside a row, as a count over all tokens has them."""
+    texts = {1: "b a B, a c", 2: "", 3: None, 4: "a"}
+    postings, stats = R.bm25_index(spark.createDataFrame(list(texts.items()), "doc long, text string"))
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.term, r.tf, r.dl) for r in postings.collect()) == [(1, "a", 2, 5), (1, "b", 2, 5), (1, "c", 1, 5), (4, "a", 1, 1)]
+    assert tuple(stats.first()) == (4, 1.5)
