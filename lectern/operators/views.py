@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 
 from .folds import kept_in_order
-from .relational import certainty_rank, first_per
+from .graph import settled
+from .relational import certainty_rank, first_per, sent
 
 #: Ages above this are legend and date nothing.
 OLDEST = 110
@@ -164,10 +165,14 @@ def grounded_lines(retrieved: DataFrame, mentions: DataFrame, assertions: DataFr
     in a retrieved section and touches an entity some retrieved section mentions;
     order: section's rank, certainty, entity's best rank, id.
     """
+    # few assertions stand in a retrieved section; only their ids meet entities (an id may have rows elsewhere, whose ends count too)
+    retrieved = settled(retrieved.select("query", "section", "rank"))
     entity = retrieved.join(mentions, "section").groupBy("query", "entity").agg(F.min("rank").alias("entity_rank"))
-    ends = assertions.select("id", F.explode(F.array_distinct(F.filter(F.array("subject", "object"), lambda x: x.isNotNull()))).alias("entity"))
-    touching = entity.join(ends, "entity").groupBy("query", "id").agg(F.min("entity_rank").alias("entity_rank"))
-    found = touching.join(assertions, "id").join(retrieved.select("query", "section", F.col("rank").alias("passage_rank")), ["query", "section"])
+    near = settled(assertions.join(sent(retrieved.withColumnRenamed("rank", "passage_rank")), "section"))
+    ends = assertions.join(sent(near.select("id").distinct()), "id", "left_semi").select("id", F.explode(F.array_distinct(F.filter(F.array("subject", "object"), lambda x: x.isNotNull()))).alias("entity"))
+    asked = near.select("query", "id").distinct().join(ends.distinct(), "id")
+    touching = asked.join(entity, ["query", "entity"]).groupBy("query", "id").agg(F.min("entity_rank").alias("entity_rank"))
+    found = near.join(touching, ["query", "id"])
     window = Window.partitionBy("query").orderBy("passage_rank", certainty_rank(F.col("certainty")), "entity_rank", "id")
     return found.withColumn("place", F.row_number().over(window)).where(F.col("place") <= most).select("query", "place", F.col("id").alias("assertion"), "text", "passage_rank")
 

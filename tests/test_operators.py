@@ -746,3 +746,13 @@ def test_index_shuffles_no_postings(spark):
     assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc, r.term, r.tf, r.dl) for r in postings.collect()) == [(1, "a", 2, 5), (1, "b", 2, 5), (1, "c", 1, 5), (4, "a", 1, 1)]
     assert tuple(stats.first()) == (4, 1.5)
+
+
+def test_grounded_lines_meet_few_assertions(spark):
+    """Only ids with a row in a retrieved section meet entities; their rows elsewhere count too."""
+    mentions = spark.createDataFrame([(s, e) for s in range(5) for e in (1, 2)], "section int, entity int")
+    retrieved = spark.createDataFrame([(q, s, s + 1) for q in range(20) for s in range(5)], "query int, section int, rank int")
+    facts = [(i, 1, 2, 100 + i, "asserted", "far") for i in range(2000)] + [(5000, 9, None, 3, "reported", "near"), (5000, 1, None, 200, "asserted", "far"), (5001, 9, 8, 3, "asserted", "no")]
+    out = V.grounded_lines(retrieved, mentions, spark.createDataFrame(facts, "id int, subject int, object int, section int, certainty string, text string"))
+    assert most_rows(out) < 10_000
+    assert sorted(tuple(r) for r in out.collect()) == [(q, 1, 5000, "near", 4) for q in range(20)]
