@@ -6,8 +6,12 @@ Curated lists have an order that decides winners and ties; it is the column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,14 +140,96 @@ def best_associate(edges: DataFrame) -> DataFrame:
     return first_per(edges, ["pupil"], F.desc("asserted"), "ord")
 
 
+#: Rows of titles in a block of works; a task holds two blocks at once, and as many pairs as PAIRS.
+BLOCK_ROWS, PAIRS = 4_000_000, 1_000_000
+
+
 def shared_title_pairs(titles: DataFrame) -> DataFrame:
     """(a, b) of different works, a < b, that share a title; titles(work, title) may repeat.
 
-    Groups become pairs through a join on the title; a title that very many works
-    share should be filtered by its count first.
+    Works are dealt to blocks, and every two blocks meet in one task with their
+    titles' lists: a pair has one such task, which tells it once however many
+    titles it shares.  So lists are shuffled (each row once per block), pairs never.
     """
-    one = titles.distinct()
-    return one.alias("x").join(one.alias("y"), "title").where("x.work < y.work").select(F.col("x.work").alias("a"), F.col("y.work").alias("b")).distinct()
+    blocks = max(8, -(-titles.count() // BLOCK_ROWS))
+    lists = (
+        titles.where("work is not null and title is not null").groupBy("title", F.pmod(F.xxhash64("work"), F.lit(blocks)).alias("block"))
+        .agg(F.collect_set("work").alias("works"))
+    )
+    met = lists.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = met.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "title", "works")
+    kind = dict(titles.dtypes)["work"]
+    return cells.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j").mapInArrow(_cells_paired, f"a {kind}, b {kind}")
+
+
+def _cells_paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, cell = [], None
+    for batch in batches:
+        cut = pc.add(pc.multiply(batch.column("i").cast("int64"), 1 << 32), batch.column("j").cast("int64")).to_numpy()
+        bounds = [0, *(np.flatnonzero(cut[1:] != cut[:-1]) + 1).tolist(), len(cut)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if hi > lo and cut[lo] != cell:
+                yield from _pairs_of(held)
+                held, cell = [], cut[lo]
+            held.append(batch.slice(lo, hi - lo))
+    yield from _pairs_of(held)
+
+
+def _pairs_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (a, b) of one cell: of its first and its second block, or of a single block's works."""
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    lists = rows.column("works").chunk(0)
+    n = np.diff(lists.offsets.to_numpy())
+    named = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(named.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    values, works = named.dictionary.take(order), rank[named.indices.to_numpy()]
+    title = np.repeat(rows.column("title").chunk(0).dictionary_encode().indices.to_numpy(), n)
+    second = np.repeat(rows.column("second").chunk(0).to_numpy(zero_copy_only=False), n)
+    alone = bool((rows.column("i")[0].as_py()) == rows.column("j")[0].as_py())
+    del rows, lists, named, order, rank
+    left = np.flatnonzero(~second)
+    left = left[np.argsort(works[left], kind="stable")]
+    right = left if alone else np.flatnonzero(second)
+    right = right[np.argsort(title[right], kind="stable")]
+    # the works of the other side by title, those numbered from 0
+    there, b = np.unique(works[right], return_inverse=True)
+    b, starts = b.astype(np.int32), np.searchsorted(title[right], np.arange(title.max(initial=-1) + 2))
+    a, t = works[left], title[left]
+    size = (starts[t + 1] - starts[t]).astype(np.int64)
+    done = np.concatenate([[0], np.cumsum(size)])
+    firsts = np.concatenate([np.flatnonzero(np.diff(a, prepend=-1)), [len(a)]])
+    width, at = len(there), 0
+    while at < len(firsts) - 1 and width:
+        # whole works until their candidates or the table of marks are many
+        to = max(at + 1, min(int(np.searchsorted(done[firsts], done[firsts[at]] + PAIRS, "right")) - 1, at + 1 + 16 * PAIRS // width))
+        lo, hi = firsts[at], firsts[to]
+        own = np.repeat(np.arange(to - at), np.diff(firsts[at : to + 1]))
+        marks = np.zeros((to - at, width), bool)
+        for x, y in _pieces(done[lo : hi + 1], PAIRS):
+            s = size[lo + x : lo + y]
+            place = np.arange(s.sum()) + np.repeat(starts[t[lo + x : lo + y]] - (done[lo + x : lo + y] - done[lo + x]), s)
+            marks.ravel()[np.repeat(own[x:y] * width, s) + b[place]] = True
+        p, q = np.divmod(np.flatnonzero(marks.ravel()), width)
+        p, q = a[firsts[at:to]][p], there[q]
+        if alone:
+            p, q = p[p < q], q[p < q]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        for x in range(0, len(p), PAIRS):
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(c[x : x + PAIRS])) for c in (p, q)], ["a", "b"])
+        at = to
+
+
+def _pieces(done: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sums (done: cumulative, from any start) stay near most."""
+    x = 0
+    while x < len(done) - 1:
+        y = max(x + 1, int(np.searchsorted(done, done[x] + most, "right")) - 1)
+        yield x, y
+        x = y
 
 
 def homonyms(names: DataFrame, same: DataFrame | None = None) -> DataFrame:

@@ -756,3 +756,19 @@ def test_grounded_lines_meet_few_assertions(spark):
     out = V.grounded_lines(retrieved, mentions, spark.createDataFrame(facts, "id int, subject int, object int, section int, certainty string, text string"))
     assert most_rows(out) < 10_000
     assert sorted(tuple(r) for r in out.collect()) == [(q, 1, 5000, "near", 4) for q in range(20)]
+
+
+def test_shared_titles_tell_a_pair_once(spark, monkeypatch):
+    """No row per pair and title; 60 works with 40 titles in common made 144,000."""
+    rows = [(f"w{w}", t) for w in range(60) for t in range(40)] + [("x", 3), ("x", 3), ("y", 99), ("z", None), (None, 3)]
+    want = sorted((a, b) for a in {r[0] for r in rows[:-4]} | {"x"} for b in {r[0] for r in rows[:-4]} | {"x"} if a < b)
+    out = O.shared_title_pairs(spark.createDataFrame(rows, "work string, title int"))
+    assert sorted(tuple(r) for r in out.collect()) == want and most_rows(out) < 10_000
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), rng.randrange(60)) for _ in range(150)]
+    want = sorted({(a, b) for a, t in rows for b, u in rows if t == u and a < b})
+    one = lambda: [pa.RecordBatch.from_pylist([{"i": 0, "j": 0, "second": False, "title": t, "works": sorted({w for w, u in rows if u == t})}]) for t in {u for _, u in rows}]
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(O, "PAIRS", most)
+        got = [(p["a"], p["b"]) for batch in O._cells_paired(iter(one())) for p in batch.to_pylist()]
+        assert sorted(got) == want
