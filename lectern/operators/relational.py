@@ -232,14 +232,27 @@ def _pieces(done: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         x = y
 
 
+#: Members of a block of a group: two blocks meet in one place.
+MEMBERS = 2_000
+
+
 def homonyms(names: DataFrame, same: DataFrame | None = None) -> DataFrame:
-    """(slug, a, b): different entities with one slug, a < b, minus pairs known to be the same."""
-    one = names.select("entity", "slug").distinct()
-    out = one.alias("x").join(one.alias("y"), "slug").where("x.entity < y.entity").select("slug", F.col("x.entity").alias("a"), F.col("y.entity").alias("b"))
+    """(slug, a, b): different entities with one slug, a < b, minus pairs known to be the same.
+
+    The pairs of a slug are made block by block, so a hot slug is spread; an
+    entity brings the list of those it is known to be, so no pair is shuffled.
+    """
+    one = names.where("slug is not null and entity is not null").select("entity", "slug").distinct()
+    blocks = F.ceil(F.count("*") / MEMBERS).cast("int")
+    dealt = one.join(one.groupBy("slug").agg(blocks.alias("n")), "slug").withColumn("block", F.pmod(F.xxhash64("entity"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    x, y = dealt.select("slug", F.col("entity").alias("a"), F.col("block").alias("i"), every.alias("j")), dealt.select("slug", F.col("entity").alias("b"), every.alias("i"), F.col("block").alias("j"))
+    apart = F.col("a") < F.col("b")
     if same is not None:
-        pairs = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = out.join(pairs, ["a", "b"], "left_anti")
-    return out.select("slug", "a", "b")
+        known = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a").agg(F.collect_set("b").alias("known"))
+        x = x.join(known, "a", "left")
+        apart = apart & ~F.coalesce(F.array_contains("known", F.col("b")), F.lit(False))
+    return x.join(y, ["slug", "i", "j"]).where(apart).select("slug", "a", "b")
 
 
 def collisions(names: DataFrame) -> DataFrame:

@@ -772,3 +772,16 @@ def test_shared_titles_tell_a_pair_once(spark, monkeypatch):
         monkeypatch.setattr(O, "PAIRS", most)
         got = [(p["a"], p["b"]) for batch in O._cells_paired(iter(one())) for p in batch.to_pylist()]
         assert sorted(got) == want
+
+
+def test_homonyms_shuffle_no_pairs(spark, monkeypatch):
+    """Blocks of a slug meet once, and known pairs are looked up where a pair is made."""
+    rows = [(i, i % 3) for i in range(60)] + [(1, 2), (1, 2), (7, None)]
+    same = [(4, 1), (1, 7), (2, 3), (1, 1)]
+    want = sorted((s, a, b) for a, s in set(rows) for b, u in set(rows) if s is not None and s == u and a < b and (a, b) not in {(1, 4), (1, 7), (2, 3)})
+    known = spark.createDataFrame(same, "a int, b int")
+    for members in (2000, 3):
+        monkeypatch.setattr(O, "MEMBERS", members)
+        out = O.homonyms(spark.createDataFrame(rows, "entity int, slug int"), known)
+        assert sorted(tuple(r) for r in out.collect()) == want
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()
