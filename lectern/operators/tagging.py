@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -20,37 +21,53 @@ from .relational import overlaps_resolved
 SURFACES = 500_000
 
 
-def occurrences(texts: DataFrame, surfaces: DataFrame, bounded: bool = True) -> DataFrame:
+#: Rows that a worker hands on at once.
+ROWS = 20_000
+
+
+def occurrences(texts: DataFrame, surfaces: DataFrame, bounded: bool = True, shown: str | None = None) -> DataFrame:
     """(id, owner, start, end, surface): every place in texts(id, owner, text) where a surface stands, overlaps included.
 
     bounded: no letter directly before or after.  Surfaces go into Aho-Corasick
     automata of at most SURFACES each, which read a text once whatever their
-    number; offsets count code points.
+    number; offsets count code points.  shown: a column of texts as long as text
+    is; what it reads at a place becomes a further column of that name.
     """
     named = surfaces.where("surface is not null and surface <> ''").select("surface").distinct()
     passes = max(1, -(-named.count() // SURFACES))
+    columns, schema = ["id", "owner", "text"], f"id {dict(texts.dtypes)['id']}, owner string, start int, end int, surface string"
+    if shown:
+        columns, schema = [*columns, shown], f"{schema}, {shown} string"
     found = []
     for k in range(passes):
         words = [r.surface for r in named.where(F.pmod(F.xxhash64("surface"), F.lit(passes)) == k).collect()]  # about SURFACES
-        found.append(texts.select("id", "owner", "text").mapInPandas(_finder(words, bounded), f"id {dict(texts.dtypes)['id']}, owner string, start int, end int, surface string"))
+        found.append(texts.select(*columns).mapInPandas(_finder(words, bounded, shown), schema))
     return reduce(DataFrame.unionByName, found)
 
 
-def _finder(words: list[str], bounded: bool):
+def _in_pieces(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of at most ROWS rows, so that a worker never holds what a whole batch or a long text makes."""
+    while piece := list(islice(rows, ROWS)):
+        yield pd.DataFrame(piece, columns=columns)
+
+
+def _finder(words: list[str], bounded: bool, shown: str | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = ahocorasick.Automaton()
         for w in words:
             automaton.add_word(w, w)
         automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for key, owner, text in zip(batch["id"], batch["owner"], batch["text"], strict=True):
-                for last, w in automaton.iter(text) if text and words else ():
-                    start, end = last + 1 - len(w), last + 1
-                    if bounded and ((start and text[start - 1].isalpha()) or (end < len(text) and text[end].isalpha())):
-                        continue
-                    out.append((key, owner, start, end, w))
-            yield pd.DataFrame(out, columns=["id", "owner", "start", "end", "surface"])
+
+        def places() -> Iterator[tuple]:
+            for batch in batches:
+                for key, owner, text, *other in batch.itertuples(index=False, name=None):
+                    for last, w in automaton.iter(text) if text and words else ():
+                        start, end = last + 1 - len(w), last + 1
+                        if bounded and ((start and text[start - 1].isalpha()) or (end < len(text) and text[end].isalpha())):
+                            continue
+                        yield (key, owner, start, end, w, *[o[start:end] for o in other])
+
+        yield from _in_pieces(places(), ["id", "owner", "start", "end", "surface", *([shown] if shown else [])])
 
     return run
 
@@ -79,13 +96,16 @@ def tag_terms(sections: DataFrame, terms: DataFrame, endings: tuple[str, ...], n
     """Spans of inflected terms: a token that is the form, or its stem and a listed ending.
 
     terms: form (folded), stem (null: exact only), entity, name (boolean).  A
-    name must begin with a capital in the ORIGINAL text.  Tokens are equi-joined
-    with the forms each term can take, so the text is scanned once.
+    name must begin with a capital in the ORIGINAL text.  An automaton of the
+    forms each term can take reads the text once; only what it finds leaves a worker.
     """
     forms = terms.select("entity", "name", F.explode(F.when(F.col("stem").isNull(), F.array("form")).otherwise(
         F.array_union(F.array("form"), F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat("stem", e)))
     )).alias("token"))
-    tokens = sections.select("id", F.explode(T.letter_tokens(F.col("text"))).alias("t")).select("id", "t.token", "t.start", "t.end", "t.surface")
+    # a token is a whole run of letters: a form with other signs is none
+    texts = sections.select("id", F.lit(None).cast("string").alias("owner"), T.fold(F.col("text")).alias("text"), F.col("text").alias("shown"))
+    found = occurrences(texts, forms.where(F.col("token").rlike(r"^\p{L}+$")).select(F.col("token").alias("surface")), shown="shown")
+    tokens = found.select("id", F.col("surface").alias("token"), "start", "end", F.col("shown").alias("surface"))
     hits = tokens.join(F.broadcast(forms), "token")
     if names_need_capital:
         hits = hits.where(~F.col("name") | F.col("surface").rlike(r"^\p{Lu}"))

@@ -785,3 +785,15 @@ def test_homonyms_shuffle_no_pairs(spark, monkeypatch):
         out = O.homonyms(spark.createDataFrame(rows, "entity int, slug int"), known)
         assert sorted(tuple(r) for r in out.collect()) == want
     assert "LeftAnti" not in out._jdf.queryExecution().toString()
+
+
+def test_places_leave_a_worker_in_pieces(spark):
+    """A batch's places were one frame, its tokens one array; forms with other signs than letters are no tokens."""
+    texts = pd.DataFrame({"id": [1], "owner": [None], "text": ["the " * 50_000]})
+    sizes = [len(f) for f in A._finder(["the"], True)(iter([texts]))]
+    assert sum(sizes) == 50_000 and max(sizes) <= A.ROWS
+    s = spark.createDataFrame([(1, "Éa eas b-c xea EAN"), (2, None)], "id long, text string")
+    terms = spark.createDataFrame([("ea", "ea", "E", True), ("b-c", None, "B", False)], "form string, stem string, entity string, name boolean")
+    out = A.tag_terms(s, terms, ("n", "s"))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    assert sorted((r.start, r.end, r.surface, r.entity) for r in out.collect()) == [(0, 2, "Éa", "E"), (15, 18, "EAN", "E")]
