@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -71,6 +72,17 @@ def query_tokens(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
+def runs_of(original: str | None, folded: str | None) -> Iterator[tuple[str, int, int, str, str]]:
+    """(token, start, end, surface, before) of the letter runs of one folded text; for Python workers."""
+    at, before = 0, ""
+    for m in regex.finditer(r"\p{L}+", folded or ""):
+        start, end = m.span()
+        between = original[at:start].rstrip()
+        before = between[-1] if between else before
+        yield m[0], start, end, original[start:end], before
+        at, before = end, original[end - 1 : end]
+
+
 def letter_tokens(text: Column) -> Column:
     """array<struct<token, start, end, surface, before>> of the letter runs of the folded text.
 
@@ -83,18 +95,8 @@ def letter_tokens(text: Column) -> Column:
 
     @F.pandas_udf("array<struct<token:string,start:int,end:int,surface:string,before:string>>")
     def runs(original: pd.Series, folded: pd.Series) -> pd.Series:
-        letters = regex.compile(r"\p{L}+")
-
-        def of(o: str | None, f: str | None) -> list[dict]:
-            out, at, before = [], 0, ""
-            for m in letters.finditer(f or ""):
-                between = o[at : m.start()].rstrip()
-                before = between[-1] if between else before
-                out.append({"token": m[0], "start": m.start(), "end": m.end(), "surface": o[m.start() : m.end()], "before": before})
-                at, before = m.end(), o[m.end() - 1 : m.end()]
-            return out
-
-        return pd.Series([of(o, f) for o, f in zip(original, folded, strict=True)])
+        names = "token", "start", "end", "surface", "before"
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in runs_of(o, f)] for o, f in zip(original, folded, strict=True)])
 
     return runs(text, fold(text))
 

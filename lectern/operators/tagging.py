@@ -72,6 +72,27 @@ def _finder(words: list[str], bounded: bool, shown: str | None = None):
     return run
 
 
+def letter_runs(sections: DataFrame, capitalised: bool = False) -> DataFrame:
+    """(id, token, start, end, surface, before): a row per letter run of the folded text, as letter_tokens has them.
+
+    Rows leave the worker in pieces, so memory follows neither a batch's number of
+    words nor a text's length.  capitalised: runs that begin with a small letter stay behind.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, text, folded in zip(batch["id"], batch["text"], batch["folded"], strict=True):
+                    for token, start, end, surface, before in T.runs_of(text, folded):
+                        if not (capitalised and surface[:1].islower()):
+                            yield key, token, start, end, surface, before
+
+        yield from _in_pieces(rows(), ["id", "token", "start", "end", "surface", "before"])
+
+    kind = dict(sections.dtypes)["id"]
+    return sections.select("id", "text", T.fold(F.col("text")).alias("folded")).mapInPandas(run, f"id {kind}, token string, start int, end int, surface string, before string")
+
+
 def scan(sections: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, start, end, surface, entity, heuristic): dictionary surfaces in texts, longest first.
 
@@ -127,9 +148,8 @@ def entity_index(spans: DataFrame) -> DataFrame:
 
 def proper_noun_audit(sections: DataFrame, spans: DataFrame, blocklist: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """(token, state, n) of capitalised words that begin no sentence: tagged, heuristic, blocklisted, ambiguous or untagged."""
-    parts = sections.select("id", F.explode(T.letter_tokens(F.col("text"))).alias("t"))
-    words = parts.select(
-        "id", "t.start", "t.end", F.col("t.surface").alias("token"), T.ends_sentence(F.col("t.before")).alias("initial")
+    words = letter_runs(sections, capitalised=True).select(
+        "id", "start", "end", F.col("surface").alias("token"), T.ends_sentence(F.col("before")).alias("initial")
     ).where(F.col("token").rlike(r"^\p{Lu}\p{Ll}") & ~F.col("initial"))
     s = spans.select("id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("heuristic").cast("int").alias("h"))
     hit = words.join(s, (words["id"] == s["id"]) & (s["_s"] < words["end"]) & (s["_e"] > words["start"]), "left").select(words["*"], "h")

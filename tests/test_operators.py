@@ -797,3 +797,14 @@ def test_places_leave_a_worker_in_pieces(spark):
     out = A.tag_terms(s, terms, ("n", "s"))
     assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
     assert sorted((r.start, r.end, r.surface, r.entity) for r in out.collect()) == [(0, 2, "Éa", "E"), (15, 18, "EAN", "E")]
+
+
+def test_letter_runs_leave_a_worker_in_pieces(spark):
+    """The same runs as letter_tokens, as rows; the audit held all words of a batch before."""
+    s = spark.createDataFrame([(1, "Éa, b1 Ça! X"), (2, None), (3, "")], "id long, text string")
+    want = [(1, *t) for t in s.where("id = 1").select(T.letter_tokens(F.col("text")).alias("t")).first().t]
+    assert [tuple(r) for r in A.letter_runs(s).collect()] == want
+    assert [tuple(r) for r in A.letter_runs(s, capitalised=True).collect()] == [w for w in want if not w[4][0].islower()]
+    none = spark.createDataFrame([], "token string")
+    spans = spark.createDataFrame([], "id long, start int, end int, heuristic boolean")
+    assert "ArrowEvalPython" not in A.proper_noun_audit(s, spans, none, none)._jdf.queryExecution().toString()
