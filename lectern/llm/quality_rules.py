@@ -4,11 +4,14 @@ Per document: counts of words, characters, symbols, repeated lines and words in
 repeated three-word windows.  Across documents: normalised lines are hashed, and
 for every host the distinct documents that hold a line are counted (copies of
 one text on a host are one document).  Lines above the host's limit are taken
-out; a document that loses more than half of its words that way is depleted.
-
-Each text is read once, into one row of counts and an array of line hashes.
-Windows of a text are compared inside its row (a sort of its hashes, and only
-where two of them are equal), so no word is ever shuffled.
+out of the texts; a document that loses more than half of its words that way is
+depleted, which is judged by the text that is left.
+
+Texts are read twice: once for the hashes of their lines, and once for the
+counts and the removal.  Windows of a text are compared inside its row (a sort
+of its hashes, and only where two of them are equal), so no word is ever
+shuffled.  Frequent lines meet the texts as one broadcast list per host where
+they were counted to be few, else every text meets its own in a join.
 """
 
 from __future__ import annotations
@@ -16,10 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .line_dedup import line_hashes
 from .shared import table
 
 SYMBOLS = "#*$%&|<>"
 _BLANK = r"[\x20\x09-\x0D]+"
+#: Frequent lines (8 bytes each) up to which the lists are broadcast: of all hosts, and of one, as each of its rows meets its list.
+FEW_LINES, HOST_LINES = 1_000_000, 4_000
+#: Parts into which a host's frequent line is spread beyond.
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -32,31 +40,70 @@ def window_ids(w: Column) -> Column:
     return F.when(F.size(w) >= 4, F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """row, doc_id, host, copy, the counts, and lines: one struct(line, words) per line with words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    flat = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    one = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("source").alias("host"),
-        F.xxhash64(text, F.length(text)).alias("copy"),
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text as it came, host, copy: the two name a host's distinct texts."""
+    known = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("source").alias("host")
+    ).withColumn("copy", F.xxhash64(known, F.length(known)))
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, host_share: float) -> tuple[DataFrame, DataFrame]:
+    """(host, copy, hashes) of every distinct text of a host, and (host, line) of the lines above the host's limit."""
+    hashes = F.array_distinct(F.filter(line_hashes(F.coalesce("text", F.lit(""))), lambda x: x.isNotNull()))
+    rows = _named(docs).select("host", "copy", hashes.alias("hashes"))
+    texts = table(rows.groupBy("host", "copy").agg(F.first("hashes").alias("hashes")), "texts")
+    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
+    often = (
+        texts.select("host", F.explode("hashes").alias("line"))
+        .groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+        .join(hosts, "host").where(F.col("n") > host_share * F.col("docs")).select("host", "line")
+    )
+    return texts, table(often, "often")
+
+
+def _with_taken(docs: DataFrame, texts: DataFrame, often: DataFrame) -> DataFrame:
+    """docs with taken: hashes among which are all frequent lines of the row's text, null for none."""
+    total, longest = often.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= FEW_LINES and longest <= HOST_LINES:
+        return docs.join(F.broadcast(often.groupBy("host").agg(F.collect_list("line").alias("taken"))), "host", "left")
+    held = texts.select("host", "copy", F.explode("hashes").alias("line")).withColumn("salt", F.pmod("copy", F.lit(SALTS)).cast("int"))
+    every = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = held.join(every, ["host", "line", "salt"]).groupBy("host", "copy").agg(F.collect_list("line").alias("taken"))
+    return docs.join(own, ["host", "copy"], "left")
+
+
+def _taken_out(rows: DataFrame) -> DataFrame:
+    """rows with left: the text without the lines in taken, null where it holds none of them."""
+    rows = rows.withColumn("hashes", F.when(F.col("taken").isNotNull(), line_hashes(F.col("text"))))
+    rows = rows.withColumn("gone", F.array_intersect("hashes", "taken")).drop("taken")
+    # a lookup reads one of about sqrt(n) parts, so that a long text of many such lines is not quadratic
+    parts = F.ceil(F.sqrt(F.size("gone"))).cast("long")
+    rows = rows.withColumn("parts", F.when(F.size("gone") > 0, parts))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.filter("gone", lambda x: F.pmod(x, "parts") == p))
+    rows = rows.withColumn("gone", cut)
+    lines = F.arrays_zip(F.split("text", "\n").alias("l"), F.col("hashes").alias("x"))
+    stays = F.filter(lines, lambda z: ~F.coalesce(F.array_contains(F.get("gone", F.pmod(z["x"], "parts").cast("int")), z["x"]), F.lit(False)))
+    left = F.array_join(F.transform(stays, lambda z: z["l"]), "\n")
+    return rows.withColumn("left", F.when(F.col("parts").isNotNull(), left)).drop("hashes", "gone", "parts")
+
+
+def profile(rows: DataFrame) -> DataFrame:
+    """rows with the counts of text, and with n_left: the words of left."""
+    text = F.coalesce("text", F.lit(""))
+    one = rows.select(
+        "doc_id", "text", "left",
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("own_lines"),
-        F.filter(F.split(F.trim(flat), " ?\n ?"), lambda x: x != "").alias("norm"),
         words(text).alias("w"),
-    )
+        F.when(F.col("left").isNotNull(), F.size(words(F.col("left")))).alias("w_left"),
+    )
     two = one.select(
-        "row", "doc_id", "host", "copy", "word_chars", "n_symbols",
+        "doc_id", "text", "left", "word_chars", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         (F.size("own_lines") - F.size(F.array_distinct("own_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform(
-            "norm",
-            lambda x: F.struct(
-                F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")
-            ),
-        ).alias("lines"),
+        F.coalesce("w_left", F.size("w")).cast("long").alias("n_left"),
         window_ids(F.col("w")).alias("ids"),
     )
     # most texts repeat no window; only the others are sorted
@@ -80,43 +127,27 @@ def quality_rules(
     docs: DataFrame, min_docs: int = 10, host_share: float = 0.02, least_left: float = 0.5
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, removed_words, base_failed, kept.
+    n_repeat_words, removed_words, base_failed, kept, and text: what is left of it.
 
     A line is taken out of a host's documents when more than min_docs distinct
     documents of the host, and more than host_share of them, hold it.  A document
     is depleted when less than least_left of its words are left.  kept is false
     for documents that fail the base rules (fewer than 50 words, or more than
-    half of the words in repeated windows) and for depleted ones.
+    half of the words in repeated windows) and for depleted ones.  The counts up
+    to n_repeat_words and the base rules are those of the text as it came.
 
     Hosts are values of source; null is one host.  Null and empty texts have no
-    words and fail the base rules.  Repeated rows and null doc_ids are ordinary
-    rows; an empty table gives an empty result; further columns are ignored.
+    words, fail the base rules and stay as they are; lines without a word stay in
+    any text.  Repeated rows and null doc_ids are ordinary rows; an empty table
+    gives an empty result; further columns are ignored.
     """
-    rows = table(profile(docs), "profile")
-    # one row per host and distinct text
-    texts = rows.groupBy("host", "copy").agg(F.min("row").alias("row"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    # every text of a host once, every line of a text once
-    held = (
-        rows.select("row", "host", F.explode(F.array_distinct(F.transform("lines", lambda z: z["line"]))).alias("line"))
-        .join(texts.select("row"), "row", "left_semi")
-    )
-    often = (
-        held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-        .join(hosts, "host").where(F.col("n") > host_share * F.col("docs")).select("host", "line")
-    )
-    lost = (
-        rows.select("row", "host", F.explode("lines").alias("z"))
-        .select("row", "host", "z.line", "z.words")
-        .join(often, ["host", "line"])
-        .groupBy("row").agg(F.sum("words").alias("lost"))
-    )
-    out = rows.drop("lines").join(lost, "row", "left").withColumn("removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    texts, often = frequent_lines(docs, min_docs, host_share)
+    rows = profile(_taken_out(_with_taken(_named(docs), texts, often))).withColumn("removed_words", F.col("n_words") - F.col("n_left"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = F.col("n_words") - F.col("removed_words") < least_left * F.col("n_words")
-    return out.select(
+    depleted = F.col("n_left") < least_left * F.col("n_words")
+    return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("left", "text").alias("text"),
     )
 
 

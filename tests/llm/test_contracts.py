@@ -644,6 +644,45 @@ def test_quality_rules(docs, rows, empty, spark):
     assert quality_rules.quality_rules(docs).count() == len(rows) and quality_rules.quality_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize("few,longest", [(1_000_000, 4_000), (0, 4_000), (1_000_000, 1)])
+def test_quality_rules_takes_lines_out(spark, monkeypatch, few, longest):
+    """The text that is left, against a loop; broadcast lists and the join beyond them give the same."""
+    monkeypatch.setattr(quality_rules, "FEW_LINES", few)
+    monkeypatch.setattr(quality_rules, "HOST_LINES", longest)
+    rng = random.Random(6)
+    common = [prose(rng, n, 4000) for n in (1, 3, 30)]
+    rows = []
+    for i in range(60):
+        host = ["h", "g", None][i % 3]
+        lines = [prose(rng, rng.randrange(20, 60), 4000) for _ in range(3)]
+        for c in common:
+            if rng.random() < 0.7:
+                lines.insert(rng.randrange(len(lines) + 1), rng.choice([c, f"  {c.upper()}\t", c.replace(" ", " \t ")]))
+        lines.insert(rng.randrange(len(lines) + 1), " \t" if i % 4 else "")
+        rows.append((i, "\n".join(lines), "aa", host, 0))
+    rows += [(100 + i, "a copy\n" + prose(random.Random(1), 60, 4000), "aa", "h", 0) for i in range(30)]  # one document, so no line of it goes
+    rows += [(200 + i, "\n".join(f"menu {k}" for k in range(300)) + f"\nown {i}", "aa", "m", 0) for i in range(15)]
+    rows += [(300, None, "aa", "h", 0), (301, "", "aa", None, 0), (302, " \n\t\n", "aa", "g", 0), (303, common[2], "aa", "h", 0), (None, rows[0][1], "aa", "h", 0), rows[1], rows[1]]
+
+    def normal(line):
+        return " ".join(words(line)).lower()
+
+    texts, held = defaultdict(set), defaultdict(set)
+    for _, text, _, host, _ in rows:
+        texts[host].add(text or "")
+        for x in (text or "").split("\n"):
+            held[host, normal(x)].add(text)
+    often = {(h, x) for (h, x), t in held.items() if x and len(t) > 10 and len(t) > 0.02 * len(texts[h])}
+    assert len(often) > 300 and {h for h, _ in often} == {"h", "g", None, "m"}
+    left = [None if t is None else "\n".join(x for x in t.split("\n") if (h, normal(x)) not in often) for _, t, _, h, _ in rows]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)).collect()
+    want = [(i, t, len(words(r)) - len(words(t)), len(words(t)) < 0.5 * len(words(r))) for (i, r, *_), t in zip(rows, left, strict=True)]
+    assert sorted(map(repr, ((r.doc_id, r.text, r.removed_words) for r in got))) == sorted(repr(w[:3]) for w in want)
+    lost = {w[0] for w in want if w[3]}
+    assert lost and all(r.kept == (not r.base_failed and r.doc_id not in lost) for r in got)
+    assert any(r.kept and r.removed_words for r in got) and any(not r.kept and not r.base_failed for r in got)
+
+
 @pytest.mark.parametrize("parts,frequent", [(4096, 65_536), (3, 65_536), (7, 0)])
 def test_kneser_ney_layout_changes_nothing(spark, docs, monkeypatch, parts, frequent):
     """Slices, parts, files of several slices and spread words are a matter of place, not of counts."""
