@@ -12,10 +12,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import kept_in_order
+from .graph import settled
 
 # How sure a statement is, best first.
 CERTAINTY = ("asserted", "reported", "disputed", "conjectured")
@@ -141,7 +143,7 @@ def best_associate(edges: DataFrame) -> DataFrame:
 
 
 #: Rows of titles in a block of works; a task holds two blocks at once, and as many pairs as PAIRS.
-BLOCK_ROWS, PAIRS = 4_000_000, 1_000_000
+BLOCK_ROWS, PAIRS = 1_000_000, 1_000_000
 
 
 def shared_title_pairs(titles: DataFrame) -> DataFrame:
@@ -149,17 +151,48 @@ def shared_title_pairs(titles: DataFrame) -> DataFrame:
 
     Works are dealt to blocks, and every two blocks meet in one task with their
     titles' lists: a pair has one such task, which tells it once however many
-    titles it shares.  So lists are shuffled (each row once per block), pairs never.
+    titles it shares.  A block is packed once into the checkpoint folder, and the
+    tasks that it meets others in read it there: rows are shuffled once, pairs never.
     """
     blocks = max(8, -(-titles.count() // BLOCK_ROWS))
-    lists = (
-        titles.where("work is not null and title is not null").groupBy("title", F.pmod(F.xxhash64("work"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_set("work").alias("works"))
-    )
-    met = lists.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = met.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"), "title", "works")
     kind = dict(titles.dtypes)["work"]
-    return cells.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j").mapInArrow(_cells_paired, f"a {kind}, b {kind}")
+    rows = titles.where("work is not null and title is not null").select("title", "work")
+    dealt = rows.repartition(blocks, "work").distinct().coalesce(blocks)  # no more blocks, where the session deals to more
+    packed = settled(dealt.mapInArrow(_block_packed, "block int, lists binary"))
+    one, other = packed.toDF("i", "one"), packed.toDF("j", "other")
+    cells = one.hint("shuffle_replicate_nl").join(other, F.col("i") <= F.col("j"))
+    return cells.mapInArrow(_blocks_met, f"a {kind}, b {kind}")
+
+
+def _block_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a task's rows: every title with the list of its works, compressed."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).sort_by([("title", "ascending"), ("work", "ascending")]).combine_chunks()
+    title, work = (rows.column(c).chunk(0) for c in ("title", "work"))
+    firsts = np.flatnonzero(np.diff(title.dictionary_encode().indices.to_numpy(), prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(title)), pa.int32()), work)
+    block = pa.RecordBatch.from_arrays([title.take(pa.array(firsts)), lists], ["title", "works"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(block)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "lists"])
+
+
+def _blocks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cells_paired(_cells_opened(batches))
+
+
+def _cells_opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, second, title, works) of packed blocks' cells; a block that meets itself comes once."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            i, j = batch.column("i")[k].as_py(), batch.column("j")[k].as_py()
+            for second in (False, True)[: 1 + (i < j)]:
+                block = pa.ipc.open_stream(batch.column("other" if second else "one")[k].as_buffer()).read_next_batch()
+                same = [pa.array(np.full(block.num_rows, x)) for x in (i, j, second)]
+                yield pa.RecordBatch.from_arrays([*same, *block.columns], ["i", "j", "second", "title", "works"])
 
 
 def _cells_paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,30 +229,42 @@ def _pairs_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     right = left if alone else np.flatnonzero(second)
     right = right[np.argsort(title[right], kind="stable")]
     # the works of the other side by title, those numbered from 0
-    there, b = np.unique(works[right], return_inverse=True)
-    b, starts = b.astype(np.int32), np.searchsorted(title[right], np.arange(title.max(initial=-1) + 2))
+    seen = np.zeros(len(values), bool)
+    seen[works[right]] = True
+    there, b = np.flatnonzero(seen).astype(np.int32), (np.cumsum(seen, dtype=np.int32) - 1)[works[right]]
+    starts = np.searchsorted(title[right], np.arange(title.max(initial=-1) + 2))
     a, t = works[left], title[left]
+    del title, works, second, left, right, seen
     size = (starts[t + 1] - starts[t]).astype(np.int64)
     done = np.concatenate([[0], np.cumsum(size)])
     firsts = np.concatenate([np.flatnonzero(np.diff(a, prepend=-1)), [len(a)]])
     width, at = len(there), 0
+    # which candidate has told a pair, by pair of the works at hand; 0 where none has
+    room = max(width, 8 * PAIRS)
+    told = np.zeros(room, np.int32)
     while at < len(firsts) - 1 and width:
-        # whole works until their candidates or the table of marks are many
-        to = max(at + 1, min(int(np.searchsorted(done[firsts], done[firsts[at]] + PAIRS, "right")) - 1, at + 1 + 16 * PAIRS // width))
+        # whole works until their candidates are many or the table is full
+        to = max(at + 1, min(int(np.searchsorted(done[firsts], done[firsts[at]] + PAIRS, "right")) - 1, at + room // width))
         lo, hi = firsts[at], firsts[to]
-        own = np.repeat(np.arange(to - at), np.diff(firsts[at : to + 1]))
-        marks = np.zeros((to - at, width), bool)
+        own = np.repeat(np.arange(to - at) * width, np.diff(firsts[at : to + 1]))
+        kept = []
         for x, y in _pieces(done[lo : hi + 1], PAIRS):
             s = size[lo + x : lo + y]
             place = np.arange(s.sum()) + np.repeat(starts[t[lo + x : lo + y]] - (done[lo + x : lo + y] - done[lo + x]), s)
-            marks.ravel()[np.repeat(own[x:y] * width, s) + b[place]] = True
-        p, q = np.divmod(np.flatnonzero(marks.ravel()), width)
-        p, q = a[firsts[at:to]][p], there[q]
-        if alone:
-            p, q = p[p < q], q[p < q]
-        p, q = np.minimum(p, q), np.maximum(p, q)
-        for x in range(0, len(p), PAIRS):
-            yield pa.RecordBatch.from_arrays([values.take(pa.array(c[x : x + PAIRS])) for c in (p, q)], ["a", "b"])
+            pair = np.repeat(own[x:y], s) + b[place]
+            if kept:
+                pair = pair[told[pair] == 0]
+            mine = np.arange(1, len(pair) + 1, dtype=np.int32)
+            told[pair] = mine
+            kept.append(pair[told[pair] == mine])
+        for pair in kept:
+            told[pair] = 0
+            p = pair // width
+            p, q = a[firsts[at:to]][p], there[pair - p * width]
+            up = p < q
+            for p, q in ((p[up], q[up]),) if alone else ((p[up], q[up]), (q[~up], p[~up])):
+                for x in range(0, len(p), PAIRS):
+                    yield pa.RecordBatch.from_arrays([values.take(pa.array(c[x : x + PAIRS])) for c in (p, q)], ["a", "b"])
         at = to
 
 

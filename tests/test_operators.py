@@ -774,6 +774,25 @@ def test_shared_titles_tell_a_pair_once(spark, monkeypatch):
         assert sorted(got) == want
 
 
+def test_shared_titles_shuffle_rows_once(spark, monkeypatch):
+    """Blocks are packed once and read where they meet; lists went through a shuffle once per block."""
+    monkeypatch.setattr(O, "BLOCK_ROWS", 50)
+    rng = random.Random(3)
+    rows = [(f"w{rng.randrange(150)}", f"t{rng.randrange(200)}" if k % 9 else None) for k in range(500)] + [(None, "t1")] * 3 + [(f"w{k}", "hot") for k in range(0, 150, 2)] * 2
+    works = {}
+    for w, t in rows:
+        if w and t:
+            works.setdefault(t, set()).add(w)
+    want = sorted({(a, b) for ws in works.values() for a in ws for b in ws if a < b})
+    for most in (5, 10**6):
+        monkeypatch.setattr(O, "PAIRS", most)
+        out = O.shared_title_pairs(spark.createDataFrame(rows, "work string, title string"))
+        assert sorted(tuple(r) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert O.shared_title_pairs(spark.createDataFrame([("a", None), (None, "x")], "work string, title string")).collect() == []
+
+
 def test_homonyms_shuffle_no_pairs(spark, monkeypatch):
     """Blocks of a slug meet once, and known pairs are looked up where a pair is made."""
     rows = [(i, i % 3) for i in range(60)] + [(1, 2), (1, 2), (7, None)]
